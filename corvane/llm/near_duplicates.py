@@ -27,7 +27,7 @@ SKETCH_BITS, BUDGET, BANDS, ROWS = 128, 46, 28, 3
 HOT_ROWS, TOP_BITS = 20_000, 4
 #: Every so manieth document is looked at to find such keys; this decides only how work is divided.
 HOT_SAMPLE = 32
-LEAF = 48
+LEAF = 1024
 _rng = np.random.default_rng(20)
 _MUL = (_rng.integers(1, 2**31, 2 * SKETCH_BITS, dtype=np.uint32) * 2 + 1).astype(np.uint32)
 _ADD = _rng.integers(0, 2**32, 2 * SKETCH_BITS, dtype=np.uint32)
@@ -51,6 +51,13 @@ def shingle_hashes(ids: np.ndarray, k: int) -> np.ndarray:
     return h
 
 
+def within(runs: np.ndarray, counts: np.ndarray, k: int) -> np.ndarray:
+    """Of the runs of k over concatenated documents of so many words, those that lie in one document."""
+    ends = np.cumsum(counts)
+    left = np.repeat(ends, counts)[: len(runs)] - np.arange(len(runs))
+    return runs[left >= k]
+
+
 def sketch(hashes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Per document (slices of hashes that begin at starts, none empty): BANDS keys and SKETCH_BITS bits as two words."""
     x = (hashes >> np.uint64(32)).astype(np.uint32) ^ hashes.astype(np.uint32)
@@ -77,24 +84,16 @@ def fingerprints(df: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
         for whole in batches:
             for b in chunks(whole, "text"):
                 keys, texts = b.column(0), b.column(1).to_pylist()
-                digests, parts, lengths, counts = [], [], [], []
-                for t in texts:
-                    w = words_of(t)
-                    digests.append(xxhash.xxh128_intdigest(" ".join(w)))
-                    counts.append(len(w))
-                    if len(w) >= shingle:
-                        parts.append(shingle_hashes(np.array([ids[x] for x in w], np.uint64), shingle))
-                        lengths.append(len(parts[-1]))
-                    else:
-                        lengths.append(0)
-                lengths = np.array(lengths)
+                words = [words_of(t) for t in texts]
+                digests = [xxhash.xxh128_intdigest(" ".join(w)) for w in words]
+                counts = np.array([len(w) for w in words], np.int64)
+                lengths = np.maximum(counts - shingle + 1, 0)
                 has = lengths > 0
-                if parts:
-                    starts = np.concatenate([[0], np.cumsum(lengths[has])[:-1]]).astype(np.int64)
-                    bands, sig = sketch(np.concatenate(parts), starts)
+                flat = np.zeros((0, BANDS + 2), np.int64)
+                if has.any():
+                    hashes = within(shingle_hashes(np.fromiter((ids[x] for w in words for x in w), np.uint64, int(counts.sum())), shingle), counts, shingle)
+                    bands, sig = sketch(hashes, (np.cumsum(lengths) - lengths)[has])
                     flat = np.concatenate([bands, sig], axis=1).view(np.int64)
-                else:
-                    flat = np.zeros((0, BANDS + 2), np.int64)
                 offsets = np.concatenate([[0], np.cumsum(has * (BANDS + 2))])
                 h1 = np.array([d >> 64 for d in digests], np.uint64).view(np.int64)
                 h2 = np.array([d & (2**64 - 1) for d in digests], np.uint64).view(np.int64)
@@ -216,12 +215,13 @@ def candidates(reps: DataFrame, budget: int = BUDGET) -> DataFrame:
     return parted.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def similar(x: str, y: str, shingle: int, least: float) -> bool:
-    p, q = words_of(x), words_of(y)
-    s = {*zip(*(p[i:] for i in range(shingle)))}
-    t = {*zip(*(q[i:] for i in range(shingle)))}
-    both = len(s & t)
-    return both > 0 and both >= least * (len(s) + len(t) - both)
+def shingle_sets(texts: list[str], k: int) -> list[set]:
+    """The set of runs of k words of each text."""
+    out = []
+    for t in texts:
+        w = words_of(t)
+        out.append({*zip(*(w[i:] for i in range(k)))})
+    return out
 
 
 def near_duplicates(df: DataFrame, key: str = "seq", text: str = "text", shingle: int = 3, least: float = 0.5) -> tuple[DataFrame, DataFrame]:
@@ -239,7 +239,14 @@ def near_duplicates(df: DataFrame, key: str = "seq", text: str = "text", shingle
     both = left.join(texts.withColumnsRenamed({"id": "b", "text": "y"}).hint("merge"), "b")
 
     def check(c: dict[str, list]) -> dict[str, list]:
-        kept = [i for i, (x, y) in enumerate(zip(c["x"], c["y"])) if similar(x, y, shingle, least)]
+        texts = {**dict(zip(c["a"], c["x"])), **dict(zip(c["b"], c["y"]))}  # each text is cut into words once a batch
+        sets = dict(zip(texts, shingle_sets(list(texts.values()), shingle)))
+        kept = []
+        for i, (a, b) in enumerate(zip(c["a"], c["b"])):
+            x, y = sets[a], sets[b]
+            both = len(x & y)
+            if both and both >= least * (len(x) + len(y) - both):
+                kept.append(i)
         return {"a": [c["a"][i] for i in kept], "b": [c["b"][i] for i in kept]}
 
     return members, map_rows(both.select("a", "b", "x", "y"), check, "a bigint, b bigint", "x")
