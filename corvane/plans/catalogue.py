@@ -1,11 +1,666 @@
-"""Every query of the engine's own operators, with its SQL."""
+"""Every query of the engine's own operators over the test tables, each with the SQL that gives the same rows."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from corvane.functions import text as T
+from corvane.operators import curation as C
+from corvane.operators import instruction as I
+from corvane.operators import service as S
+from corvane.operators import stories as P
+from corvane.operators import verify as V
+from corvane.streaming import state as ST
 
-def oracle_sql() -> dict:
-    return {}
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def _q(s: str) -> str:
+    return s.replace("'", "''")
+
+
+# -- pieces of SQL
+
+SOURCE_SQL = "CASE lower(regexp_replace({c}, '^[ \\t\\n\\r]+|[ \\t\\n\\r]+$', '', 'g')) " + " ".join(f"WHEN '{a}' THEN '{n}'" for a, n in [*T.SOURCE_NAMES.items(), *((n, n) for n in sorted({*T.SOURCE_NAMES.values()}))]) + " ELSE 'unknown' END"
+COUNT = "len(regexp_extract_all({c}, '{p}'))"
+
+
+def n_of(c: str, pattern: str) -> str:
+    return f"len(regexp_extract_all({c}, '{_q(pattern)}'))"
+
+
+WORDS = n_of("text", r"\S+")
+VISIBLE = n_of("text", r"\S")
+LETTERS = n_of("text", r"\p{L}")
+LATIN = n_of("text", r"[A-Za-z\x{00AA}\x{00B5}\x{00BA}\x{00C0}-\x{00D6}\x{00D8}-\x{00F6}\x{00F8}-\x{024F}]")
+DIGITS = n_of("text", "[0-9]")
+
+
+def words_of(c: str, words: list[str]) -> str:
+    return f"len(list_filter(regexp_extract_all(lower({c}), '[a-z]+'), lambda x: x IN ({', '.join(repr(w) for w in words)})))"
+
+
+STOPS = words_of("text", T.STOP_WORDS)
+LINES = "list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x)), lambda x: x <> '')"
+TABLE = f"(length(x) - length(replace(x, '|', '')) >= 3 OR length(x) - length(replace(x, chr(9), '')) >= 2 OR regexp_matches(x, '{_q(T.TABLE_SEPARATOR)}'))"
+CODE = (
+    f"(regexp_matches(x, '{_q(T.CODE_START)}') OR regexp_matches(x, '{_q(T.CODE_TOKEN)}') OR length(x) - length(translate(x, '{{}}', '')) >= 2"
+    f" OR (length(x) > 24 AND (length(x) - length(translate(x, '{{}}[]<>;`\\=_', ''))) / length(x) > 0.15))"
+)
+BOILER = f"regexp_matches(x, '{_q(T.BOILERPLATE)}')"
+TOKENS = "regexp_extract_all(lower({c}), '[a-z0-9]+')"
+DIGEST = f"md5(array_to_string({TOKENS.format(c='{c}')}, ' '))"
+ONCE = "(SELECT DISTINCT ON (id) * FROM requests)"
+
+
+# -- corpus
+
+
+@query(f"SELECT {SOURCE_SQL.format(c='source')} AS source, count(*) AS documents, sum(strlen(text))::BIGINT AS text_bytes, sum({WORDS})::BIGINT AS words FROM documents GROUP BY 1")
+def corpus_source_stats(spark, d):
+    return table(spark, d, "documents").groupBy(T.source_name("source").alias("source")).agg(F.count("*").alias("documents"), F.sum(F.octet_length("text").cast("bigint")).alias("text_bytes"), F.sum(T.words("text")).alias("words"))
+
+
+@query(
+    f"""WITH w AS (SELECT {WORDS} AS n FROM documents)
+    SELECT min(n)::DOUBLE AS min, round(quantile_cont(n, 0.1), 6) AS p10, round(quantile_cont(n, 0.5), 6) AS median, round(avg(n), 6) AS mean,
+           round(quantile_cont(n, 0.9), 6) AS p90, round(quantile_cont(n, 0.99), 6) AS p99, max(n)::DOUBLE AS max FROM w"""
+)
+def corpus_length_summary(spark, d):
+    n = table(spark, d, "documents").select(T.words("text").alias("n"))
+    p = lambda q: F.round(F.percentile("n", F.lit(q)), 6)
+    return n.agg(F.min("n").cast("double").alias("min"), p(0.1).alias("p10"), p(0.5).alias("median"), F.round(F.avg("n"), 6).alias("mean"), p(0.9).alias("p90"), p(0.99).alias("p99"), F.max("n").cast("double").alias("max"))
+
+
+@query("SELECT count(*) - count(DISTINCT id) AS duplicate_ids, count(*) - count(DISTINCT text) AS duplicate_texts FROM corpus_docs")
+def corpus_dup_counts(spark, d):
+    return table(spark, d, "corpus_docs").agg((F.count("*") - F.countDistinct("id")).alias("duplicate_ids"), (F.count("*") - F.countDistinct(F.md5("text"))).alias("duplicate_texts"))
+
+
+@query(
+    f"""WITH k AS (SELECT seq, {DIGEST.format(c="coalesce(text, '')")} AS dig, min(seq) OVER (PARTITION BY id) AS first_of FROM corpus_docs),
+    f AS (SELECT dig, min(seq) AS first_text FROM k WHERE first_of = seq GROUP BY dig)
+    SELECT seq, CASE WHEN first_of <> seq THEN 'duplicate_id' WHEN first_text <> seq THEN 'duplicate_text' ELSE 'accepted' END AS outcome FROM k LEFT JOIN f USING (dig)"""
+)
+def corpus_exact_dedup(spark, d):
+    return C.first_wins(table(spark, d, "corpus_docs"))
+
+
+def _ratio(a: str, b: str) -> str:
+    return f"round({a} / greatest({b}, 1), 6)"
+
+
+@query(f"SELECT doc_id, {WORDS} AS words, {_ratio(LETTERS, VISIBLE)} AS alpha, {_ratio(LATIN, LETTERS)} AS latin, {_ratio(DIGITS, VISIBLE)} AS digits, {STOPS} AS stops, {_ratio(STOPS, WORDS)} AS stop_ratio FROM documents")
+def corpus_text_ratios(spark, d):
+    return C.text_ratios(table(spark, d, "documents"))
+
+
+REASON = f"""CASE WHEN text IS NULL OR length(text) < 200 THEN 'too_short_raw' WHEN contains(text, chr(65533)) THEN 'replacement_character'
+ WHEN code >= 15 OR (code >= 5 AND code / greatest(n, 1) >= 0.08) THEN 'code_heavy' WHEN boiler >= 12 OR (boiler >= 5 AND boiler / greatest(n, 1) >= 0.30) THEN 'boilerplate_heavy'
+ WHEN {WORDS} < 50 THEN 'too_short' WHEN {LETTERS} / greatest({VISIBLE}, 1) < 0.64 THEN 'low_alpha' WHEN {LATIN} / greatest({LETTERS}, 1) < 0.94 THEN 'non_english_script'
+ WHEN {DIGITS} / greatest({VISIBLE}, 1) > 0.18 THEN 'too_many_digits' WHEN {STOPS} < 3 OR {STOPS} / greatest({WORDS}, 1) < 0.045 THEN 'non_english'
+ WHEN n >= 8 AND len(list_distinct(ls)) / greatest(n, 1) < 0.60 THEN 'repetition' ELSE 'accepted' END"""
+
+
+def _reasons(name: str, cols: str) -> str:
+    return f"""WITH a AS (SELECT *, {LINES} AS ls FROM {name}), b AS (SELECT *, len(ls) AS n, len(list_filter(ls, lambda x: {CODE})) AS code, len(list_filter(ls, lambda x: {BOILER} OR {TABLE})) AS boiler FROM a)
+    SELECT {cols}, {REASON} AS reason FROM b"""
+
+
+@query(_reasons("corpus_docs", "seq"))
+def corpus_reject_reasons(spark, d):
+    return table(spark, d, "corpus_docs").select("seq", C.reject_reason().alias("reason"))
+
+
+@query(f"SELECT source, reason, count(*) AS documents FROM ({_reasons('documents', SOURCE_SQL.format(c='source') + ' AS source')}) GROUP BY 1, 2")
+def corpus_curation_summary(spark, d):
+    docs = table(spark, d, "documents")
+    return docs.select(T.source_name("source").alias("source"), C.reject_reason().alias("reason")).groupBy("source", "reason").agg(F.count("*").alias("documents"))
+
+
+@query(
+    f"""WITH a AS (SELECT seq, {LINES} AS ls FROM corpus_docs)
+    SELECT seq, len(ls) AS lines, len(list_distinct(ls)) AS distinct_lines, len(list_filter(ls, lambda x: {TABLE})) AS table_lines, len(list_filter(ls, lambda x: {CODE})) AS code_lines, len(list_filter(ls, lambda x: {BOILER})) AS boiler_lines FROM a"""
+)
+def corpus_line_flags(spark, d):
+    return C.line_counts(table(spark, d, "corpus_docs"), "seq")
+
+
+FLAGS = f"""WITH a AS (SELECT seq, coalesce(text, '') AS text FROM corpus_docs), b AS (SELECT *, {LINES} AS ls FROM a), x AS (SELECT seq, unnest(list_filter([
+ CASE WHEN trim(text) = '' THEN 'empty' END, CASE WHEN contains(text, chr(65533)) OR regexp_matches(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]') THEN 'broken_unicode' END,
+ CASE WHEN regexp_matches(text, '</?[a-zA-Z][a-zA-Z0-9]*( [^<>]*)?/?>') THEN 'html' END, CASE WHEN regexp_matches(text, '&([a-zA-Z]{{2,8}}|#[0-9]{{1,6}});') THEN 'html_entity' END,
+ CASE WHEN {BOILER.replace('(x,', '(text,')} THEN 'boilerplate' END, CASE WHEN len(list_filter(ls, lambda x: {CODE})) >= 3 THEN 'code' END, CASE WHEN len(list_filter(ls, lambda x: {TABLE})) >= 2 THEN 'table' END,
+ CASE WHEN {WORDS} < 50 THEN 'too_short' END, CASE WHEN {WORDS} > 10000 THEN 'too_long' END], lambda f: f IS NOT NULL)) AS flag FROM b)"""
+
+
+@query(f"{FLAGS} SELECT flag, count(*) AS documents FROM x GROUP BY flag")
+def corpus_validation_flags(spark, d):
+    return table(spark, d, "corpus_docs").select(F.explode(C.validation_flags()).alias("flag")).groupBy("flag").agg(F.count("*").alias("documents"))
+
+
+@query(
+    f"""{FLAGS}, t AS (SELECT count(*) AS documents, count(*) - count(DISTINCT id) AS dup_ids, count(*) - count(DISTINCT text) AS dup_texts FROM corpus_docs), f AS (SELECT count(DISTINCT seq) AS flagged FROM x)
+    SELECT documents, dup_ids, dup_texts, flagged, CASE WHEN documents > 0 AND dup_ids = 0 AND dup_texts = 0 AND flagged = 0 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM t, f"""
+)
+def corpus_verdict(spark, d):
+    docs = table(spark, d, "corpus_docs")
+    r = docs.agg(F.count("*").alias("documents"), (F.count("*") - F.countDistinct("id")).alias("dup_ids"), (F.count("*") - F.countDistinct(F.md5("text"))).alias("dup_texts"), F.count_if(F.size(C.validation_flags()) > 0).alias("flagged"))
+    bad = (F.col("documents") == 0) | (F.col("dup_ids") > 0) | (F.col("dup_texts") > 0) | (F.col("flagged") > 0)
+    return r.withColumn("verdict", F.when(bad, "FAIL").otherwise("PASS"))
+
+
+@query(
+    f"""WITH w AS (SELECT doc_id, unnest({TOKENS.format(c='text')}) AS w FROM documents), c AS (SELECT doc_id, w, count(*) AS n FROM w GROUP BY ALL)
+    SELECT doc_id, max(n) AS top_count, sum(n)::BIGINT AS tokens, round(max(n) / sum(n), 6) AS top_ratio FROM c GROUP BY doc_id"""
+)
+def corpus_repetition(spark, d):
+    w = table(spark, d, "documents").select("doc_id", F.array_sort(T.tokens("text")).alias("t")).where(F.size("t") > 0)
+    # a fold over the sorted tokens finds the longest run without a shuffle
+    zero = F.struct(F.lit("").alias("w"), F.lit(0).alias("run"), F.lit(0).alias("best"))
+
+    def step(a, x):
+        run = F.when(a["w"] == x, a["run"] + 1).otherwise(F.lit(1))
+        return F.struct(x.alias("w"), run.alias("run"), F.greatest(a["best"], run).alias("best"))
+
+    r = w.select("doc_id", F.aggregate("t", zero, step)["best"].cast("bigint").alias("top_count"), F.size("t").cast("bigint").alias("tokens"))
+    return r.withColumn("top_ratio", F.round(F.col("top_count") / F.col("tokens"), 6))
+
+
+@query(
+    """WITH l AS (SELECT seq, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM corpus_docs),
+    f AS (SELECT *, regexp_matches(trim(line), '^(```|~~~)') AS fence FROM l), s AS (SELECT *, sum(fence::INT) OVER (PARTITION BY seq ORDER BY i) AS k FROM f)
+    SELECT seq, md5(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT fence AND k % 2 = 0), '')) AS kept FROM s GROUP BY seq"""
+)
+def corpus_fence_lines(spark, d):
+    return C.fence_kept(table(spark, d, "corpus_docs"), "seq").select("seq", F.md5("kept").alias("kept"))
+
+
+QUOTAS = [("fineweb-edu", 700_000), ("wikipedia", 120_000), ("simple-wikipedia", 50_000), ("smollm-edu", 80_000), ("open-web-math", 30_000), ("stackexchange", 20_000)]
+_QUOTA_SQL = "(VALUES " + ", ".join(f"('{s}', {q})" for s, q in QUOTAS) + ") q(source, quota)"
+
+
+@query(
+    f"""WITH d AS (SELECT doc_id, {SOURCE_SQL.format(c='source')} AS source, strlen(text) AS b FROM documents),
+    r AS (SELECT *, coalesce(sum(b) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS bytes_before FROM d)
+    SELECT doc_id, r.source, bytes_before FROM r JOIN {_QUOTA_SQL} USING (source) WHERE bytes_before < quota"""
+)
+def corpus_byte_quota(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", T.source_name("source").alias("source"), F.octet_length("text").cast("bigint").alias("size"))
+    quotas = spark.createDataFrame(QUOTAS, "source string, quota bigint")
+    return C.byte_quota(docs, quotas, size=F.col("size")).select("doc_id", "source", "bytes_before")
+
+
+@query(
+    """WITH u AS (SELECT 0 AS stage, doc_id AS n, strlen(text) AS b FROM documents UNION ALL SELECT 1, seq, strlen(text) FROM corpus_docs),
+    r AS (SELECT *, coalesce(sum(b) OVER (ORDER BY stage, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS bytes_before FROM u)
+    SELECT stage, count(*) AS records, sum(b)::BIGINT AS bytes FROM r WHERE bytes_before < 2500000 GROUP BY stage"""
+)
+def corpus_topup_until_target(spark, d):
+    first = table(spark, d, "documents").select(F.lit(0).alias("stage"), F.col("doc_id").alias("n"), F.octet_length("text").cast("bigint").alias("b"))
+    more = table(spark, d, "corpus_docs").select(F.lit(1).alias("stage"), F.col("seq").alias("n"), F.octet_length("text").cast("bigint").alias("b"))
+    order = F.col("stage").cast("bigint") * F.lit(1 << 40) + F.col("n")
+    rows = first.unionByName(more).withColumn("at", order).withColumn("source", F.lit("all"))
+    quotas = spark.createDataFrame([("all", 2_500_000)], "source string, quota bigint")
+    return C.byte_quota(rows, quotas, order="at", size=F.col("b"), parts=1 << 20).groupBy("stage").agg(F.count("*").alias("records"), F.sum("b").alias("bytes"))
+
+
+@query("SELECT doc_id, md5(concat('42:', doc_id)) AS priority FROM documents ORDER BY priority, doc_id LIMIT 100")
+def corpus_bottomk_sample(spark, d):
+    return C.bottom_k(table(spark, d, "documents"), 100, 42).select("doc_id", "priority")
+
+
+LANG_SQL = "CASE " + " ".join(f"WHEN regexp_replace(lower(trim({{c}})), '[-_].*$', '') IN ({', '.join(repr(s) for s in names)}) THEN '{code}'" for code, names in {"en": ["en", "eng", "english"], "de": ["de", "deu", "german"], "fr": ["fr", "fra", "french"], "es": ["es", "spa", "spanish"]}.items()) + " ELSE 'other' END"
+
+
+@query(f"SELECT {LANG_SQL.format(c='lang')} AS lang, count(*) AS documents, round(count(*) / sum(count(*)) OVER (), 6) AS fraction FROM documents GROUP BY 1")
+def corpus_lang_fraction(spark, d):
+    c = F.regexp_replace(F.lower(F.trim("lang")), "[-_].*$", "")
+    code = F.when(c.isin("en", "eng", "english"), "en").when(c.isin("de", "deu", "german"), "de").when(c.isin("fr", "fra", "french"), "fr").when(c.isin("es", "spa", "spanish"), "es").otherwise("other")
+    n = table(spark, d, "documents").groupBy(code.alias("lang")).agg(F.count("*").alias("documents"))
+    return n.withColumn("fraction", F.round(F.col("documents") / F.sum("documents").over(Window.partitionBy()), 6))
+
+
+@query(
+    f"""WITH t AS (SELECT seq, {TOKENS.format(c='text')} AS t FROM download_candidates), s AS (SELECT seq, t, len(t) - 2 AS n, greatest(1, (len(t) - 2) // 160) AS step FROM t WHERE len(t) > 2),
+    h AS (SELECT seq, md5(array_to_string(t[i:i + 2], ' ')) AS h FROM (SELECT seq, t, unnest(range(1, n + 1, step)) AS i FROM s)),
+    v AS (SELECT seq, b, sum(CASE WHEN (('0x' || substr(h, 1 + 8 * (1 - b // 32)::INT, 8))::BIGINT >> (b % 32)::INT) & 1 = 1 THEN 1 ELSE -1 END) AS v FROM h, range(64) r(b) GROUP BY seq, b)
+    SELECT seq, printf('%08x', sum(CASE WHEN b >= 32 AND v >= 0 THEN 1::BIGINT << (b - 32)::INT ELSE 0 END)::BIGINT) || printf('%08x', sum(CASE WHEN b < 32 AND v >= 0 THEN 1::BIGINT << b::INT ELSE 0 END)::BIGINT) AS bits FROM v GROUP BY seq"""
+)
+def corpus_simhash(spark, d):
+    return C.simhash(table(spark, d, "download_candidates"), "seq")
+
+
+_FIRST = "(SELECT simhash AS f, min(seq) AS i FROM download_candidates WHERE simhash IS NOT NULL GROUP BY simhash)"
+_PAIRS = f"SELECT a.i AS a, b.i AS b, bit_count(xor(a.f, b.f))::BIGINT AS distance FROM {_FIRST} a JOIN {_FIRST} b ON a.i < b.i AND bit_count(xor(a.f, b.f)) <= 3"
+
+
+@query(_PAIRS)
+def corpus_near_dup_pairs(spark, d):
+    return C.simhash_pairs(table(spark, d, "download_candidates"))
+
+
+@query()
+def corpus_near_dedup_greedy(spark, d):
+    rows = table(spark, d, "download_candidates")
+    nodes = rows.where("simhash is not null").groupBy("simhash").agg(F.min("seq").alias("i"))
+    return C.greedy_keep(nodes, C.simhash_pairs(rows))
+
+
+@query("SELECT doc_id, CASE WHEN ('0x' || substr(md5(concat('7:', doc_id)), 1, 13))::BIGINT / 4503599627370496.0 < 0.1 THEN 'val' ELSE 'train' END AS split FROM documents")
+def corpus_hash_split(spark, d):
+    f = T.hash_fraction(F.lit("7"), F.col("doc_id").cast("string"))
+    return table(spark, d, "documents").select("doc_id", F.when(f < 0.1, "val").otherwise("train").alias("split"))
+
+
+@query(f"SELECT seq, {SOURCE_SQL.format(c='source')} || ':' || substr(md5(coalesce(nullif(trim(id), ''), lower(to_hex(seq)) || ':' || md5(substr(text, 1, 4096)))), 1, 20) AS stable_id FROM corpus_docs")
+def corpus_stable_ids(spark, d):
+    own = F.coalesce(F.nullif(F.trim("id"), F.lit("")), F.concat(F.lower(F.hex("seq")), F.lit(":"), F.md5(F.substring("text", 1, 4096))))
+    return table(spark, d, "corpus_docs").select("seq", F.concat(T.source_name("source"), F.lit(":"), F.substring(F.md5(own), 1, 20)).alias("stable_id"))
+
+
+@query()
+def corpus_split_pieces(spark, d):
+    return C.pieces(table(spark, d, "documents"), "doc_id", max_words=500, target=400).select("doc_id", "part", "parts", T.words("piece").alias("words"))
+
+
+_M = r"regexp_replace(regexp_replace(regexp_replace(text, '!\[[^\]]*\]\([^)]*\)', ' ', 'g'), '\[([^\]]+)\]\([^)]*\)', '\1', 'g'), '\[[0-9]+(, ?[0-9]+)*\]', '', 'g')"
+_MARKUP = rf"""regexp_replace(regexp_replace(regexp_replace(replace(translate({_M}, '‘’“”–—−' || chr(160) || chr(8203) || chr(8204) || chr(8205) || chr(65279), '''''""--- '), '…', '...'), '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g'), '(https?://|www\.)[^ \t\n\r]+', '', 'g'), '[ \t]+', ' ', 'g')"""
+
+
+@query(f"SELECT doc_id, md5({_MARKUP}) AS stripped FROM documents")
+def corpus_markup_strip(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.md5(T.strip_markup("text")).alias("stripped"))
+
+
+@query("SELECT doc_id, md5(reverse(text)) AS turned FROM documents")
+def text_reverse(spark, d):
+    return V.reversed_columns(table(spark, d, "documents"), ["text"]).select("doc_id", F.md5("text").alias("turned"))
+
+
+@query("SELECT doc_id, 'none' AS problem FROM documents WHERE false")
+def text_reverse_verify(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text", "domain")
+    return V.verify_pairs(docs, V.reversed_columns(docs, ["text", "domain"]), "doc_id", ["text", "domain"])
+
+
+# -- instruction pairs
+
+CATEGORY_SQL = "CASE WHEN regexp_replace(lower(trim(category)), '_v[0-9]+$', '') IN (" + ", ".join(f"'{c}'" for c in I.CATEGORIES) + ") THEN regexp_replace(lower(trim(category)), '_v[0-9]+$', '') ELSE 'everyday' END"
+
+
+@query(f"SELECT {CATEGORY_SQL} AS category, count(*) AS pairs FROM sft_pairs GROUP BY 1")
+def sft_categories(spark, d):
+    return table(spark, d, "sft_pairs").groupBy(I.category("category").alias("category")).agg(F.count("*").alias("pairs"))
+
+
+_U, _A = "coalesce(user_msg, '')", "coalesce(assistant_msg, '')"
+_N = n_of(_A, r"\S+")
+
+
+@query(
+    f"""SELECT seq, CASE WHEN regexp_matches({_U}, '^[ \t\n\r]*$') OR regexp_matches({_A}, '^[ \t\n\r]*$') THEN 'empty' WHEN contains({_U}, chr(65533)) OR contains({_A}, chr(65533)) THEN 'mojibake' WHEN regexp_matches({_A}, '{_q(I.SELF_LEAK)}') THEN 'self_leak'
+    WHEN regexp_matches({_U} || ' ' || {_A}, '{_q(I.FOREIGN)}') THEN 'foreign' WHEN regexp_matches({_U}, '{_q(I.TRANSLATION)}') OR regexp_matches({_A}, '{_q(I.TRANSLATION)}') THEN 'translation' WHEN regexp_matches({_A}, '\?[ \t\n\r]*$') THEN 'follow_up'
+    WHEN regexp_matches({_A}, '{_q(I.FORBIDDEN)}') THEN 'forbidden' WHEN {_N} >= 25 AND {words_of(_A, I.FUNCTION_WORDS)} / greatest({_N}, 1) < 0.10 THEN 'word_salad' WHEN {_N} < 4 OR {_N} > 200 THEN 'length' ELSE 'kept' END AS reason FROM sft_pairs"""
+)
+def sft_heuristic_reasons(spark, d):
+    return table(spark, d, "sft_pairs").select("seq", I.heuristic_reason().alias("reason"))
+
+
+@query("SELECT min(seq) AS seq FROM sft_pairs GROUP BY regexp_replace(lower(trim(coalesce(user_msg, ''))), '[ \\t\\n\\r]+', ' ', 'g')")
+def sft_dedup(spark, d):
+    return I.first_by_user(table(spark, d, "sft_pairs")).select("seq")
+
+
+SFT_QUOTAS = [("identity", 40), ("everyday", 80), ("explanations", 80), ("troubleshooting", 60), ("rewrite", 40), ("comparisons", 40), ("unclear", 500), ("emotional", 20), ("safety", 20)]
+
+
+@query(
+    f"""WITH p AS (SELECT seq, {CATEGORY_SQL} AS category FROM sft_pairs), r AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY md5(concat('11:', seq)), seq) AS rank FROM p)
+    SELECT seq, r.category, rank FROM r JOIN (VALUES {", ".join(f"('{c}', {q})" for c, q in SFT_QUOTAS)}) q(category, quota) USING (category) WHERE rank <= quota"""
+)
+def sft_stratified(spark, d):
+    rows = table(spark, d, "sft_pairs").select("seq", I.category("category").alias("category"))
+    return I.stratified(rows, spark.createDataFrame(SFT_QUOTAS, "category string, quota int"), 11).select("seq", "category", F.col("rank").cast("bigint").alias("rank"))
+
+
+@query(
+    f"""WITH p AS (SELECT {CATEGORY_SQL} AS category, count(*) AS available FROM sft_pairs GROUP BY 1)
+    SELECT q.category, coalesce(available, 0) AS available, quota::BIGINT AS quota, least(coalesce(available, 0), quota)::BIGINT AS taken, greatest(quota - coalesce(available, 0), 0)::BIGINT AS shortfall FROM (VALUES {", ".join(f"('{c}', {q})" for c, q in SFT_QUOTAS)}) q(category, quota) LEFT JOIN p USING (category)"""
+)
+def sft_quota_report(spark, d):
+    have = table(spark, d, "sft_pairs").groupBy(I.category("category").alias("category")).agg(F.count("*").alias("available"))
+    r = spark.createDataFrame(SFT_QUOTAS, "category string, quota bigint").join(F.broadcast(have), "category", "left").withColumn("available", F.coalesce("available", F.lit(0)))
+    return r.select("category", "available", "quota", F.least("available", "quota").alias("taken"), F.greatest(F.col("quota") - F.col("available"), F.lit(0)).alias("shortfall"))
+
+
+_SEQ = """WITH s AS (SELECT seq, ids[2:assistant_start - 2] AS u, (ids[assistant_start + 1:len(ids) - 1])[1:509] AS a FROM sft_sequences), t AS (SELECT seq, a, CASE WHEN len(u) <= 509 - len(a) THEN u WHEN 509 - len(a) <= 0 THEN [] ELSE u[len(u) - (509 - len(a)) + 1:] END AS u FROM s)"""
+
+
+@query(f"{_SEQ} SELECT seq, len(u) + 3 AS assistant_start, len(u) + len(a) + 4 AS tokens, md5(array_to_string([1] || u || [2, 1] || a || [2], ' ')) AS ids FROM t")
+def sft_sequence_build(spark, d):
+    x = I.sequences(table(spark, d, "sft_sequences"), 512)
+    return x.select("seq", F.col("assistant_start").cast("bigint").alias("assistant_start"), F.size("ids").cast("bigint").alias("tokens"), F.md5(F.array_join(F.transform("ids", lambda v: v.cast("string")), " ")).alias("ids"))
+
+
+@query("SELECT seq, split, coalesce(sum(len(ids)) OVER (PARTITION BY split ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS \"offset\" FROM sft_sequences")
+def sft_offsets(spark, d):
+    return I.running_offsets(table(spark, d, "sft_sequences").select("seq", "split", F.size("ids").alias("n")), size=F.col("n")).select("seq", "split", F.col("offset").cast("bigint").alias("offset"))
+
+
+@query("SELECT seq, greatest(len(ids) - assistant_start, 0)::BIGINT AS supervised, list_sum(list_filter(list_transform(ids[2:], lambda x, i: CASE WHEN i - 1 < assistant_start - 1 THEN -100 ELSE x END), lambda x: x >= 0))::BIGINT AS total FROM sft_sequences")
+def sft_label_mask(spark, d):
+    m = table(spark, d, "sft_sequences").select("seq", I.label_mask().alias("m"))
+    kept = F.filter("m", lambda x: x >= 0)
+    return m.select("seq", F.size(kept).cast("bigint").alias("supervised"), F.aggregate(kept, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total"))
+
+
+@query("SELECT split, least(len(ids) // 128, 16)::BIGINT AS bucket, count(*) AS sequences, sum(len(ids))::BIGINT AS tokens, max(len(ids))::BIGINT AS longest FROM sft_sequences GROUP BY 1, 2")
+def sft_length_buckets(spark, d):
+    s = table(spark, d, "sft_sequences").select("split", F.size("ids").cast("bigint").alias("n"))
+    return s.groupBy("split", F.least(F.floor(F.col("n") / 128), F.lit(16)).cast("bigint").alias("bucket")).agg(F.count("*").alias("sequences"), F.sum("n").alias("tokens"), F.max("n").alias("longest"))
+
+
+@query(
+    """WITH r AS (SELECT *, row_number() OVER (ORDER BY seq) - 1 AS k FROM sft_pairs), l AS (SELECT k // 10 AS batch, k % 10 AS i, 'Q: ' || substr(replace(coalesce(user_msg, ''), chr(10), ' '), 1, 600) || ' A: ' || substr(replace(coalesce(assistant_msg, ''), chr(10), ' '), 1, 1200) AS line FROM r)
+    SELECT batch, count(*) AS items, md5(string_agg(i || '. ' || line, chr(10) ORDER BY i)) AS prompt FROM l GROUP BY batch"""
+)
+def judge_batches(spark, d):
+    return I.judge_prompts(table(spark, d, "sft_pairs")).withColumn("prompt", F.md5("prompt"))
+
+
+_ANSWERS = [(0, 'Sure: [{"i": 0, "v": "KEEP"}, {"i": 1, "v": "drop"}] done'), (1, "no list here"), (2, '[{"i": 1, "v": "Keep"}]'), (3, '[{"i": 0, "v": ')]
+
+
+@query(
+    """WITH items AS (SELECT batch, i FROM range(4) b(batch), range(2) t(i)), said(batch, i, v) AS (VALUES (0, 0, 'keep'), (0, 1, 'drop'), (2, 1, 'keep'))
+    SELECT batch, i, coalesce(v, 'drop') AS v FROM items LEFT JOIN said USING (batch, i)"""
+)
+def judge_verdict_join(spark, d):
+    items = spark.range(4).select(F.col("id").alias("batch")).crossJoin(spark.range(2).select(F.col("id").cast("int").alias("i")))
+    said = I.verdicts(spark.createDataFrame(_ANSWERS, "batch bigint, text string"))
+    return I.apply_verdicts(items, said).select("batch", F.col("i").cast("bigint").alias("i"), "v")
+
+
+# -- service
+
+
+@query(f"SELECT count(*) AS total, count(*) FILTER (status = 'ok') AS ok, count(*) FILTER (status = 'error') AS errors, count(*) FILTER (feedback AND mode = 'web') AS web_feedback, count(DISTINCT user_id) AS users FROM {ONCE}")
+def overview_totals(spark, d):
+    return S.overview(table(spark, d, "requests"))
+
+
+@query(f"SELECT mode, lower(model) AS model, status, count(*) AS requests, round(avg(latency_ms), 4) AS mean_latency, round(quantile_cont(latency_ms, 0.95), 4) AS p95_latency FROM {ONCE} GROUP BY 1, 2, 3")
+def overview_breakdown(spark, d):
+    return S.deduplicated(table(spark, d, "requests")).groupBy("mode", F.lower("model").alias("model"), "status").agg(F.count("*").alias("requests"), F.round(F.avg("latency_ms"), 4).alias("mean_latency"), F.round(F.percentile("latency_ms", F.lit(0.95)), 4).alias("p95_latency"))
+
+
+@query("SELECT k.status, count(r.id) AS n FROM (VALUES ('ok'), ('error'), ('rejected'), ('busy'), ('pending'), ('cancelled')) k(status) LEFT JOIN requests r ON r.status = k.status GROUP BY k.status")
+def overview_zero_filled(spark, d):
+    return S.zero_filled(table(spark, d, "requests").select("status"), ["ok", "error", "rejected", "busy", "pending", "cancelled"], "status")
+
+
+@query(f"SELECT count(*) FILTER (mode = 'web' AND status = 'ok') AS shown, count(*) FILTER (mode = 'web' AND status = 'ok' AND feedback) AS voted, CASE WHEN count(*) FILTER (mode = 'web' AND status = 'ok') = 0 THEN 0 ELSE floor(100 * count(*) FILTER (mode = 'web' AND status = 'ok' AND feedback) / count(*) FILTER (mode = 'web' AND status = 'ok') + 0.5) END::BIGINT AS percent FROM {ONCE}")
+def overview_voted_pct(spark, d):
+    shown = (F.col("mode") == "web") & (F.col("status") == "ok")
+    r = S.deduplicated(table(spark, d, "requests")).agg(F.count_if(shown).alias("shown"), F.count_if(shown & F.col("feedback")).alias("voted"))
+    return r.withColumn("percent", F.coalesce(F.floor(F.try_divide(F.lit(100) * F.col("voted"), F.col("shown")) + F.lit(0.5)), F.lit(0)).cast("bigint"))
+
+
+@query(
+    f"""WITH a AS (SELECT request_id, string_agg(variant || ':' || md5(output), ',' ORDER BY created_at, id) AS answers, (list(output ORDER BY created_at, id) FILTER (variant = 'A'))[1] AS picked FROM responses GROUP BY request_id)
+    SELECT r.id, mode, lower(model) AS model, epoch_us(created_at) AS at, coalesce(answers, '') AS answers, md5(picked) AS selected FROM {ONCE} r LEFT JOIN a ON r.id = a.request_id WHERE status = 'ok'"""
+)
+def export_rows(spark, d):
+    x = S.export(table(spark, d, "requests"), table(spark, d, "responses"))
+    joined = F.array_join(F.transform("answers", lambda a: F.concat(a["variant"], F.lit(":"), F.md5(a["output"]))), ",")
+    return x.select("id", "mode", "model", S.micros("created_at").alias("at"), joined.alias("answers"), F.md5("selected").alias("selected"))
+
+
+@query(f"SELECT r.id, epoch_us(r.created_at) AS at, n.name AS node, EXISTS (SELECT 1 FROM responses s WHERE s.request_id = r.id AND s.variant = 'B') AS has_b FROM {ONCE} r LEFT JOIN nodes n ON n.id = r.node_id ORDER BY r.created_at DESC, r.id LIMIT 1000")
+def recent_list(spark, d):
+    r = S.deduplicated(table(spark, d, "requests")).orderBy(F.col("created_at").desc(), "id").limit(1000)
+    b = table(spark, d, "responses").where("variant = 'B'").select(F.col("request_id").alias("id"), F.lit(True).alias("b")).distinct()
+    n = table(spark, d, "nodes").select(F.col("id").alias("node_id"), F.col("name").alias("node"))
+    return r.join(F.broadcast(n), "node_id", "left").join(b, "id", "left").select("id", S.micros("created_at").alias("at"), "node", F.coalesce("b", F.lit(False)).alias("has_b"))
+
+
+_NOW = "TIMESTAMPTZ '2026-02-01 00:00:00+00'"
+
+
+def _now():
+    return F.lit("2026-02-01 00:00:00+00").cast("timestamp")
+
+
+@query(
+    f"""WITH m AS (SELECT min(m.id) AS wanted FROM (SELECT unnest(models) AS m FROM nodes)), l AS (SELECT n.*, wanted FROM nodes n, m WHERE status = 'online' AND last_heartbeat > {_NOW} - INTERVAL 30 DAYS AND len(list_filter(models, lambda x: x.id = wanted OR x.family = wanted)) > 0)
+    SELECT name, row_number() OVER (ORDER BY active_requests / greatest(throughput::DOUBLE, 1.0), throughput DESC NULLS LAST, name) AS place FROM l"""
+)
+def pick_node(spark, d):
+    nodes = table(spark, d, "nodes").withColumn("throughput", F.col("throughput").cast("double"))
+    wanted = nodes.select(F.explode("models").alias("m")).agg(F.min("m.id")).first()[0]
+    best = S.pick_node(nodes, wanted, _now())
+    order = Window.orderBy((F.col("active_requests") / F.greatest("throughput", F.lit(1.0))).asc(), F.col("throughput").desc_nulls_last(), "name")
+    return best.select("name", F.row_number().over(order).cast("bigint").alias("place"))
+
+
+@query("SELECT m.id AS id, max_by(m.kind, name) AS kind, count(*) AS nodes FROM (SELECT name, unnest(models) AS m FROM nodes WHERE status = 'online') WHERE NOT coalesce(m.alias, false) GROUP BY 1")
+def available_models(spark, d):
+    return S.available_models(table(spark, d, "nodes"))
+
+
+@query(f"SELECT name, CASE WHEN status <> 'online' OR last_heartbeat < {_NOW} - INTERVAL 30 DAYS THEN 'offline' WHEN active_requests >= max_concurrency THEN 'busy' ELSE 'online' END AS state, (system::JSON ->> '$.cpu')::BIGINT AS cpu FROM nodes")
+def node_states(spark, d):
+    return table(spark, d, "nodes").select("name", S.node_state(_now()).alias("state"), F.get_json_object("system", "$.cpu").cast("bigint").alias("cpu"))
+
+
+@query(
+    f"""WITH r AS (SELECT user_id, count(*) AS requests, count(*) FILTER (feedback) AS asked FROM {ONCE} WHERE user_id IS NOT NULL GROUP BY 1)
+    SELECT u.id, coalesce(requests, 0) AS requests, coalesce(asked, 0) AS asked, round(least(greatest(feedback_given / greatest(feedback_prompts, 1) + 0.25, 0.1), 1.5), 6) AS rating FROM users u LEFT JOIN r ON r.user_id = u.id"""
+)
+def user_rating(spark, d):
+    r = S.deduplicated(table(spark, d, "requests")).where("user_id is not null").groupBy("user_id").agg(F.count("*").alias("requests"), F.count_if("feedback").alias("asked"))
+    u = table(spark, d, "users").join(r.withColumnRenamed("user_id", "id"), "id", "left")
+    return u.select("id", F.coalesce("requests", F.lit(0)).alias("requests"), F.coalesce("asked", F.lit(0)).alias("asked"), S.rating(F.col("feedback_given"), F.col("feedback_prompts")).alias("rating"))
+
+
+@query(
+    f"""SELECT id, round(least(greatest(coalesce(TRY_CAST(json_extract_string(params, '$.temperature') AS DOUBLE), 0.8), 0.05), 2.0), 6) AS temperature, least(greatest(coalesce(TRY_CAST(json_extract_string(params, '$.top_k') AS DOUBLE), 50.0), 1.0), 256.0)::INT AS top_k FROM {ONCE}"""
+)
+def request_params(spark, d):
+    return S.deduplicated(table(spark, d, "requests")).select("id", *S.clamped_params("params"))
+
+
+@query(f"SELECT json_valid(input) AS readable, CASE WHEN json_valid(input) THEN CASE WHEN input LIKE '{{\"story\"%' THEN 'story' WHEN input LIKE '{{\"prompt\"%' THEN 'prompt' ELSE 'other' END ELSE 'broken' END AS shape, count(*) AS n FROM {ONCE} WHERE input IS NOT NULL GROUP BY ALL")
+def request_shapes(spark, d):
+    r = S.deduplicated(table(spark, d, "requests")).where("input is not null")
+    ok = F.try_parse_json("input").isNotNull()
+    shape = F.when(~ok, "broken").when(F.startswith("input", F.lit('{"story"')), "story").when(F.startswith("input", F.lit('{"prompt"')), "prompt").otherwise("other")
+    return r.groupBy(ok.alias("readable"), shape.alias("shape")).agg(F.count("*").alias("n"))
+
+
+@query(
+    f"""SELECT id, count(*) OVER w1 AS in_minute, count(*) OVER w2 AS in_hour, count(*) OVER w3 AS in_day FROM (SELECT id, user_id, epoch_us(created_at) AS t FROM {ONCE} WHERE user_id IS NOT NULL)
+    WINDOW w1 AS (PARTITION BY user_id ORDER BY t RANGE BETWEEN 59999999 PRECEDING AND CURRENT ROW), w2 AS (PARTITION BY user_id ORDER BY t RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW), w3 AS (PARTITION BY user_id ORDER BY t RANGE BETWEEN 86399999999 PRECEDING AND CURRENT ROW)"""
+)
+def rate_window_all(spark, d):
+    r = S.deduplicated(table(spark, d, "requests")).where("user_id is not null").select("id", "user_id", "created_at")
+    return S.trailing_counts(r, "user_id", "created_at", {"in_minute": "minute", "in_hour": "hour", "in_day": "day"}).select("id", "in_minute", "in_hour", "in_day")
+
+
+@query()
+def rate_limiter_exact(spark, d):
+    r = S.deduplicated(table(spark, d, "requests")).where("user_id is not null").select("id", "user_id", "created_at")
+    return ST.limit_batch(r, "user_id", "created_at", "id", ST.Limits(1, 10, 100, 500)).groupBy("decision").agg(F.count("*").alias("n"))
+
+
+@query(
+    f"""WITH v AS (SELECT node_id, tokens::DOUBLE AS v, s.created_at, s.id FROM responses s JOIN {ONCE} r ON r.id = s.request_id WHERE tokens IS NOT NULL AND node_id IS NOT NULL),
+    k AS (SELECT node_id, list(v ORDER BY created_at, id) AS vs FROM v GROUP BY node_id) SELECT node_id, round(list_reduce(vs, lambda a, x: 0.7 * a + 0.3 * x), 4) AS ema, len(vs) AS n FROM k"""
+)
+def throughput_ema(spark, d):
+    r = S.deduplicated(table(spark, d, "requests")).where("node_id is not null").select(F.col("id").alias("request_id"), "node_id")
+    return S.ema(table(spark, d, "responses").join(r, "request_id"), "node_id", "created_at", "tokens")
+
+
+@query(
+    f"""WITH r AS (SELECT node_id, epoch_us(created_at) AS t, row_number() OVER (PARTITION BY node_id ORDER BY created_at DESC, id DESC) AS k FROM {ONCE} WHERE node_id IS NOT NULL)
+    SELECT node_id, count(*) AS n, round((count(*) - 1) / nullif((max(t) - min(t)) / 1000000, 0), 9) AS per_second FROM r WHERE k <= 400 GROUP BY node_id"""
+)
+def windowed_rate_400(spark, d):
+    r = S.deduplicated(table(spark, d, "requests")).where("node_id is not null")
+    return S.rate_of_last(r, "node_id", "created_at", 400, "id")
+
+
+@query(
+    f"""WITH e AS (SELECT node_id, epoch_us(created_at) AS t, 1 AS d FROM {ONCE} WHERE node_id IS NOT NULL AND latency_ms IS NOT NULL UNION ALL SELECT node_id, epoch_us(created_at) + latency_ms * 1000, -1 FROM {ONCE} WHERE node_id IS NOT NULL AND latency_ms IS NOT NULL),
+    g AS (SELECT node_id, t, sum(d) AS d FROM e GROUP BY 1, 2), r AS (SELECT node_id, sum(d) OVER (PARTITION BY node_id ORDER BY t) AS active FROM g) SELECT node_id, max(active)::BIGINT AS most_active FROM r GROUP BY node_id"""
+)
+def active_gauge(spark, d):
+    r = S.deduplicated(table(spark, d, "requests")).where("node_id is not null and latency_ms is not null")
+    t = S.micros("created_at")
+    e = r.select("node_id", F.explode(F.array(F.struct(t.alias("t"), F.lit(1).alias("d")), F.struct((t + F.col("latency_ms").cast("bigint") * 1000).alias("t"), F.lit(-1).alias("d")))).alias("e")).select("node_id", "e.*")
+    g = e.groupBy("node_id", "t").agg(F.sum("d").alias("d"))
+    w = Window.partitionBy("node_id").orderBy("t")
+    return g.select("node_id", F.sum("d").over(w).alias("active")).groupBy("node_id").agg(F.max("active").alias("most_active"))
+
+
+@query(
+    f"""WITH o AS (SELECT id, status = 'ok' AND ('0x' || substr(md5(concat('3:', id)), 1, 13))::BIGINT / 4503599627370496.0 < 0.3 AS two FROM {ONCE}) SELECT id, unnest(CASE WHEN two THEN ['A', 'B'] ELSE ['A'] END) AS variant FROM o"""
+)
+def ab_variants(spark, d):
+    r = S.deduplicated(table(spark, d, "requests")).select("id", ((F.col("status") == "ok") & (T.hash_fraction(F.lit("3"), F.col("id")) < 0.3)).alias("two"))
+    return r.select("id", F.explode(F.when(F.col("two"), F.array(F.lit("A"), F.lit("B"))).otherwise(F.array(F.lit("A")))).alias("variant"))
+
+
+@query(f"SELECT node_id, arg_min(id, (created_at, id)) AS id FROM {ONCE} WHERE status = 'pending' AND node_id IS NOT NULL GROUP BY node_id")
+def job_fifo_claim(spark, d):
+    r = S.deduplicated(table(spark, d, "requests")).where("status = 'pending' and node_id is not null")
+    return r.groupBy("node_id").agg(F.min_by("id", F.struct("created_at", "id")).alias("id"))
+
+
+@query("SELECT event_id, event_type FROM events WHERE event_id > 5000 ORDER BY event_id LIMIT 500")
+def event_cursor_read(spark, d):
+    return table(spark, d, "events").where("event_id > 5000").orderBy("event_id").limit(500).select("event_id", "event_type")
+
+
+@query(
+    """WITH e AS (SELECT user_id, event_id, event_type, event_type = 'purchase' AS reset FROM events), l AS (SELECT *, max(CASE WHEN reset THEN event_id END) OVER (PARTITION BY user_id) AS f FROM e)
+    SELECT user_id, md5(string_agg(event_type, '' ORDER BY event_id)) AS text FROM l WHERE f IS NULL OR event_id >= f GROUP BY user_id"""
+)
+def delta_fold(spark, d):
+    e = table(spark, d, "events").select(F.col("user_id").alias("job_id"), F.col("event_id").alias("id"), F.col("event_type").alias("delta"), (F.col("event_type") == "purchase").alias("reset"))
+    return S.fold_deltas(e).select(F.col("job_id").alias("user_id"), F.md5("text").alias("text"))
+
+
+@query(
+    """WITH d AS (SELECT date_trunc('day', ts)::DATE AS day, round(avg(value), 6) AS v FROM events GROUP BY 1), b AS (SELECT *, min(v) OVER (ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best_before FROM d)
+    SELECT day::VARCHAR AS day, v, best_before, coalesce(v < best_before, true) AS improved FROM b"""
+)
+def plateau_running_best(spark, d):
+    # one row a day: the number of days is bounded by the calendar, not by the events
+    days = table(spark, d, "events").groupBy(F.to_date("ts").cast("string").alias("day")).agg(F.round(F.avg("value"), 6).alias("v"))
+    return S.running_best(days, "day", "v")
+
+
+@query("SELECT user_id, max_by(value, event_id) AS value, max(event_id) AS event_id FROM events GROUP BY user_id")
+def latest_per_group(spark, d):
+    e = table(spark, d, "events").where("value is not null")
+    half = F.pmod(F.xxhash64("event_id"), F.lit(2)) == 0
+    return S.upsert_latest(e.where(half).select("user_id", "value", "event_id"), e.where(~half).select("user_id", "value", "event_id"), "user_id", "event_id")
+
+
+@query("SELECT user_id, count(*) AS sessions, max(n)::BIGINT AS longest FROM (SELECT user_id, s, count(*) AS n FROM (SELECT user_id, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTES THEN 0 ELSE 1 END AS new FROM events)) GROUP BY 1, 2) GROUP BY user_id")
+def idle_sessions(spark, d):
+    e = table(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    s = e.groupBy("user_id", F.session_window("ts", "30 minutes")).agg(F.count("*").alias("n"))
+    return s.groupBy("user_id").agg(F.count("*").alias("sessions"), F.max("n").alias("longest"))
+
+
+@query("SELECT v.name FROM (VALUES ('001_a'), ('002_b'), ('003_c'), ('004_d')) v(name) WHERE v.name NOT IN ('001_a', '003_c')")
+def migrations_pending(spark, d):
+    one = lambda xs: spark.createDataFrame([(x,) for x in xs], "name string")
+    return S.missing(one(["001_a", "002_b", "003_c", "004_d"]), one(["001_a", "003_c"]), "name")
+
+
+# -- stories
+
+_FIELDS = {"hero": ["fox", "owl", "girl"], "setting": ["forest", "harbour"], "problem": ["lost", "storm", "fear"], "lesson": ["share", "try again"]}
+_COMBOS = " CROSS JOIN ".join(f"(SELECT unnest([{', '.join(repr(v) for v in vs)}]) AS {n})" for n, vs in _FIELDS.items())
+
+
+@query(
+    f"""WITH c AS (SELECT hero, setting, problem, lesson FROM {_COMBOS}), r AS (SELECT *, row_number() OVER (ORDER BY md5(concat_ws(':', '42', hero, setting, problem, lesson)), hero, setting, problem, lesson) AS k FROM c),
+    w AS (SELECT hero, setting, problem, lesson, (100 // 36 + CASE WHEN k <= 100 % 36 THEN 1 ELSE 0 END)::BIGINT AS want, CASE WHEN hero = 'fox' AND setting = 'forest' THEN 4 ELSE 0 END::BIGINT AS have FROM r)
+    SELECT *, greatest(0, want - have)::BIGINT AS missing FROM w"""
+)
+def story_combo_plan(spark, d):
+    combos = P.product(spark, _FIELDS)
+    done = combos.where("hero = 'fox' and setting = 'forest'").crossJoin(spark.range(4)).drop("id")
+    return P.deficits(combos, done, 100, [*_FIELDS], 36)
+
+
+@query(
+    rf"""WITH a AS (SELECT id, trim(regexp_replace(coalesce(output, ''), '[ \t\n\r]+', ' ', 'g')) AS c FROM responses), b AS (SELECT *, list_filter(string_split(regexp_replace(c, '([.!?]) ', '\1' || chr(10), 'g'), chr(10)), lambda s: s <> '') AS ss, {n_of("c", r"\S+")} AS n FROM a)
+    SELECT id, CASE WHEN c = '' THEN 'empty' WHEN NOT regexp_matches(c, '[.!?]$') THEN 'truncated' WHEN len(ss) < 2 THEN 'too_short' WHEN len(list_filter(ss, lambda s: {n_of("s", r"\S+")} > 24)) > 0 THEN 'long_sentence' WHEN n < 10 OR n > 90 THEN 'word_count' ELSE 'ok' END AS reason FROM b"""
+)
+def story_validate(spark, d):
+    return table(spark, d, "responses").select("id", P.story_reason(F.col("output"), least=2, low=10).alias("reason"))
+
+
+@query("SELECT id, CASE WHEN raw_output IS NULL THEN 'absent' WHEN reverse(raw_output) = output THEN 'match' ELSE 'mismatch' END AS raw FROM responses")
+def raw_output_verify(spark, d):
+    return table(spark, d, "responses").select("id", F.when(F.col("raw_output").isNull(), "absent").when(F.reverse("raw_output") == F.col("output"), "match").otherwise("mismatch").alias("raw"))
+
+
+@query(
+    f"""WITH s AS (SELECT id, 'hero: ' || json_extract_string(input, '$.story.hero') || chr(10) || 'problem: ' || json_extract_string(input, '$.story.problem') AS f, json_extract_string(input, '$.story.lesson') AS l FROM {ONCE} WHERE json_valid(input))
+    SELECT id, md5('<|input|>' || chr(10) || reverse(f) || chr(10) || '<|story|>' || chr(10) || reverse(l) || chr(10) || '<|end|>') AS prompt FROM s WHERE f IS NOT NULL AND l IS NOT NULL"""
+)
+def prompt_template(spark, d):
+    r = S.deduplicated(table(spark, d, "requests")).where(F.try_parse_json("input").isNotNull())
+    s = r.select("id", *(F.get_json_object("input", f"$.story.{f}").alias(f) for f in ("hero", "problem", "lesson"))).where("hero is not null and problem is not null and lesson is not null")
+    return s.select("id", F.md5(V.training_prompt(["hero", "problem"], "lesson")).alias("prompt"))
+
+
+# -- streams (each is run to its end over the table's files and read back)
+
+
+@query("SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY event_type")
+def stream_overview(spark, d):
+    return ST.run_to_end(ST.stream_of(spark, f"{d}/events.parquet"), lambda s: s.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")), "complete")
+
+
+@query()
+def stream_limiter(spark, d):
+    return ST.limit_stream(spark, f"{d}/events.parquet", "user_id", "ts", "event_id", ST.Limits(1, 10, 100, 500)).groupBy("decision").agg(F.count("*").alias("n"))
+
+
+@query("SELECT count(*) AS n, count(DISTINCT event_id) AS events FROM events")
+def stream_dedup(spark, d):
+    return ST.run_to_end(ST.stream_of(spark, f"{d}/events.parquet"), lambda s: s.dropDuplicates(["event_id"]).select("event_id"), "append").agg(F.count("*").alias("n"), F.countDistinct("event_id").alias("events"))
