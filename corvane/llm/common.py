@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
 import re
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -14,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.sources.shared import materialize, shared_dir  # noqa: F401
+
 #: Characters of text that one Python step handles at a time, so that a batch of long texts stays small in memory.
 CHUNK_CHARS = 3_000_000
 
@@ -41,24 +39,6 @@ LANGUAGES = {
 LANG_SPELLINGS = {s: code for code, names in LANGUAGES.items() for s in (code, *names)}
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one is set where the session names none (local runs)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        folder = tempfile.mkdtemp(prefix="corvane-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        at = f"file://{folder}"
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage is cut, and any later stage can be run again after a lost executor."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 _ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64(), "float": pa.float32(), "boolean": pa.bool_(), "binary": pa.binary()}
 
 
