@@ -82,6 +82,15 @@ def chunks(batch: pa.RecordBatch, text: str | None) -> Iterator[pa.RecordBatch]:
     yield batch.slice(start)
 
 
+def hash_sample(df: DataFrame, key: str, n: int) -> DataFrame:
+    """About n rows (all, of no more), by a bound on the hash of the key: each task passes on its share only. Keys that occur
+    very often can't exceed 2 n rows."""
+    rows = df.count()
+    if rows <= n:
+        return df
+    return df.where(F.pmod(F.xxhash64(key), F.lit(1 << 40)) < int((1 << 40) * n / rows)).limit(2 * n)
+
+
 def lists(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values))
 

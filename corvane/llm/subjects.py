@@ -21,9 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import SOURCE_ALIASES, arrow_schema, chunks, clean_source
+from corvane.llm.common import SOURCE_ALIASES, arrow_schema, chunks, clean_source, hash_sample
 
-#: Labelled and unlabelled documents that the models are estimated on, at the most.
+#: Labelled and unlabelled documents that the models are estimated on, about.
 SAMPLE_LABELLED, SAMPLE_OTHERS = 4000, 4000
 BEAM = 8
 LEAST = 0.25
@@ -245,11 +245,11 @@ def train_subjects(docs: DataFrame, labels: DataFrame, areas: DataFrame, doc_id:
         raise ValueError(f"more than {MOST_SUBJECTS} subjects")
     by = {n.lower().strip(): n for n in names}
     known = clean_labels(labels, [*by])
-    chosen = known.groupBy("k").agg(F.sort_array(F.collect_set("s")).alias("labels")).orderBy(F.xxhash64("k"), "k").limit(SAMPLE_LABELLED)
-    others = docs.select(F.col(doc_id).alias("k")).where("k is not null").orderBy(F.xxhash64("k"), "k").limit(SAMPLE_OTHERS).select("k", F.array().cast("array<string>").alias("labels"))
-    # at most SAMPLE_LABELLED + SAMPLE_OTHERS rows; a document in both keeps its labels
+    chosen = hash_sample(known.groupBy("k").agg(F.sort_array(F.collect_set("s")).alias("labels")), "k", SAMPLE_LABELLED)
+    others = hash_sample(docs.select(F.col(doc_id).alias("k")).where("k is not null"), "k", SAMPLE_OTHERS).select("k", F.array().cast("array<string>").alias("labels"))
+    # about SAMPLE_LABELLED + SAMPLE_OTHERS rows and never twice as many; a document in both keeps its labels
     both = chosen.unionByName(others).groupBy("k").agg(F.max("labels").alias("labels"))
-    rows = docs.select(F.col(doc_id).alias("k"), F.col(text).alias("t"), clean_source(source).alias("src")).join(F.broadcast(both), "k").where("t is not null").collect()
+    rows = docs.select(F.col(doc_id).alias("k"), F.col(text).alias("t"), clean_source(source).alias("src")).join(F.broadcast(both), "k").where("t is not null").limit(4 * (SAMPLE_LABELLED + SAMPLE_OTHERS)).collect()
     rows.sort(key=lambda r: (r.k, r.t))
     model = SubjectModel(names)
     model.fit([r.t for r in rows], [frozenset(by[s] for s in r.labels) for r in rows], [r.src for r in rows])
