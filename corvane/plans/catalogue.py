@@ -325,7 +325,7 @@ _N = n_of(_A, r"\S+")
 
 @query(
     f"""SELECT seq, CASE WHEN regexp_matches({_U}, '^[ \t\n\r]*$') OR regexp_matches({_A}, '^[ \t\n\r]*$') THEN 'empty' WHEN contains({_U}, chr(65533)) OR contains({_A}, chr(65533)) THEN 'mojibake' WHEN regexp_matches({_A}, '{_q(I.SELF_LEAK)}') THEN 'self_leak'
-    WHEN regexp_matches({_U} || ' ' || {_A}, '{_q(I.FOREIGN)}') THEN 'foreign' WHEN regexp_matches({_U}, '{_q(I.TRANSLATION)}') OR regexp_matches({_A}, '{_q(I.TRANSLATION)}') THEN 'translation' WHEN regexp_matches({_A}, '\?[ \t\n\r]*$') THEN 'follow_up'
+    WHEN regexp_matches({_U} || ' ' || {_A}, '{_q(I.FOREIGN)}') THEN 'foreign' WHEN regexp_matches({_U}, '{_q(I.TRANSLATION)}') OR regexp_matches({_A}, '{_q(I.TRANSLATION)}') THEN 'translation' WHEN regexp_matches({_A}, '[?][ \t\n\r]*$') THEN 'follow_up'
     WHEN regexp_matches({_A}, '{_q(I.FORBIDDEN)}') THEN 'forbidden' WHEN {_N} >= 25 AND {words_of(_A, I.FUNCTION_WORDS)} / greatest({_N}, 1) < 0.10 THEN 'word_salad' WHEN {_N} < 4 OR {_N} > 200 THEN 'length' ELSE 'kept' END AS reason FROM sft_pairs"""
 )
 def sft_heuristic_reasons(spark, d):
