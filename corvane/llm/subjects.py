@@ -149,6 +149,8 @@ class SubjectModel:
 
     def fit(self, texts: list[str], labels: list[frozenset[str]], sources: list[str], rounds: int = 3) -> None:
         """labels: the subjects of each text; an empty set: not labelled."""
+        if not self.subjects:
+            return
         docs = [cut(t) for t in texts]
         langs = [language_of(d) for d in docs]
         k = len(self.subjects)
@@ -215,6 +217,8 @@ class SubjectModel:
 
     def subjects_of(self, texts: list[str | None], sources: list[str], least: float = LEAST) -> list[tuple[int, int, float]]:
         """(text number, subject number, share of its words) of all texts."""
+        if not self.subjects:
+            return []
         x = self.features([cut(t) for t in texts], sources)
         k = len(self.subjects)
         given = self.decode(x) & (x[:, : 2 * k : 2] >= least - 1e-9)
