@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 
 from corvane.llm.common import WORD, Ids, arrow_schema, chunks, lists, map_rows, materialize
 
-SKETCH_BITS, BUDGET, BANDS, ROWS = 128, 46, 28, 3
+SKETCH_BITS, BUDGET, BANDS, ROWS = 256, 86, 24, 3
+SIG = SKETCH_BITS // 64
 #: Rows of one key beyond which its trie is divided over several tasks, by the pairs of its top nodes.
 HOT_ROWS, TOP_BITS = 20_000, 4
 #: Every so manieth document is looked at to find such keys; this decides only how work is divided.
@@ -59,11 +60,11 @@ def within(runs: np.ndarray, counts: np.ndarray, k: int) -> np.ndarray:
 
 
 def sketch(hashes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Per document (slices of hashes that begin at starts, none empty): BANDS keys and SKETCH_BITS bits as two words."""
+    """Per document (slices of hashes that begin at starts, none empty): BANDS keys, and SKETCH_BITS bits as 64-bit words."""
     x = (hashes >> np.uint64(32)).astype(np.uint32) ^ hashes.astype(np.uint32)
     n = len(starts)
     need = max(SKETCH_BITS, BANDS * ROWS)
-    sig = np.zeros((n, 2), np.uint64)
+    sig = np.zeros((n, SIG), np.uint64)
     keys = np.zeros((n, BANDS), np.uint64)
     for k in range(need):
         low = np.minimum.reduceat(x * _MUL[k] + _ADD[k], starts).astype(np.uint64)
@@ -89,12 +90,12 @@ def fingerprints(df: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
                 counts = np.array([len(w) for w in words], np.int64)
                 lengths = np.maximum(counts - shingle + 1, 0)
                 has = lengths > 0
-                flat = np.zeros((0, BANDS + 2), np.int64)
+                flat = np.zeros((0, BANDS + SIG), np.int64)
                 if has.any():
                     hashes = within(shingle_hashes(np.fromiter((ids[x] for w in words for x in w), np.uint64, int(counts.sum())), shingle), counts, shingle)
                     bands, sig = sketch(hashes, (np.cumsum(lengths) - lengths)[has])
                     flat = np.concatenate([bands, sig], axis=1).view(np.int64)
-                offsets = np.concatenate([[0], np.cumsum(has * (BANDS + 2))])
+                offsets = np.concatenate([[0], np.cumsum(has * (BANDS + SIG))])
                 h1 = np.array([d >> 64 for d in digests], np.uint64).view(np.int64)
                 h2 = np.array([d & (2**64 - 1) for d in digests], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([keys.cast(schema[0].type), pa.array(counts, pa.int32()), pa.array(h1), pa.array(h2), lists(flat.ravel(), offsets).cast(schema[4].type)], schema=schema)
@@ -103,10 +104,11 @@ def fingerprints(df: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
     return df.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text")).where("id is not null and text is not null").mapInArrow(run, ddl).where("words > 0")
 
 
-def trie_self_join(group: np.ndarray, hi: np.ndarray, lo: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (i, j) of all pairs within one group whose 128 bits differ in at most budget places, each once."""
-    order = np.lexsort((lo, hi, group))
-    g, a, b = group[order], hi[order], lo[order]
+def trie_self_join(group: np.ndarray, sig: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (i, j) of all pairs within one group whose bits (rows of 64-bit words) differ in at most budget places, each once."""
+    bits = 64 * sig.shape[1]
+    order = np.lexsort((*sig.T[::-1], group))
+    g, a = group[order], np.ascontiguousarray(sig[order])
     starts = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
     ends = np.append(starts[1:], len(g))
     many = ends - starts > 1
@@ -118,16 +120,16 @@ def trie_self_join(group: np.ndarray, hi: np.ndarray, lo: np.ndarray, budget: in
     while stack:
         depth, l1, r1, l2, r2, acc = stack.pop()
         same = l1 == l2
-        small = ((r1 - l1) * (r2 - l2) <= LEAF) | (depth == SKETCH_BITS)
+        small = ((r1 - l1) * (r2 - l2) <= LEAF) | (depth == bits)
         if small.any():
-            _compare(a, b, l1[small], r1[small], l2[small], r2[small], budget, out)
+            _compare(a, l1[small], r1[small], l2[small], r2[small], budget, out)
         keep = ~small
         if not keep.any():
             continue
         l1, r1, l2, r2, acc, same = l1[keep], r1[keep], l2[keep], r2[keep], acc[keep], same[keep]
         if depth not in ones:
-            word, shift = (a, 63 - depth) if depth < 64 else (b, 127 - depth)
-            ones[depth] = np.concatenate([[0], np.cumsum((word >> np.uint64(shift)) & np.uint64(1))]).astype(np.int64)
+            bit = (a[:, depth // 64] >> np.uint64(63 - depth % 64)) & np.uint64(1)
+            ones[depth] = np.concatenate([[0], np.cumsum(bit)]).astype(np.int64)
         c = ones[depth]
         m1, m2 = r1 - (c[r1] - c[l1]), r2 - (c[r2] - c[l2])
         n = ~same
@@ -147,7 +149,7 @@ def trie_self_join(group: np.ndarray, hi: np.ndarray, lo: np.ndarray, budget: in
     return order[np.concatenate([x for x, _ in out])], order[np.concatenate([y for _, y in out])]
 
 
-def _compare(a, b, l1, r1, l2, r2, budget, out) -> None:
+def _compare(a, l1, r1, l2, r2, budget, out) -> None:
     """All pairs of the entries of each node pair, by the number of bits that differ."""
     step = max(1, 2_000_000 // max(1, int(((r1 - l1) * (r2 - l2)).max())))
     for k in range(0, len(l1), step):
@@ -158,14 +160,18 @@ def _compare(a, b, l1, r1, l2, r2, budget, out) -> None:
         i, j = p[which] + at // w[which], q[which] + at % w[which]
         fine = (p[which] != q[which]) | (i < j)
         i, j = i[fine], j[fine]
-        d = np.bitwise_count(a[i] ^ a[j]).astype(np.int16) + np.bitwise_count(b[i] ^ b[j])
+        d = np.bitwise_count(a[i] ^ a[j]).sum(1, dtype=np.int16)
         fine = d <= budget
         if fine.any():
             out.append((i[fine], j[fine]))
 
 
+_WORDS = [f"s{k}" for k in range(SIG)]
+
+
 def _banded(reps: DataFrame) -> DataFrame:
-    return reps.select("id", F.element_at("sk", BANDS + 1).alias("hi"), F.element_at("sk", BANDS + 2).alias("lo"), F.posexplode(F.slice("sk", 1, BANDS)).alias("band", "key")).select(F.xxhash64("key", "band").alias("key"), "id", "hi", "lo")
+    words = [F.element_at("sk", BANDS + 1 + k).alias(w) for k, w in enumerate(_WORDS)]
+    return reps.select("id", *words, F.posexplode(F.slice("sk", 1, BANDS)).alias("band", "key")).select(F.xxhash64("key", "band").alias("key"), "id", *_WORDS)
 
 
 def candidates(reps: DataFrame, budget: int = BUDGET) -> DataFrame:
@@ -174,18 +180,18 @@ def candidates(reps: DataFrame, budget: int = BUDGET) -> DataFrame:
     hot = _banded(reps.where(F.pmod(F.xxhash64("id"), F.lit(HOT_SAMPLE)) == 0)).groupBy("key").count().where(F.col("count") > HOT_ROWS / HOT_SAMPLE / 2).select("key", F.lit(True).alias("hot"))
     # A key is hot with more than HOT_ROWS rows in the sample's measure: there are at most rows / HOT_ROWS of them.
     rows = rows.join(F.broadcast(hot), "key", "left")
-    top = F.shiftrightunsigned("hi", 64 - TOP_BITS).cast("int")
+    top = F.shiftrightunsigned("s0", 64 - TOP_BITS).cast("int")
     others = F.transform(F.sequence(F.lit(0), F.lit(2**TOP_BITS - 1)), lambda q: F.least(q, top) * 2**TOP_BITS + F.greatest(q, top))
-    rows = rows.select("key", "id", "hi", "lo", F.explode(F.when(F.col("hot"), others).otherwise(F.array(F.lit(-1)))).alias("part"))
+    rows = rows.select("key", F.explode(F.when(F.col("hot"), others).otherwise(F.array(F.lit(-1)))).alias("part"), "id", *_WORDS)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = arrow_schema("a bigint, b bigint")
 
-        def emit(key, part, ids, hi, lo):
-            h = _mix(key.view(np.uint64) + part.astype(np.int64).view(np.uint64))
-            i, j = trie_self_join(h, hi.view(np.uint64), lo.view(np.uint64), budget)
+        def emit(key, part, ids, *words):
+            sig = np.stack([w.view(np.uint64) for w in words], 1)
+            i, j = trie_self_join(_mix(key.view(np.uint64) + part.astype(np.int64).view(np.uint64)), sig, budget)
             # a divided key's part (p, q) gives only the pairs between its two top nodes
-            t = (hi.view(np.uint64) >> np.uint64(64 - TOP_BITS)).astype(np.int64)
+            t = (sig[:, 0] >> np.uint64(64 - TOP_BITS)).astype(np.int64)
             fine = (part[i] < 0) | (np.minimum(t[i], t[j]) * 2**TOP_BITS + np.maximum(t[i], t[j]) == part[i])
             x, y = ids[i[fine]], ids[j[fine]]
             keep = x != y
@@ -195,23 +201,22 @@ def candidates(reps: DataFrame, budget: int = BUDGET) -> DataFrame:
         held: list[list[np.ndarray]] = []
         n = 0
         for b in batches:  # sorted by key and part, so a group is whole once the next begins
-            cols = [b.column(k).to_numpy(zero_copy_only=False) for k in range(5)]
-            held.append(cols)
+            held.append([b.column(k).to_numpy(zero_copy_only=False) for k in range(3 + SIG)])
             n += b.num_rows
             if n < 200_000:
                 continue
-            key, part, ids, hi, lo = (np.concatenate([h[k] for h in held]) for k in range(5))
-            cut = np.flatnonzero((key[1:] != key[:-1]) | (part[1:] != part[:-1]))
+            cols = [np.concatenate(c) for c in zip(*held)]
+            cut = np.flatnonzero((cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1]))
             if not len(cut):
-                held = [[key, part, ids, hi, lo]]
+                held = [cols]
                 continue
             cut = cut[-1] + 1
-            yield emit(key[:cut], part[:cut], ids[:cut], hi[:cut], lo[:cut])
-            held, n = [[key[cut:], part[cut:], ids[cut:], hi[cut:], lo[cut:]]], len(key) - cut
+            yield emit(*(c[:cut] for c in cols))
+            held, n = [[c[cut:] for c in cols]], len(cols[0]) - cut
         if held:
-            yield emit(*(np.concatenate([h[k] for h in held]) for k in range(5)))
+            yield emit(*(np.concatenate(c) for c in zip(*held)))
 
-    parted = rows.repartition("key", "part").sortWithinPartitions("key", "part").select("key", "part", "id", "hi", "lo")
+    parted = rows.repartition("key", "part").sortWithinPartitions("key", "part").select("key", "part", "id", *_WORDS)
     return parted.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
