@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from corvane.llm.common import map_rows, materialize
 
 BLOCK = 2049
-GROUPS = 24
+GROUPS = 64
 #: Lengths of more than this share of a block are large.
 LARGE = 1 / 8
 #: Parts in which the sequences of one length are ranked apart.
@@ -30,20 +30,23 @@ def configurations(sizes: list[int], counts: list[int], block: int) -> list[tupl
     """Configurations (how many of each size) and how many blocks of each, by the simplex method with columns priced by a knapsack."""
     m = len(sizes)
     basis = np.diag([float(block // s) for s in sizes])
-    need = np.array(counts, float)
+    need, each = np.array(counts, float), np.array(sizes)
     for _ in range(60 * m):
         prices = np.linalg.solve(basis.T, np.ones(m))
         best, took = np.zeros(block + 1), np.full(block + 1, -1)
-        for k, s in enumerate(sizes):
-            if prices[k] <= 1e-12:
-                continue
-            for c in range(s, block + 1):
-                if best[c - s] + prices[k] > best[c] + 1e-12:
-                    best[c], took[c] = best[c - s] + prices[k], k
+        for c in range(int(each.min()), block + 1):
+            worth = np.where(each <= c, best[np.maximum(c - each, 0)] + prices, -1.0)
+            k = int(worth.argmax())
+            best[c] = best[c - 1]
+            if worth[k] > best[c] + 1e-12:
+                best[c], took[c] = worth[k], k
         if best[block] <= 1 + 1e-7:
             break
         column, c = np.zeros(m), block
-        while took[c] >= 0:
+        while c > 0:
+            if took[c] < 0:
+                c -= 1
+                continue
             column[took[c]] += 1
             c -= sizes[took[c]]
         step, have = np.linalg.solve(basis, column), np.linalg.solve(basis, need)

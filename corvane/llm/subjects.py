@@ -142,7 +142,8 @@ class SubjectModel:
             order = np.sort(share, axis=1)
             top = share.argmax(1)
             lift = n[np.arange(len(n)), top] * np.log(np.maximum(share.max(1) * k, 1e-9))
-            keep = (order[:, -1] >= TERM_SHARE) & (order[:, -3:].sum(1) >= TERM_THREE) & (lift >= TERM_LIFT)
+            keep = (order[:, -1] >= max(TERM_SHARE, min(0.9, 1.5 / k)))  # of few subjects, each has much of any word
+            keep &= (order[:, -3:].sum(1) >= TERM_THREE) & (lift >= TERM_LIFT)
             self.vocab[lang] = {words[i]: len(rows) + r for r, i in enumerate(np.flatnonzero(keep))}
             rows += list(np.log(np.maximum(share[keep], 0.01) * k))
         self.weights = np.array(rows)
@@ -162,7 +163,7 @@ class SubjectModel:
                 x = self.features(docs, sources)[:, : 2 * k : 2]
                 taken = [frozenset(s for j, s in enumerate(self.subjects) if row[j] >= (0.1 if s in of else 0.4 if of else LEAST)) for row, of in zip(x, labels)]
         x = self.features(docs, sources)
-        use = np.array([bool(of) for of in labels])
+        use = np.array([bool(of) for of in labels], bool)
         # documents that nobody labelled are examples of no subject only where next to nothing in them is on one
         plain = ~use & (x[:, : 2 * k : 2].max(1) < 0.1) if len(x) else use
         y = np.array([[s in of for s in self.subjects] for of in labels], float).reshape(len(labels), k)
