@@ -27,20 +27,25 @@ def ratio(part: Column, whole: Column) -> Column:
     return F.round(part / F.greatest(whole, F.lit(1)), 6)
 
 
+def without(c: Column | str, pattern: str) -> Column:
+    """How many characters are left of c when all runs of a pattern are taken away."""
+    return F.length(F.regexp_replace(col(c), pattern, ""))
+
+
 def visible(c: Column | str) -> Column:
-    return F.regexp_count(col(c), F.lit(r"\S"))
+    return without(c, r"\s+")
 
 
 def letters(c: Column | str) -> Column:
-    return F.regexp_count(col(c), F.lit(r"\p{L}"))
+    return F.length(col(c)) - without(c, r"\p{L}+")
 
 
 def latin_letters(c: Column | str) -> Column:
-    return F.regexp_count(col(c), F.lit(r"[A-Za-z\x{00AA}\x{00B5}\x{00BA}\x{00C0}-\x{00D6}\x{00D8}-\x{00F6}\x{00F8}-\x{024F}]"))
+    return F.length(col(c)) - without(c, r"[A-Za-z\x{00AA}\x{00B5}\x{00BA}\x{00C0}-\x{00D6}\x{00D8}-\x{00F6}\x{00F8}-\x{024F}]+")
 
 
 def digits(c: Column | str) -> Column:
-    return F.regexp_count(col(c), F.lit("[0-9]"))
+    return F.length(col(c)) - F.length(F.translate(col(c), "0123456789", ""))
 
 
 def stop_words(c: Column | str) -> Column:
@@ -71,13 +76,26 @@ def is_table_line(c: Column) -> Column:
 def is_code_line(c: Column) -> Column:
     braces = F.length(c) - F.length(F.translate(c, "{}", ""))
     symbols = F.length(c) - F.length(F.translate(c, "{}[]<>;`\\=_", ""))
-    return c.rlike(CODE_START) | c.rlike(CODE_TOKEN) | (braces >= 2) | ((F.length(c) > 24) & (symbols / F.length(c) > 0.15))
+    token = any_of(c, ["=>", "::", "&&", "||"]) | (any_of(c, ["console.", "System.", "print"]) & c.rlike(CODE_TOKEN))
+    return c.rlike(CODE_START) | token | (braces >= 2) | ((F.length(c) > 24) & (symbols / F.length(c) > 0.15))
 
 
 def is_boilerplate(c: Column) -> Column:
     return c.rlike(BOILERPLATE)
 
 
+def any_of(c: Column, stems: list[str]) -> Column:
+    out = F.contains(c, F.lit(stems[0]))
+    for s in stems[1:]:
+        out = out | F.contains(c, F.lit(s))
+    return out
+
+
+def may_be_boilerplate(c: Column) -> Column:
+    """False where no line can match: a few searches for plain strings save the pattern's work on most documents."""
+    return any_of(F.lower(c), ["cookie", "privacy", "terms of", "reserved", "subscribe", "sign in", "log in", "click", "read more", "share this", "leave a", "related", "advertisement", "skip to", "javascript", "newsletter", "follow us", "print page", "back to"])
+
+
 def tokens(c: Column | str) -> Column:
     return F.regexp_extract_all(F.lower(col(c)), F.lit("[a-z0-9]+"), F.lit(0))
 

@@ -14,36 +14,40 @@ MIN_CHARS, MIN_WORDS, MAX_WORDS = 200, 50, 10_000
 
 
 def text_ratios(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    n, c = T.words(text), F.col(text)
-    return docs.select(key, n.alias("words"), T.ratio(T.letters(c), T.visible(c)).alias("alpha"), T.ratio(T.latin_letters(c), T.letters(c)).alias("latin"), T.ratio(T.digits(c), T.visible(c)).alias("digits"), T.stop_words(c).cast("bigint").alias("stops"), T.ratio(T.stop_words(c), n).alias("stop_ratio"))
+    c = F.col(text)
+    x = docs.select(key, T.words(text).alias("words"), T.letters(c).alias("_l"), T.visible(c).alias("_v"), T.latin_letters(c).alias("_a"), T.digits(c).alias("_d"), T.stop_words(c).cast("bigint").alias("stops"))
+    n = lambda name: F.col(name)
+    return x.select(key, "words", T.ratio(n("_l"), n("_v")).alias("alpha"), T.ratio(n("_a"), n("_l")).alias("latin"), T.ratio(n("_d"), n("_v")).alias("digits"), "stops", T.ratio(n("stops"), n("words")).alias("stop_ratio"))
 
 
 def line_counts(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """By document: lines, distinct lines, and lines of each bad kind. Higher-order functions: no row is exploded or shuffled."""
-    x = docs.withColumn("_l", T.lines(F.coalesce(F.col(text), F.lit(""))))
+    x = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("_t")).select(key, T.lines("_t").alias("_l"), T.may_be_boilerplate(F.col("_t")).alias("_m"))
     count = lambda p: F.size(F.filter("_l", p)).cast("bigint")
-    return x.select(key, F.size("_l").cast("bigint").alias("lines"), F.size(F.array_distinct("_l")).cast("bigint").alias("distinct_lines"), count(T.is_table_line).alias("table_lines"), count(T.is_code_line).alias("code_lines"), count(T.is_boilerplate).alias("boiler_lines"))
+    return x.select(key, F.size("_l").cast("bigint").alias("lines"), F.size(F.array_distinct("_l")).cast("bigint").alias("distinct_lines"), count(T.is_table_line).alias("table_lines"), count(T.is_code_line).alias("code_lines"), F.when(F.col("_m"), count(T.is_boilerplate)).otherwise(0).alias("boiler_lines"))
 
 
-def reject_reason(text: str = "text") -> Column:
-    """The first reason against a document, or 'accepted'."""
+def with_reason(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs and reason: the first reason against a document, or 'accepted'. Each figure is computed once, before the reasons."""
     c = F.col(text)
-    ls = T.lines(F.coalesce(c, F.lit("")))
-    code, boiler = F.size(F.filter(ls, T.is_code_line)), F.size(F.filter(ls, lambda x: T.is_boilerplate(x) | T.is_table_line(x)))
-    n = F.size(ls)
-    return (
+    x = docs.withColumn("_ls", T.lines(F.coalesce(c, F.lit(""))))
+    bad = F.when(T.may_be_boilerplate(c), F.size(F.filter("_ls", lambda v: T.is_boilerplate(v) | T.is_table_line(v)))).otherwise(F.size(F.filter("_ls", T.is_table_line)))
+    x = x.withColumns({"_n": F.size("_ls"), "_code": F.size(F.filter("_ls", T.is_code_line)), "_bad": bad, "_w": T.words(c), "_a": T.letters(c), "_v": T.visible(c), "_la": T.latin_letters(c), "_d": T.digits(c), "_st": T.stop_words(c), "_u": F.size(F.array_distinct("_ls"))})
+    part = lambda a, b: F.col(a) / F.greatest(F.col(b), F.lit(1))
+    reason = (
         F.when(c.isNull() | (F.length(c) < MIN_CHARS), "too_short_raw")
         .when(F.contains(c, F.lit("�")), "replacement_character")
-        .when((code >= 15) | ((code >= 5) & (code / F.greatest(n, F.lit(1)) >= 0.08)), "code_heavy")
-        .when((boiler >= 12) | ((boiler >= 5) & (boiler / F.greatest(n, F.lit(1)) >= 0.30)), "boilerplate_heavy")
-        .when(T.words(c) < MIN_WORDS, "too_short")
-        .when(T.letters(c) / F.greatest(T.visible(c), F.lit(1)) < 0.64, "low_alpha")
-        .when(T.latin_letters(c) / F.greatest(T.letters(c), F.lit(1)) < 0.94, "non_english_script")
-        .when(T.digits(c) / F.greatest(T.visible(c), F.lit(1)) > 0.18, "too_many_digits")
-        .when((T.stop_words(c) < 3) | (T.stop_words(c) / F.greatest(T.words(c), F.lit(1)) < 0.045), "non_english")
-        .when((n >= 8) & (F.size(F.array_distinct(ls)) / F.greatest(n, F.lit(1)) < 0.60), "repetition")
+        .when((F.col("_code") >= 15) | ((F.col("_code") >= 5) & (part("_code", "_n") >= 0.08)), "code_heavy")
+        .when((F.col("_bad") >= 12) | ((F.col("_bad") >= 5) & (part("_bad", "_n") >= 0.30)), "boilerplate_heavy")
+        .when(F.col("_w") < MIN_WORDS, "too_short")
+        .when(part("_a", "_v") < 0.64, "low_alpha")
+        .when(part("_la", "_a") < 0.94, "non_english_script")
+        .when(part("_d", "_v") > 0.18, "too_many_digits")
+        .when((F.col("_st") < 3) | (part("_st", "_w") < 0.045), "non_english")
+        .when((F.col("_n") >= 8) & (part("_u", "_n") < 0.60), "repetition")
         .otherwise("accepted")
     )
+    return x.select(*docs.columns, reason.alias("reason"))
 
 
 def validation_flags(text: str = "text") -> Column:
@@ -56,7 +60,7 @@ def validation_flags(text: str = "text") -> Column:
             flag(F.contains(c, F.lit("�")) | c.rlike(r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"), "broken_unicode"),
             flag(c.rlike(r"</?[a-zA-Z][a-zA-Z0-9]*( [^<>]*)?/?>"), "html"),
             flag(c.rlike(r"&([a-zA-Z]{2,8}|#[0-9]{1,6});"), "html_entity"),
-            flag(T.is_boilerplate(c), "boilerplate"),
+            flag(T.may_be_boilerplate(c) & T.is_boilerplate(c), "boilerplate"),
             flag(F.size(F.filter(ls, T.is_code_line)) >= 3, "code"),
             flag(F.size(F.filter(ls, T.is_table_line)) >= 2, "table"),
             flag(T.words(c) < MIN_WORDS, "too_short"),

@@ -135,13 +135,13 @@ def _reasons(name: str, cols: str) -> str:
 
 @query(_reasons("corpus_docs", "seq"))
 def corpus_reject_reasons(spark, d):
-    return table(spark, d, "corpus_docs").select("seq", C.reject_reason().alias("reason"))
+    return C.with_reason(table(spark, d, "corpus_docs").select("seq", "text")).select("seq", "reason")
 
 
 @query(f"SELECT source, reason, count(*) AS documents FROM ({_reasons('documents', SOURCE_SQL.format(c='source') + ' AS source')}) GROUP BY 1, 2")
 def corpus_curation_summary(spark, d):
     docs = table(spark, d, "documents")
-    return docs.select(T.source_name("source").alias("source"), C.reject_reason().alias("reason")).groupBy("source", "reason").agg(F.count("*").alias("documents"))
+    return C.with_reason(docs.select(T.source_name("source").alias("source"), "text")).groupBy("source", "reason").agg(F.count("*").alias("documents"))
 
 
 @query(

@@ -14,7 +14,7 @@ GOOD = "The people of the town went to the market on the hill and it was not far
 
 def reasons(spark, texts):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "seq bigint, text string")
-    return [r.reason for r in df.select("seq", C.reject_reason().alias("reason")).orderBy("seq").collect()]
+    return [r.reason for r in C.with_reason(df).orderBy("seq").collect()]
 
 
 def test_reject_reasons_in_order(spark):
