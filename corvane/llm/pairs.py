@@ -35,6 +35,8 @@ SEEN = 4
 ENDS = (0.02, 0.06)
 #: The same after its last token, where the last two are hardly ever seen.
 ENDS_ONE = 0.12
+#: The same where the token before is frequent.
+FREQUENT, ENDS_CUT = 200, 0.7
 #: The language of a shorter text isn't compared.
 LEAST_LETTERS = 12
 GRAM_SLOTS = 1 << 14
@@ -245,7 +247,9 @@ class EndModel:
         if e2 + g2 >= SEEN:
             return e2 < ENDS[0] * (e2 + g2) or len(toks) > 2 and e3 + g3 >= SEEN and e3 < ENDS[1] * (e3 + g3)
         if e1 + g1 >= SEEN:
-            return e1 < ENDS_ONE * (e1 + g1)
+            # after a frequent word nearly all that ever follows is known: what isn't is the beginning of a longer word
+            before = self.ends[0][at[0][-2]] + self.goes[0][at[0][-2]] if len(at[0]) > 1 and toks[-1] not in ("N", "0") else 0
+            return e1 < (ENDS_CUT if before >= FREQUENT else ENDS_ONE) * (e1 + g1)
         # its last word is hardly ever seen: a word in the middle, unless it is a name, number or the whole of a short text
         return toks[-1] not in ("N", "0") and len(toks) > 3
 
