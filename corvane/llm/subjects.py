@@ -26,6 +26,8 @@ from corvane.llm.common import SOURCE_ALIASES, arrow_schema, chunks, clean_sourc
 #: Labelled and unlabelled documents that the models are estimated on, about.
 SAMPLE_LABELLED, SAMPLE_OTHERS = 4000, 4000
 BEAM = 8
+#: How much stronger the weights between subjects are held down than others.
+TOGETHER = 30.0
 LEAST = 0.25
 #: Subjects are areas of a catalogue; a longer list than this is refused.
 MOST_SUBJECTS = 200
@@ -44,6 +46,8 @@ MARKERS = {
 _MARKER = {w: [c for c, ws in MARKERS.items() if w in ws.split()] for ws in MARKERS.values() for w in ws.split()}
 #: A term occurs in so many documents, and its documents' subjects are, for such shares, the most frequent one and three.
 TERM_DOCS, TERM_SHARE, TERM_THREE = 4, 0.25, 0.75
+#: In so many, in the first round and a language of few documents.
+RARE_DOCS = 2
 #: How many times as frequent as elsewhere a term has to be, in documents times logarithm.
 TERM_LIFT = 7.0
 _WORD = re.compile(r"[^\W\d_]+")
@@ -114,12 +118,14 @@ class SubjectModel:
         p[~on, k] = 1
         return p
 
-    def _terms(self, docs: list[list[list[str]]], langs: list[str], labels: list[frozenset[str]]) -> None:
+    def _terms(self, docs: list[list[list[str]]], langs: list[str], labels: list[frozenset[str]], first: bool) -> None:
         """Terms and weights by language, from documents with subjects."""
         k = len(self.subjects)
         at = {s: j for j, s in enumerate(self.subjects)}
         self.vocab, rows = {}, [np.zeros(k)]
-        for lang in sorted({*langs}):
+        main, *rest = sorted({*langs}, key=lambda c: (-langs.count(c), c)) or [""]
+        common = {w for d, c in zip(docs, langs) if c == main for s in d for w in s}
+        for lang in [main, *rest]:
             counts: dict[str, np.ndarray] = {}
             size = np.zeros(k)
             for d, c, of in zip(docs, langs, labels):
@@ -133,7 +139,11 @@ class SubjectModel:
                         counts[w] += share
                     else:
                         counts[w] = share.copy()
-            words = sorted(w for w, c in counts.items() if c.sum() >= TERM_DOCS - 0.01)
+            # In languages of few documents rarer words serve at first, unless the main language has them too, as it has names
+            # (but not with the same subject): later rounds see more documents and hold all to one measure.
+            rare = first and lang != main
+            least = RARE_DOCS if rare else TERM_DOCS
+            words = sorted(w for w, c in counts.items() if c.sum() >= (TERM_DOCS if w in common else least) - 0.01)
             if not words:
                 continue
             n = np.array([counts[w] for w in words])
@@ -143,7 +153,7 @@ class SubjectModel:
             top = share.argmax(1)
             lift = n[np.arange(len(n)), top] * np.log(np.maximum(share.max(1) * k, 1e-9))
             keep = (order[:, -1] >= max(TERM_SHARE, min(0.9, 1.5 / k)))  # of few subjects, each has much of any word
-            keep &= (order[:, -3:].sum(1) >= TERM_THREE) & (lift >= TERM_LIFT)
+            keep &= (order[:, -3:].sum(1) >= TERM_THREE) & (lift >= np.where([rare and w not in common for w in words], TERM_LIFT * RARE_DOCS / TERM_DOCS, TERM_LIFT))
             self.vocab[lang] = {words[i]: len(rows) + r for r, i in enumerate(np.flatnonzero(keep))}
             rows += list(np.log(np.maximum(share[keep], 0.01) * k))
         self.weights = np.array(rows)
@@ -157,7 +167,7 @@ class SubjectModel:
         k = len(self.subjects)
         taken = labels
         for r in range(rounds):
-            self._terms(docs, langs, taken)
+            self._terms(docs, langs, taken, r == 0)
             if r + 1 < rounds:
                 # labels are partly wrong or missing: what the terms say plainly counts
                 x = self.features(docs, sources)[:, : 2 * k : 2]
@@ -168,7 +178,7 @@ class SubjectModel:
         plain = ~use & (x[:, : 2 * k : 2].max(1) < 0.1) if len(x) else use
         y = np.array([[s in of for s in self.subjects] for of in labels], float).reshape(len(labels), k)
         rows = use | plain
-        self.chain = [_logistic(self._step(x[rows], y[rows, :j], j), y[rows, j]) for j in range(k)] if rows.any() else []
+        self.chain = [_logistic(self._step(x[rows], y[rows, :j], j), y[rows, j], j) for j in range(k)] if rows.any() else []
 
     # -- documents
 
@@ -198,7 +208,7 @@ class SubjectModel:
         k = len(self.subjects)
         own, soft = x[:, 2 * j], x[:, 2 * j + 1]
         others = np.delete(x[:, : 2 * k : 2], j, 1).max(1, initial=0)
-        return np.column_stack([np.ones(len(x)), own, soft, np.minimum(own, 0.4) * 4, own >= LEAST, others, x[:, 2 * k :], before, before.sum(1)])
+        return np.column_stack([np.ones(len(x)), own, soft, np.minimum(own, 0.4) * 4, own >= LEAST, others, x[:, 2 * k :], before])
 
     def decode(self, x: np.ndarray) -> np.ndarray:
         """The most likely combination of labels of each row, by beam search."""
@@ -226,10 +236,11 @@ class SubjectModel:
         return [(int(i), int(j), float(x[i, 2 * j])) for i, j in zip(*np.nonzero(given))]
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.3, rounds: int = 40) -> np.ndarray:
-    """Logistic regression by Newton's method; its probabilities are calibrated on the sample by construction."""
+def _logistic(x: np.ndarray, y: np.ndarray, before: int, penalty: float = 0.3, rounds: int = 40) -> np.ndarray:
+    """Logistic regression by Newton's method; its probabilities are calibrated on the sample by construction. The last columns, the
+    labels of the steps before, are seldom set together, so they are held much closer to nothing."""
     w = np.zeros(x.shape[1])
-    ridge = penalty * np.eye(len(w))
+    ridge = penalty * np.diag([1.0] * (len(w) - before) + [TOGETHER] * before)
     ridge[0, 0] = 1e-6
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
