@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from corvane.llm.common import WORD, arrow_schema, chunks
 
 SEED = 5
+#: Errors to either side of a match that are crossed before it is discarded.
+NEAR_ERRORS = 3
 #: Test items that one pass over the corpus searches; more items take more passes.
 ITEMS_A_PASS = 20_000
 _INLINE = re.compile(r"</?(?:a|b|i|u|em|strong|span|sup|sub|mark|small|code)(?:\s[^<>]{0,300})?>", re.I)
@@ -140,8 +142,10 @@ def search(texts: list[str | None], tests: TestSuffixes, least: int, per: int) -
     more = (p > ends[d] - counts[d]) & (q > tests.starts[item])  # lengthened to the left by another hit
     more[more] = flat[p[more] - 1] == tests.flat[q[more] - 1]
     p, d, q, item = p[~more], d[~more], q[~more], item[~more]
-    # Of the runs that make up a span, some three in a row have least - least // per words or more and at most two
-    # errors between them: a match there has so many equal words near it, on its diagonal or two to either side.
+    # A span with e errors is e + 1 runs of equal words, of which those between adjacent errors are empty. With up to three
+    # errors it has 13 words or more in four runs; with more, 7 e or more, so some three runs in a row have 14 or more.
+    # Either way one of these runs holds a seed, and a match there has so many equal words near it, at most three errors
+    # away, so on its diagonal or one of three to either side.
     near = least - least // per - 1
     wide, wide_items = np.concatenate([np.zeros(2 * least, np.int64), flat, np.zeros(2 * least, np.int64)]), np.concatenate([np.full(2 * least, -1), tests.flat, np.full(2 * least, -1)])
     fine = np.zeros(len(p), bool)
@@ -149,7 +153,7 @@ def search(texts: list[str | None], tests: TestSuffixes, least: int, per: int) -
         x, y = p[k : k + 20_000, None] + 2 * least, q[k : k + 20_000, None] + 2 * least
         span = np.arange(-least, least + 1)[None, :]
         those = wide_items[y + span]
-        fine[k : k + 20_000] = sum((wide[x + span + d] == those).sum(1) for d in range(-2, 3)) >= near
+        fine[k : k + 20_000] = sum((wide[x + span + d] == those).sum(1) for d in range(-NEAR_ERRORS, NEAR_ERRORS + 1)) >= near
     p, d, q, item = p[fine], d[fine], q[fine], item[fine]
     best: dict[tuple[int, int], tuple] = {}
     for x, y, dn, it in zip(p.tolist(), q.tolist(), d.tolist(), item.tolist()):
@@ -163,7 +167,7 @@ def search(texts: list[str | None], tests: TestSuffixes, least: int, per: int) -
         if old and old[0] <= x - ds and x - ds + SEED <= old[0] + old[1]:
             continue
         sides = (flat[x : min(int(ends[dn]), x + 2 * n)].tolist(), tests.flat[y:ie].tolist()), (flat[max(ds, x - 2 * n) : x][::-1].tolist(), tests.flat[is_:y][::-1].tolist())
-        if _reach(*sides[0], 2)[-1][0] + _reach(*sides[1], 2)[-1][0] < near:
+        if _reach(*sides[0], NEAR_ERRORS)[-1][0] + _reach(*sides[1], NEAR_ERRORS)[-1][0] < near:
             continue
         right, left = (_reach(*side, allowed) for side in sides)
         longest = right[0][0]

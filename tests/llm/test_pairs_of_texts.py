@@ -152,5 +152,21 @@ def test_blocks_of_items(spark, leaky, monkeypatch):
     assert L.leaks(d, i.limit(0)).collect() == [] and L.leaks(d.limit(0), i).collect() == []
 
 
+def test_adjacent_errors():
+    item = [f"w{k}" for k in range(40)]
+    cases = []
+    for n, a in [(24, 10), (24, 11), (25, 11), (26, 12), (24, 9), (24, 3)]:
+        cases.append(item[:a] + ["x", "y", "z"] + item[a + 3 : n])  # three replaced
+        cases.append(item[:a] + item[a + 3 : n])  # three dropped
+    cases += [item[:12] + ["x", "y", "z"] + item[12:n] for n in (24, 27)]  # three added
+    cases.append(item[:9] + ["x", "y"] + item[11:13] + ["z"] + item[14:24])
+    docs = [" ".join(["start", "of", "it", *c, "end"]) for c in cases]
+    found = L.search(docs, L.TestSuffixes([(1, " ".join(item))]), 15, 8)
+    assert [f[0] for f in sorted(found)] == list(range(len(docs)))
+    assert all(spans(d.split(), item, 15, 8) for d in docs)
+    # a fourth error is one too many
+    assert L.search([" ".join(item[:10] + ["x"] * 4 + item[14:24])], L.TestSuffixes([(1, " ".join(item))]), 15, 8) == []
+
+
 def test_normal_words():
     assert L.normal_words("The Gar-\niquar’s <b>c</b>afé[12] &amp; “ﬁne” lam​p") == ["the", "gariquars", "cafe", "fine", "lamp"]
