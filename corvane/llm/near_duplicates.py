@@ -3,8 +3,8 @@
 The delivered 64-bit fingerprint is stale for some rows, and a pair at a similarity of one half lies about 17 of
 its 64 bits apart, which no trie can prune by. So each text gets a sketch of SKETCH_BITS one-bit min-hashes,
 whose expected Hamming distance is (1 - similarity) / 2 of the bits, and BANDS keys of ROWS min-hashes each.
-Rows that share a key form one trie, whose node pairs are traversed together with the differing bits so far;
-a node pair is dropped when these exceed the error budget. What is left is checked exactly on the texts.
+Rows that share a key with another form one trie, whose node pairs are traversed together with the differing bits
+so far; a node pair is dropped when these exceed the error budget. What is left is checked exactly on the texts.
 
 Nulls: a null text has no words and is in no pair. A text of fewer than SHINGLE words has no shingles; it is
 paired only with rows of the same words (at least one word). Empty tables give empty results.
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from corvane.llm.common import WORD, Ids, arrow_schema, chunks, lists, map_rows, materialize
 
-SKETCH_BITS, BUDGET, BANDS, ROWS = 256, 86, 24, 3
+SKETCH_BITS, BUDGET, BANDS, ROWS = 256, 86, 40, 3
 SIG = SKETCH_BITS // 64
 #: Rows of one key beyond which its trie is divided over several tasks, by the pairs of its top nodes.
 HOT_ROWS, TOP_BITS = 20_000, 4
@@ -77,7 +77,7 @@ def sketch(hashes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def fingerprints(df: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
-    """key, words, h1, h2 (a 128-bit digest of the words), sk (band keys and sketch words; null without shingles)."""
+    """id, words, h1, h2 (a 128-bit digest of the words), keys (32 bits of each band key), sk (sketch words); both empty without shingles."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = arrow_schema(ddl)
@@ -90,17 +90,17 @@ def fingerprints(df: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
                 counts = np.array([len(w) for w in words], np.int64)
                 lengths = np.maximum(counts - shingle + 1, 0)
                 has = lengths > 0
-                flat = np.zeros((0, BANDS + SIG), np.int64)
+                bands, sig = np.zeros((0, BANDS), np.uint64), np.zeros((0, SIG), np.uint64)
                 if has.any():
                     hashes = within(shingle_hashes(np.fromiter((ids[x] for w in words for x in w), np.uint64, int(counts.sum())), shingle), counts, shingle)
                     bands, sig = sketch(hashes, (np.cumsum(lengths) - lengths)[has])
-                    flat = np.concatenate([bands, sig], axis=1).view(np.int64)
-                offsets = np.concatenate([[0], np.cumsum(has * (BANDS + SIG))])
+                number = np.concatenate([[0], np.cumsum(has)])
+                short = (bands >> np.uint64(32)).astype(np.uint32).view(np.int32)  # equal keys stay equal; chance ones fail the budget or the exact check
                 h1 = np.array([d >> 64 for d in digests], np.uint64).view(np.int64)
                 h2 = np.array([d & (2**64 - 1) for d in digests], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([keys.cast(schema[0].type), pa.array(counts, pa.int32()), pa.array(h1), pa.array(h2), lists(flat.ravel(), offsets).cast(schema[4].type)], schema=schema)
+                yield pa.RecordBatch.from_arrays([keys.cast(schema[0].type), pa.array(counts, pa.int32()), pa.array(h1), pa.array(h2), lists(short.ravel(), number * BANDS).cast(schema[4].type), lists(sig.view(np.int64).ravel(), number * SIG).cast(schema[5].type)], schema=schema)
 
-    ddl = "id bigint, words int, h1 bigint, h2 bigint, sk array<bigint>"
+    ddl = "id bigint, words int, h1 bigint, h2 bigint, keys array<int>, sk array<bigint>"
     return df.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text")).where("id is not null and text is not null").mapInArrow(run, ddl).where("words > 0")
 
 
@@ -170,13 +170,16 @@ _WORDS = [f"s{k}" for k in range(SIG)]
 
 
 def _banded(reps: DataFrame) -> DataFrame:
-    words = [F.element_at("sk", BANDS + 1 + k).alias(w) for k, w in enumerate(_WORDS)]
-    return reps.select("id", *words, F.posexplode(F.slice("sk", 1, BANDS)).alias("band", "key")).select(F.xxhash64("key", "band").alias("key"), "id", *_WORDS)
+    return reps.select("id", F.posexplode("keys").alias("band", "key")).select(F.xxhash64("key", "band").alias("key"), "id")
 
 
 def candidates(reps: DataFrame, budget: int = BUDGET) -> DataFrame:
     """Distinct pairs (a < b) of ids whose sketches share a key and lie within the budget."""
-    rows = _banded(reps)
+    # Most keys have one row, which is in no pair; only rows of the others are sent with their sketches.
+    keyed = _banded(reps).repartition("key")
+    shared = keyed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
+    sketches = reps.select("id", *(F.element_at("sk", k + 1).alias(w) for k, w in enumerate(_WORDS)))
+    rows = keyed.join(shared, "key", "left_semi").join(sketches, "id")
     hot = _banded(reps.where(F.pmod(F.xxhash64("id"), F.lit(HOT_SAMPLE)) == 0)).groupBy("key").count().where(F.col("count") > HOT_ROWS / HOT_SAMPLE / 2).select("key", F.lit(True).alias("hot"))
     # A key is hot with more than HOT_ROWS rows in the sample's measure: there are at most rows / HOT_ROWS of them.
     rows = rows.join(F.broadcast(hot), "key", "left")
@@ -236,7 +239,7 @@ def near_duplicates(df: DataFrame, key: str = "seq", text: str = "text", shingle
     classes = prints.groupBy("h1", "h2").agg(F.min("id").alias("rep"))
     members = materialize(prints.select("id", "h1", "h2").join(classes, ["h1", "h2"]).select("id", "rep"), "members")
     # an id of several texts stands for each of them; the texts are told apart by the digest
-    reps = prints.join(members.where("id = rep").select("id").distinct(), "id", "left_semi").where("sk is not null").select("id", "sk")
+    reps = prints.join(members.where("id = rep").select("id").distinct(), "id", "left_semi").where("size(sk) > 0").select("id", "keys", "sk")
     pairs = candidates(reps)
     texts = df.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text")).where("text is not null")
     # A small file can hold much text, so Spark's guess by file size may not broadcast it; both joins use one exchange of the texts.
