@@ -82,6 +82,7 @@ LANGUAGE_NAMES = {
     "ru": "russian|russisch|ruso|russe|russo|русск",
 }
 _ASKED = {c: re.compile(rf"(?:{n})", re.I) for c, n in LANGUAGE_NAMES.items()}
+_LONGEST = max(map(len, PLACEHOLDERS))
 
 
 def bare(text: str | None) -> str:
@@ -92,9 +93,11 @@ def is_empty(text: str | None) -> bool:
     t = bare(text)
     if not t:
         return True
-    if len(t) > 60:
-        return False
-    words = re.sub(r"[^\w]+|_", " ", t.lower()).strip()
+    words = ""
+    for m in re.finditer(r"[^\W_]+", t.lower()):
+        words = f"{words} {m[0]}".lstrip()
+        if len(words) > _LONGEST:
+            return False
     return not words or words in PLACEHOLDERS
 
 
@@ -109,11 +112,12 @@ def _same(words: list[str]) -> list[str]:
 
 def is_copy(user: str, answer: str) -> bool:
     """The answer is the prompt, once or more, perhaps in quotes, in other case or punctuation or after a few words such as 'you asked'."""
-    if len(answer) > 5 * len(user) + 100 or len(answer) < 0.7 * len(user):
+    if len(answer) < 0.7 * len(user):
         return False
     u, a = _same(_plain(user)), _same(_plain(answer))
-    if not u or not a or len(a) > 4 * len(u) + 12 or len({*u} & {*a}) < 0.5 * len({*u}):
+    if not u or not a or len({*u} & {*a}) < 0.5 * len({*u}):
         return False
+    asked = {*u}
     forms = [a]
     cut = bare(answer).lstrip("\"'“‘>*#-–— \n")
     while (m := DRESSING.match(cut)) and m.end():
@@ -128,7 +132,7 @@ def is_copy(user: str, answer: str) -> bool:
         many = u * times
         if abs(len(w) - len(many)) > max(2, len(many) // 10):
             continue
-        if sum((Counter(many) & Counter(w)).values()) < 0.75 * len(many):
+        if sum(x in asked for x in w) < 0.75 * len(many) or sum((Counter(many) & Counter(w)).values()) < 0.75 * len(many):
             continue
         # its beginning too, since a text to be improved is given back without the request before it
         if difflib.SequenceMatcher(None, u[:5], w[:5]).ratio() >= 0.6 and difflib.SequenceMatcher(None, many, w, autojunk=False).ratio() >= 0.85 and _slips(u, w):
@@ -141,14 +145,12 @@ def _slips(u: list[str], w: list[str]) -> bool:
     if len(w) > 1.5 * len(u):
         return True
     missing = [x for x in u if x not in w]
-    return all(difflib.get_close_matches(x, w, 1, 0.6) for x in missing[:20]) and len(missing) <= max(2, len(u) // 5)
+    return len(missing) <= max(2, len(u) // 5) and all(difflib.get_close_matches(x, w, 1, 0.6) for x in missing)
 
 
 def is_refusal(user: str, answer: str) -> bool:
     """Every sentence of the answer declines or is polite padding, and the prompt doesn't ask for such a text."""
     t = bare(answer)
-    if len(t) > 700:
-        return False
     declines = padded = 0
     for part in re.split(r"(?<=[.!?…])[\"'”’)]*\s+|\n+", t):
         if REFUSAL.search(part) and not re.search(r"\b(?:so|but) (?:i will|i'll|here|i can)\b(?!['’]t)", part, re.I):

@@ -255,3 +255,15 @@ def test_subjects(spark):
     assert not got[900] and not got[901] and got[902] == got[1]
     assert subjects.document_subjects(df.limit(0), subjects.train_subjects(df.limit(0), ls.limit(0), areas)).collect() == []
     assert subjects.document_subjects(df, subjects.train_subjects(df, ls, areas.limit(0))).collect() == []
+
+
+def test_pair_defects_of_any_length():
+    assert pairs.is_empty("-" * 61) and pairs.is_empty("... " * 500) and not pairs.is_empty("... " * 500 + "word")
+    refusal = "I'm sorry, but I can't help with that. " * 40
+    assert pairs.is_refusal("How do I bake bread?", refusal) and not pairs.is_refusal("How do I bake bread?", refusal + "Mix flour and water.")
+    assert pairs.is_copy("Name three rivers.", "Name three rivers. " * 60) and not pairs.is_copy("Name three rivers.", "The Rhine, the Elbe and the Oder are rivers. " * 60)
+    # the last of many changed words counts too
+    words = [3 * a + 3 * b for a in "abcdefghijkl" for b in "mnopqrstuvw"]
+    slips = [w[:-1] + "x" if i % 6 == 5 else w for i, w in enumerate(words)]
+    last = max(i for i in range(len(words)) if slips[i] != words[i])
+    assert pairs._slips(words, slips) and not pairs._slips(words, [*slips[:last], "yyyyyy", *slips[last + 1 :]])
