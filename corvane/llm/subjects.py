@@ -4,8 +4,10 @@ Terms are the words whose documents, in their language, gather in a few subjects
 documents and, in further rounds, from unlabelled ones with the subjects found so far. A sentence is on the subject for which its terms
 speak most, within what its document is about; without terms it is on none. A document's features are, by subject, the share of its words in sentences on that subject (terms), and its
 source, length and share of words on no subject (structure). The chain's step k predicts subject k from these and from the
-labels of the steps before, so that it learns which subjects go together; the best combinations are kept in a beam.
-A decoded subject is given when its sentences hold at least `least` of the document's words.
+labels of the steps before, so that it learns which subjects go together. Labels by hand that the first fit finds next to impossible
+are left out of the second, and each step's scores are calibrated on a held-out fifth. The combination of labels that a beam search
+finds most likely is the answer: nothing is added to it or taken away. What share of its words a document must spend on a
+subject is learnt from the labels; LEAST only says where the features bend and which unlabelled documents serve as examples.
 
 Null and empty texts have no subjects. A document that occurs in several rows gets rows for each. Labels that name no
 known subject, and repeated ones, are ignored.
@@ -26,9 +28,11 @@ from corvane.llm.common import SOURCE_ALIASES, arrow_schema, chunks, clean_sourc
 #: Labelled and unlabelled documents that the models are estimated on, about.
 SAMPLE_LABELLED, SAMPLE_OTHERS = 4000, 4000
 BEAM = 8
-#: How much stronger the weights between subjects are held down than others.
-TOGETHER = 30.0
+#: Where the features of a share bend: below the lower bound nobody would name a subject, above the upper one all would.
 LEAST = 0.25
+BENDS = (0.4 * LEAST, LEAST, 1.6 * LEAST)
+#: A label by hand of a smaller probability in the first fit is left out of the second.
+UNLIKELY = 0.02
 #: Subjects are areas of a catalogue; a longer list than this is refused.
 MOST_SUBJECTS = 200
 SOURCES = [*sorted({*SOURCE_ALIASES.values()}), "unknown"]
@@ -178,7 +182,17 @@ class SubjectModel:
         plain = ~use & (x[:, : 2 * k : 2].max(1) < 0.1) if len(x) else use
         y = np.array([[s in of for s in self.subjects] for of in labels], float).reshape(len(labels), k)
         rows = use | plain
-        self.chain = [_logistic(self._step(x[rows], y[rows, :j], j), y[rows, j], j) for j in range(k)] if rows.any() else []
+        self.chain = []
+        if rows.any():
+            x, y = x[rows], y[rows]
+            held = np.arange(len(x)) % 5 == 4
+            for j in range(k):
+                step, fit = self._step(x, y[:, :j], j), ~held
+                w = _logistic(step[fit], y[fit, j])
+                p = 1 / (1 + np.exp(-np.clip(step @ w, -30, 30)))
+                fit &= np.where(y[:, j] > 0, p, 1 - p) >= UNLIKELY
+                w = _logistic(step[fit], y[fit, j])
+                self.chain.append(_calibrated(w, step[held], y[held, j]))
 
     # -- documents
 
@@ -204,11 +218,12 @@ class SubjectModel:
         return out
 
     def _step(self, x: np.ndarray, before: np.ndarray, j: int) -> np.ndarray:
-        """What step j of the chain sees: its own shares, whether they reach the bound, structure, the labels before and the largest other share."""
+        """What step j of the chain sees: its own shares, bent at BENDS, the largest other share, structure, source and the labels before."""
         k = len(self.subjects)
         own, soft = x[:, 2 * j], x[:, 2 * j + 1]
         others = np.delete(x[:, : 2 * k : 2], j, 1).max(1, initial=0)
-        return np.column_stack([np.ones(len(x)), own, soft, np.minimum(own, 0.4) * 4, own >= LEAST, others, x[:, 2 * k :], before])
+        bent = [np.clip((v - a) / (b - a), 0, 1) for v in (own, soft) for a, b in zip((0.0, *BENDS[:-1]), BENDS)]
+        return np.column_stack([np.ones(len(x)), own, soft, *bent, others, x[:, 2 * k :], before])
 
     def decode(self, x: np.ndarray) -> np.ndarray:
         """The most likely combination of labels of each row, by beam search."""
@@ -226,21 +241,19 @@ class SubjectModel:
             scores, beams = np.take_along_axis(both, top, 1), np.take_along_axis(wide, top[:, :, None], 1)
         return beams[:, 0] > 0
 
-    def subjects_of(self, texts: list[str | None], sources: list[str], least: float = LEAST) -> list[tuple[int, int, float]]:
+    def subjects_of(self, texts: list[str | None], sources: list[str]) -> list[tuple[int, int, float]]:
         """(text number, subject number, share of its words) of all texts."""
         if not self.subjects:
             return []
         x = self.features([cut(t) for t in texts], sources)
-        k = len(self.subjects)
-        given = self.decode(x) & (x[:, : 2 * k : 2] >= least - 1e-9)
+        given = self.decode(x)
         return [(int(i), int(j), float(x[i, 2 * j])) for i, j in zip(*np.nonzero(given))]
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, before: int, penalty: float = 0.3, rounds: int = 40) -> np.ndarray:
-    """Logistic regression by Newton's method; its probabilities are calibrated on the sample by construction. The last columns, the
-    labels of the steps before, are seldom set together, so they are held much closer to nothing."""
+def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.3, rounds: int = 40) -> np.ndarray:
+    """Logistic regression by Newton's method."""
     w = np.zeros(x.shape[1])
-    ridge = penalty * np.diag([1.0] * (len(w) - before) + [TOGETHER] * before)
+    ridge = penalty * np.eye(len(w))
     ridge[0, 0] = 1e-6
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -251,6 +264,24 @@ def _logistic(x: np.ndarray, y: np.ndarray, before: int, penalty: float = 0.3, r
     return w
 
 
+def _calibrated(w: np.ndarray, x: np.ndarray, y: np.ndarray, penalty: float = 3.0) -> np.ndarray:
+    """Weights whose scores are stretched and shifted so that their probabilities fit rows held out; with few rows they hardly change."""
+    z = np.clip(x @ w, -30, 30)
+    a = np.array([0.0, 1.0])  # shift and stretch, held to these values
+    for _ in range(20):
+        p = 1 / (1 + np.exp(-np.clip(a[0] + a[1] * z, -30, 30)))
+        d = p * (1 - p)
+        hess = np.array([[d.sum(), (d * z).sum()], [(d * z).sum(), (d * z * z).sum()]]) + penalty * np.eye(2)
+        step = np.linalg.solve(hess, np.array([(y - p).sum(), ((y - p) * z).sum()]) - penalty * (a - [0.0, 1.0]))
+        a = a + step
+        if np.abs(step).max() < 1e-6:
+            break
+    a[1] = max(a[1], 0.1)
+    out = a[1] * w
+    out[0] += a[0]
+    return out
+
+
 def clean_labels(labels: DataFrame, areas: list[str], doc_id: str = "doc_id", subject: str = "subject") -> DataFrame:
     return labels.select(F.col(doc_id).alias("k"), F.lower(F.trim(F.regexp_replace(subject, r"\s+", " "))).alias("s")).where(F.col("s").isin(areas) & F.col("k").isNotNull()).distinct()
 
@@ -272,8 +303,8 @@ def train_subjects(docs: DataFrame, labels: DataFrame, areas: DataFrame, doc_id:
     return model
 
 
-def document_subjects(docs: DataFrame, model: SubjectModel, doc_id: str = "doc_id", text: str = "text", source: str = "source", least: float = LEAST) -> DataFrame:
-    """doc_id, subject, share: the subjects of every document."""
+def document_subjects(docs: DataFrame, model: SubjectModel, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """doc_id, subject, share (of its words that are on it): the subjects of every document."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     ddl = "id bigint, subject string, share double"
 
@@ -282,7 +313,7 @@ def document_subjects(docs: DataFrame, model: SubjectModel, doc_id: str = "doc_i
         for whole in batches:
             for part in chunks(whole, "text"):
                 ids, texts, sources = (part.column(k).to_pylist() for k in range(3))
-                found = m.subjects_of(texts, sources, least)
+                found = m.subjects_of(texts, sources)
                 yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i, _, _ in found], pa.int64()), pa.array([m.subjects[j] for _, j, _ in found], pa.string()), pa.array([round(s, 6) for _, _, s in found], pa.float64())], schema=arrow_schema(ddl))
 
     return docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("text"), clean_source(source).alias("src")).mapInArrow(run, ddl).withColumnRenamed("id", doc_id)
