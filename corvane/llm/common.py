@@ -96,13 +96,12 @@ def lists(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
 
 
 def clean_source(c: Column | str) -> Column:
-    """The canonical source name, or 'unknown' for null, empty and unlisted names."""
+    """The canonical name of a source: that of a known alias, else the name itself in lower case; 'unknown' for null and empty ones."""
     c = F.lower(F.regexp_replace(F.col(c) if isinstance(c, str) else c, r"^\s+|\s+$", ""))
-    known = sorted({*SOURCE_ALIASES.values()})
-    out = F.when(c.isin(known), c)
+    out = F.when(F.coalesce(c, F.lit("")) == "", "unknown")
     for alias, name in SOURCE_ALIASES.items():
         out = out.when(c == alias, name)
-    return out.otherwise("unknown")
+    return out.otherwise(c)
 
 
 def clean_lang(c: Column | str) -> Column:

@@ -116,6 +116,50 @@ def test_mix_reaches_the_shares(spark, tokenizer):
     assert empty.collect() == [] and all(r.share == 0 for r in rep.collect())
 
 
+def test_wrong_labels_change_the_rates(spark, tokenizer):
+    rng = random.Random(5)
+    words = {"wikipedia": [f"wa{c}" for c in "bcdfghjklmnp"], "stackexchange": [f"so{c}" for c in "bcdfghjklmnp"]}
+    rows = []
+    for i in range(1200):
+        true = "wikipedia" if i % 2 else "stackexchange"
+        label = "wiki" if true == "stackexchange" and rng.random() < 0.3 else true  # three in ten are labelled wrongly
+        rows.append((i, " ".join(rng.choices(words[true], k=30)) + f" {i}", label, "h", true))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string, domain string, truth string")
+    goal = spark.createDataFrame([("wikipedia", 0.5, 1), ("stackexchange", 0.5, 1)], "source string, target_share double, max_repeats int")
+    model = mixing.train_domains(df)
+    assert 0.1 < model.wrong < 0.2  # 15 in a hundred of all labels
+    chosen, report = mixing.mix(df, goal, tokenizer)
+    truth = {r[0]: r[4] for r in rows}
+    real, labelled = Counter(), Counter()
+    for r in chosen.collect():
+        real[truth[r.doc_id]] += r.tokens * r.uses
+        labelled[r.source] += r.tokens * r.uses
+    assert abs(real["wikipedia"] / real.total() - 0.5) < 0.02 and labelled["wikipedia"] / labelled.total() > 0.6
+    by = {r.source: r for r in report.collect()}
+    assert all(abs(r.expected_share - 0.5) < 0.02 for r in by.values())
+
+
+def test_rates_against_a_plain_solver(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    k, n = 4, 30
+    units = rng.multinomial(mixing.QUANTA, rng.dirichlet(np.ones(k) * 0.4), size=n)
+    members = [",".join(f"{j}:{u}" for j, u in enumerate(row) if u) for row in units]
+    tokens, cap = rng.integers(10, 1000, n), rng.integers(1, 4, n).astype(float)
+    m = units / mixing.QUANTA
+    have = m.T @ tokens
+    for goal in (0.7 * have, have * np.array([9.0, 0.2, 0.5, 0.0])):  # within reach, and not
+        groups = spark.createDataFrame([(x, int(t), float(c)) for x, t, c in zip(members, tokens, cap)], "member string, tokens bigint, cap double")
+        rates, _ = mixing.steps(m, cap, mixing.fit_rates(groups, have, goal))
+        assert (rates >= 0).all() and (rates <= cap + 1e-9).all()
+        x = np.zeros(n)
+        for _ in range(100_000):
+            x = np.clip(x + m @ ((goal - m.T @ (tokens * x)) / have), 0, cap)
+        loss = lambda r: (((m.T @ (tokens * r)) - goal) ** 2 / have).sum()
+        assert loss(rates) <= loss(x) + 1e-4 * (1 + loss(x))
+
+
 SENTENCES = {
     "en": "The people of {n} have seen the old houses near the river. It was not easy for them to find the way back. She said that the books and the letters belong together.",
     "de": "Die Leute aus {n} haben die alten Häuser am Fluss gesehen. Es war nicht leicht für sie, den Weg zurück zu finden. Sie hat gesagt, dass die Bücher und die Briefe zusammengehören.",
@@ -257,6 +301,73 @@ def test_subjects(spark):
     assert subjects.document_subjects(df, subjects.train_subjects(df, ls, areas.limit(0))).collect() == []
 
 
+def planted_chain(weights):
+    import numpy as np
+
+    m = subjects.SubjectModel(["a", "b", "c"])
+    width = len(m._step(np.zeros((1, 2 * 3 + 2 + len(subjects.SOURCES))), np.zeros((1, 0)), 0)[0])
+    m.chain = []
+    for bias, own, before in weights:
+        w = np.zeros(width + len(before))
+        w[0], w[1], w[width:] = bias, own, before
+        m.chain.append(w)
+    return m
+
+
+def test_beam_finds_the_likeliest_labels(monkeypatch):
+    import itertools
+
+    import numpy as np
+
+    # subject a alone is unlikely, but with it b is nearly certain: step by step a is refused, together both are likeliest
+    m = planted_chain([(-0.2, 0.0, []), (-0.1, 0.0, [6.0]), (-1.0, 3.0, [0.5, -2.0])])
+    x = np.random.default_rng(1).random((50, 2 * 3 + 2 + len(subjects.SOURCES)))
+
+    def joint(row, labels):
+        out = 0.0
+        for j, w in enumerate(m.chain):
+            z = float((m._step(row[None], np.array([labels[:j]], float).reshape(1, j), j) @ w)[0])
+            out -= np.logaddexp(0, -z if labels[j] else z)
+        return out
+
+    best = [max(itertools.product([0, 1], repeat=3), key=lambda v: joint(row, v)) for row in x]
+    got = m.decode(x)
+    assert [tuple(map(int, r)) for r in got] == best and any(b[0] for b in best)
+    monkeypatch.setattr(subjects, "BEAM", 1)
+    assert (m.decode(x) != got).any()
+
+
+def test_subjects_that_go_together():
+    import numpy as np
+
+    rng = random.Random(3)
+    nouns = {"law": ["jury", "statute", "verdict", "appeal", "clause"], "music": ["violin", "chord", "tempo", "choir", "melody"], "sport": ["goal", "referee", "league", "striker", "derby"]}
+    plain = ["the neighbours went home by the old road before noon", "nobody could say who had left the gate open again"]
+    say = lambda s: f"the {rng.choice(nouns[s])} and the {rng.choice(nouns[s])} came before the {rng.choice(nouns[s])} again"
+
+    def text(law, music, sport=0):
+        out = [say("law")] * law + [say("music") for _ in range(music)] + [say("sport") for _ in range(sport)]
+        out += [rng.choice(plain) for _ in range(10 - len(out))]
+        return ". ".join(out) + "."
+
+    texts, labels = [], []
+    for _ in range(500):
+        sport = rng.choice([0, 0, 0, 5])
+        music = 0 if sport else rng.choice([0, 3, 4])
+        law = rng.choice([0, 1, 2]) if music else rng.choice([0, 0, 1, 5])
+        texts.append(text(law, music, sport))
+        # a trace of law counts as law where there is music, and only there
+        labels.append(frozenset(({"music"} if music else set()) | ({"sport"} if sport else set()) | ({"law"} if law >= 4 or law and music else set())))
+    m = subjects.SubjectModel(["law", "music", "sport"])
+    m.fit(texts, [v if v else frozenset() for v in labels], ["wikipedia"] * 500)
+    x = m.features([subjects.cut(t) for t in texts], ["wikipedia"] * 500)
+    got = m.decode(x)
+    right = lambda rows: np.mean([{s for s, g in zip(m.subjects, row) if g} == set(v) for row, v in zip(rows, labels)])
+    kept = m.chain
+    m.chain = [np.concatenate([w[: len(w) - j], np.zeros(j)]) for j, w in enumerate(kept)]
+    assert right(m.decode(x)) < right(got) - 0.02
+
+
 def test_pair_defects_of_any_length():
     assert pairs.is_empty("-" * 61) and pairs.is_empty("... " * 500) and not pairs.is_empty("... " * 500 + "word")
     refusal = "I'm sorry, but I can't help with that. " * 40
