@@ -341,31 +341,23 @@ def test_subjects_that_go_together():
     import numpy as np
 
     rng = random.Random(3)
-    nouns = {"law": ["jury", "statute", "verdict", "appeal", "clause"], "music": ["violin", "chord", "tempo", "choir", "melody"], "sport": ["goal", "referee", "league", "striker", "derby"]}
+    nouns = {"art": ["easel", "fresco", "canvas", "sculptor", "gallery"], "law": ["jury", "statute", "verdict", "appeal", "clause"], "sport": ["goal", "referee", "league", "striker", "derby"]}
     plain = ["the neighbours went home by the old road before noon", "nobody could say who had left the gate open again"]
     say = lambda s: f"the {rng.choice(nouns[s])} and the {rng.choice(nouns[s])} came before the {rng.choice(nouns[s])} again"
 
-    def text(law, music, sport=0):
-        out = [say("law")] * law + [say("music") for _ in range(music)] + [say("sport") for _ in range(sport)]
-        out += [rng.choice(plain) for _ in range(10 - len(out))]
-        return ". ".join(out) + "."
-
     texts, labels = [], []
-    for _ in range(500):
-        sport = rng.choice([0, 0, 0, 5])
-        music = 0 if sport else rng.choice([0, 3, 4])
-        law = rng.choice([0, 1, 2]) if music else rng.choice([0, 0, 1, 5])
-        texts.append(text(law, music, sport))
-        # a trace of law counts as law where there is music, and only there
-        labels.append(frozenset(({"music"} if music else set()) | ({"sport"} if sport else set()) | ({"law"} if law >= 4 or law and music else set())))
-    m = subjects.SubjectModel(["law", "music", "sport"])
-    m.fit(texts, [v if v else frozenset() for v in labels], ["wikipedia"] * 500)
-    x = m.features([subjects.cut(t) for t in texts], ["wikipedia"] * 500)
-    got = m.decode(x)
+    for _ in range(600):
+        parts = rng.choice([{"art": 4, "law": 2}, {"sport": 4, "law": 2}, {"law": 6}, {"art": 5}, {"sport": 6}, {"law": 2}, {"law": 2}])
+        out = [say(s) for s, n in parts.items() for _ in range(n)]
+        texts.append(". ".join(out + [rng.choice(plain) for _ in range(10 - len(out))]) + ".")
+        # whoever labelled these calls a fifth on law enough where the rest is on art, and only there
+        labels.append(frozenset(s for s, n in parts.items() if n > 2 or "art" in parts))
+    m = subjects.SubjectModel(["art", "law", "sport"])
+    m.fit(texts, labels, ["wikipedia"] * len(texts))
+    x = m.features([subjects.cut(t) for t in texts], ["wikipedia"] * len(texts))
     right = lambda rows: np.mean([{s for s, g in zip(m.subjects, row) if g} == set(v) for row, v in zip(rows, labels)])
-    kept = m.chain
-    m.chain = [np.concatenate([w[: len(w) - j], np.zeros(j)]) for j, w in enumerate(kept)]
-    assert right(m.decode(x)) < right(got) - 0.02
+    whole, m.chain = right(m.decode(x)), [np.concatenate([w[: len(w) - j], np.zeros(j)]) for j, w in enumerate(m.chain)]
+    assert right(m.decode(x)) < whole - 0.1 and whole > 0.95
 
 
 def test_pair_defects_of_any_length():
