@@ -158,7 +158,9 @@ def test_blocks_of_items(spark, leaky, monkeypatch):
     docs, items = leaky
     d, i = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, prompt string")
     want = {tuple(r) for r in L.leaks(d, i).collect()}
-    monkeypatch.setattr(L, "ITEMS_A_PASS", 4)
+    monkeypatch.setattr(L, "ITEMS_A_BLOCK", 4)
+    assert {tuple(r) for r in L.leaks(d, i).collect()} == want
+    monkeypatch.setattr(L, "BLOCKS_A_SCAN", 2)
     assert {tuple(r) for r in L.leaks(d, i).collect()} == want
     assert L.leaks(d, i.limit(0)).collect() == [] and L.leaks(d.limit(0), i).collect() == []
 
@@ -172,11 +174,58 @@ def test_adjacent_errors():
     cases += [item[:12] + ["x", "y", "z"] + item[12:n] for n in (24, 27)]  # three added
     cases.append(item[:9] + ["x", "y"] + item[11:13] + ["z"] + item[14:24])
     docs = [" ".join(["start", "of", "it", *c, "end"]) for c in cases]
-    found = L.search(docs, L.TestSuffixes([(1, " ".join(item))]), 15, 8)
+    find = lambda texts: L.search(L.Shard(texts, L.Ids(L.word_value)), L.TestSuffixes([(1, " ".join(item), [])]), 15, 8)
+    found = find(docs)
     assert [f[0] for f in sorted(found)] == list(range(len(docs)))
     assert all(spans(d.split(), item, 15, 8) for d in docs)
     # a fourth error is one too many
-    assert L.search([" ".join(item[:10] + ["x"] * 4 + item[14:24])], L.TestSuffixes([(1, " ".join(item))]), 15, 8) == []
+    assert find([" ".join(item[:10] + ["x"] * 4 + item[14:24])]) == []
+
+
+def test_suffix_array_and_longest_matches():
+    import numpy as np
+
+    rng = random.Random(6)
+    texts = [" ".join(rng.choices("abc", k=rng.choice([0, 1, 3, 40]))) for _ in range(30)]
+    texts += [texts[3]] * 3 + [None]
+    shard = L.Shard(texts, L.Ids(L.word_value))
+    flat = shard.flat.tolist()
+    assert shard.array.tolist() == sorted(range(len(flat)), key=lambda i: flat[i:])
+    prompts = [" ".join(rng.choices("abcd", k=25)) for _ in range(10)]
+    tests = L.TestSuffixes([(i, t, []) for i, t in enumerate(prompts)])
+    want = []
+    for t in prompts:
+        w = t.split()
+        for a in range(len(w)):
+            n = 0
+            while a + n < len(w) and any(" ".join(["", *w[a : a + n + 1], ""]) in f" {x} " for x in texts if x):
+                n += 1
+            want.append(n)
+    assert shard.longest(tests.flat, tests.places, 25).tolist() == want
+    low, high = (shard.bound(tests.flat, tests.places, 3, after) for after in (False, True))
+    values = tests.flat.tolist()
+    assert (high - low).tolist() == [sum(flat[i : i + 3] == values[q : q + 3] for i in range(len(flat))) for q in tests.places]
+    assert np.array_equal(L.suffix_array(np.zeros(0, np.uint64)), np.zeros(0, np.int64))
+
+
+def test_common_openings_are_no_leak(spark):
+    rng = random.Random(9)
+    opening = "only then had they been counted which of the following statements must be true if"
+    words = lambda n: " ".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") + rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(n))
+    items = [(k, f"{words(20)} {opening} {words(12)}") for k in range(6)]
+    d = [(1, f"{words(30)} {opening} {words(30)}"), (2, items[0][1]), (3, f"{words(5)} {opening} {' '.join(items[1][1].split()[35:43])} {words(5)}")]
+    got = L.leaks(spark.createDataFrame(d, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, prompt string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(2, 0), (3, 1)}
+
+
+def test_many_items_take_one_scan(spark):
+    rng = random.Random(10)
+    names = [a + b + c for a in "bdfgklmnprst" for b in "aeiou" for c in "bdfgklmnprst"]
+    items = [(k, " ".join(rng.choices(names, k=18))) for k in range(40_000)]
+    docs = [(k, " ".join(rng.choices(names, k=30)) + " " + (items[k * 397][1] if k % 2 else "")) for k in range(100)]
+    found = L.leaks(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(1), spark.createDataFrame(items, "item_id bigint, prompt string"))
+    assert "Union" not in found._jdf.queryExecution().toString()
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == {(k, k * 397) for k in range(1, 100, 2)}
 
 
 def test_normal_words():
