@@ -60,20 +60,49 @@ def test_no_rows(spark):
     assert N.all_pairs(*N.near_duplicates(e)).collect() == []
 
 
-@pytest.mark.parametrize("budget", [0, 20, 60, 90])
-def test_trie_join_against_all_pairs(budget):
+def far(sig, i, j):
+    """Bits of two sketches that differ up to the end of each word."""
+    return np.cumsum(np.bitwise_count(sig[i] ^ sig[j]), -1, dtype=np.int64)
+
+
+@pytest.mark.parametrize("share", [1.0, 0.9, 0.5, 0.3])
+def test_trie_join_against_all_pairs(share, monkeypatch):
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2**63, (40, N.SIG), dtype=np.uint64)
     sig = np.repeat(base, 40, 0)
     for k in range(N.SIG):
         sig[:, k] ^= rng.integers(0, 2**63, 1600, dtype=np.uint64) & rng.integers(0, 2**63, 1600, dtype=np.uint64) & rng.integers(0, 2**63, 1600, dtype=np.uint64)
     group = rng.integers(0, 2, 1600).astype(np.uint64)
-    i, j = N.trie_self_join(group, sig, budget)
-    got = {(min(x, y), max(x, y)) for x, y in zip(i.tolist(), j.tolist())}
-    assert len(got) == len(i)
-    d = np.bitwise_count(sig[:, None, :] ^ sig[None, :, :]).sum(2)
-    a, b = np.nonzero(np.triu((d <= budget) & (group[:, None] == group[None, :]), 1))
-    assert got == set(zip(a.tolist(), b.tolist()))
+    budget = N.budgets(share)
+    for leaf in (1 << 30, 64):  # whole groups word by word, and a deep walk
+        monkeypatch.setattr(N, "LEAF", leaf)
+        walk = N.Walk()
+        i, j = N.trie_self_join(group, sig, budget, walk)
+        got = {(min(x, y), max(x, y)) for x, y in zip(i.tolist(), j.tolist())}
+        assert len(got) == len(i) and walk.dropped > 0
+        d = np.cumsum(np.bitwise_count(sig[:, None, :] ^ sig[None, :, :]), 2, dtype=np.int64)
+        fine = (d <= budget[[64, 128, 192, 256]]).all(2) & (group[:, None] == group[None, :])
+        a, b = np.nonzero(np.triu(fine, 1))
+        want = set(zip(a.tolist(), b.tolist()))
+        # a deep walk looks at more depths than the ends of words, so it may drop a few more
+        assert got == want if leaf > 64 else got <= want and len(want - got) <= 0.02 * len(want)
+
+
+def test_the_trie_prunes_and_finds_pairs_at_one_half():
+    """8 000 texts of random shingles, of which each even one shares just half of its shingles with the next: every band's trie, counted."""
+    rng = np.random.default_rng(4)
+    sets = []
+    for _ in range(4000):
+        x = rng.integers(0, 2**64, 160, dtype=np.uint64)
+        sets += [x[:120], x[40:]]
+    keys, sig = N.sketch(np.concatenate(sets), np.arange(8000) * 120)
+    walk, found = N.Walk(), set()
+    for band in range(N.BANDS):
+        i, j = N.trie_self_join(keys[:, band], sig, N.budgets(0.5), walk)
+        found |= {(min(p), max(p)) for p in zip(i.tolist(), j.tolist())}
+    every = 8000 * 7999 // 2
+    assert walk.compared < 0.05 * every and walk.dropped > 0.9 * every
+    assert len(found & {(k, k + 1) for k in range(0, 8000, 2)}) >= 0.99 * 4000 and len(found) < 4100
 
 
 def test_a_key_of_many_rows_is_divided(spark, corpus, monkeypatch):
@@ -81,7 +110,20 @@ def test_a_key_of_many_rows_is_divided(spark, corpus, monkeypatch):
     want = {tuple(r) for r in N.all_pairs(*N.near_duplicates(df)).collect()}
     monkeypatch.setattr(N, "HOT_ROWS", 2)
     monkeypatch.setattr(N, "HOT_SAMPLE", 1)
+    monkeypatch.setattr(N, "COPIES", 2)
+    monkeypatch.setattr(N, "PACK_KEYS", 2000)
+    monkeypatch.setattr(N, "PART_KEYS", 500)
     assert {tuple(r) for r in N.all_pairs(*N.near_duplicates(df)).collect()} == want
+    far_apart = df.select((F.col("seq") * (1 << 45)).alias("seq"), "text")
+    assert {(r[0] >> 45, r[1] >> 45) for r in N.all_pairs(*N.near_duplicates(far_apart)).collect()} == want
+
+
+def test_many_copies_make_all_their_pairs(spark, monkeypatch):
+    monkeypatch.setattr(N, "COPIES", 10)
+    a, b = "the old road to the river was closed in the spring of that year", "the old road to the river was closed in the spring of that year again"
+    df = spark.createDataFrame([(k, a if k % 3 else b) for k in range(100)], "seq bigint, text string")
+    got = [tuple(r) for r in N.all_pairs(*N.near_duplicates(df)).collect()]
+    assert len(got) == len({*got}) == 100 * 99 // 2
 
 
 def test_pairs_at_one_half_share_a_key():
