@@ -5,8 +5,10 @@ once. A first level of linear machines tells language families apart; within a f
 machines separate the related languages by votes. They are trained here on a bounded sample of labelled rows; sentences of
 that sample which the first round puts clearly elsewhere (labels are partly wrong) are left out of the second.
 
-Full sentences only decide: at least MIN_WORDS words and a final stop. Null and empty texts, and texts without a full
-sentence, have no row; without labelled rows nothing has. Repeated rows are labelled alike; of several labels of one key the latest counts, of equally late
+Full sentences (at least MIN_WORDS words and a final stop) say which languages a document has. Other stretches, such as headings, list
+items and fragments, have a language of their own if that is sure (ALONE), and else go with the sentence before, or after, them; a
+document without a full sentence is judged as a whole. So every sentence lies in a segment. A text without a letter, null and
+empty ones included, has one row whose language is null; without labelled rows every document has. Repeated rows are labelled alike; of several labels of one key the latest counts, of equally late
 ones the first in order of the alphabet.
 """
 
@@ -32,8 +34,9 @@ SAMPLE_DOCS, SAMPLE_SENTENCES = 300, 8
 DIMENSIONS = 2048
 #: A sentence whose language is less sure than this is no evidence of a second language in its document.
 DOUBT = 0.9
+#: Words and confidence with which a piece that is no full sentence has a language of its own.
+ALONE_WORDS, ALONE = 6, 0.98
 MIN_WORDS = 4
-MAX_WORD = 40
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 _SPLIT = re.compile(r"(?<=[.!?…])[\"'”’»)\]]*\s+")
 
@@ -50,7 +53,7 @@ def sentences(text: str | None) -> list[tuple[str, bool]]:
 
 def grams(word: str) -> list[int]:
     """Places of a word's character n-grams (one to four characters, with its ends) and of itself."""
-    w = f"<{word[:MAX_WORD].lower()}>"
+    w = f"<{word.lower()}>"
     parts = [w[i : i + n] for n in (1, 2, 3, 4) for i in range(len(w) - n + 1)]
     return [xxhash.xxh32_intdigest(p) % DIMENSIONS for p in (*parts, w, w)]
 
@@ -210,13 +213,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, key: str = "seq", text:
 
 
 def languages(docs: DataFrame, model: LanguageModel, lines: LineModel | None = None, key: str = "seq", text: str = "text", label: str | None = None) -> DataFrame:
-    """One row for each stretch of full sentences in one language: key, label, kind, segment (from 0), lang, confidence, sentences,
-    and of the document lang_sentences (full sentences in that language), languages (those with at least two) and main (the
-    language of most sentences). kind is that of the line model; only documents whose label doesn't say what the text says
+    """One row for each stretch in one language: key, label, kind, segment (from 0), lang, confidence (mean over its sentences), sentences
+    (all of the stretch), and of the document lang_sentences (full sentences in that language), languages (those with at least two) and
+    main (the language of most full sentences). kind is that of the line model; only documents whose label doesn't say what the text says
     are asked for it, others have null."""
     ddl = "id bigint, label string, kind string, segment int, lang string, confidence double, sentences int, lang_sentences int, languages int, main string"
     shared = docs.sparkSession.sparkContext.broadcast((model, lines))
-    kept = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"), (F.col(label) if label else F.lit(None).cast("string")).alias("label")).where("text is not null")
+    kept = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"), (F.col(label) if label else F.lit(None).cast("string")).alias("label"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = arrow_schema(ddl)
@@ -224,25 +227,39 @@ def languages(docs: DataFrame, model: LanguageModel, lines: LineModel | None = N
         for whole in batches:
             for part in chunks(whole, "text"):
                 ids, texts, labels = (part.column(k).to_pylist() for k in range(3))
-                full = [[s for s, f in sentences(t) if f] if model.families else [] for t in texts]
-                said = iter(model.classify([s for x in full for s in x]))
+                cut = [sentences(t) if model.families else [] for t in texts]
+                cut = [[(x, f) for x, f in c if f or _WORD.search(x)] for c in cut]
+                # a document without a full sentence is one piece; of others, pieces too short to have a language of their own aren't asked
+                asked = [[x for x, f in c if f or x.count(" ") >= ALONE_WORDS - 1] if any(f for _, f in c) else [" ".join(x for x, _ in c)] if c else [] for c in cut]
+                said = iter(model.classify([x for a in asked for x in a]))
                 rows: list[list] = []
                 ask: dict[int, str | None] = {}
-                for i, x in enumerate(full):
-                    by = [next(said) for _ in x]
-                    if not by:
+                for i, c in enumerate(cut):
+                    got = [next(said) for _ in asked[i]]
+                    if not got:
+                        rows.append([i, 0, None, 0.0, len(c), 0, 0, None])
                         continue
-                    counts = Counter(c for c, _ in by)
-                    main = min(counts, key=lambda c: (-counts[c], c))
+                    if not any(f for _, f in c):
+                        rows.append([i, 0, got[0][0], got[0][1], len(c), 0, 0, got[0][0]])
+                        continue
+                    got = iter(got)
+                    by = [(f, *(next(got) if f or x.count(" ") >= ALONE_WORDS - 1 else (None, 0.0))) for x, f in c]
+                    counts = Counter(z for f, z, _ in by if f)
+                    main = min(counts, key=lambda z: (-counts[z], z))
                     # a doubtful sentence is taken for one in the language of most
-                    by = [(main, 1 - p) if c != main and p < DOUBT else (c, p) for c, p in by]
-                    counts = Counter(c for c, _ in by)
+                    by = [(f, main, 1 - p) if f and z != main and p < DOUBT else (f, z if f or p >= ALONE else None, p) for f, z, p in by]
+                    counts = Counter(z for f, z, _ in by if f)
                     several = sum(n > 1 for n in counts.values())
                     if lines is not None and (several > 1 or labels[i] != main):
                         ask[i] = None
-                    for n, (c, group) in enumerate(itertools.groupby(by, key=lambda r: r[0])):
+                    last = next(z for _, z, _ in by if z is not None)
+                    parts: list[tuple[str, float | None]] = []
+                    for _, z, p in by:
+                        parts.append((z or last, p if z else None))
+                        last = z or last
+                    for n, (z, group) in enumerate(itertools.groupby(parts, key=lambda r: r[0])):
                         p = [q for _, q in group]
-                        rows.append([i, n, c, float(np.mean(p)), len(p), counts[c], several, main])
+                        rows.append([i, n, z, float(np.mean([q for q in p if q is not None])), len(p), counts[z], several, main])
                 if ask:
                     for i, (ls, marks) in zip(ask, lines.label([texts[i] for i in ask])):
                         ask[i] = kind_of(shares(ls, marks))

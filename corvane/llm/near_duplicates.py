@@ -38,8 +38,9 @@ SPREAD = 3.6
 HOT_ROWS, HOT_SHARE = 20_000, 50_000
 #: Every so manieth document is looked at to find such keys; this decides only how work is divided.
 HOT_SAMPLE = 32
-#: Keys in one part of the exchange, about, and keys that a task gathers before it packs them.
-PART_KEYS, PACK_KEYS = 2_000_000, 4_000_000
+#: Keys in one part of the exchange, about, and keys that a task gathers before it packs them; of very many rows, parts have more
+#: keys, so that on average PACKED of a task's keys go to each part.
+PART_KEYS, PACK_KEYS, PACKED = 250_000, 8_000_000, 50
 #: Node pairs of at most so many pairs of codes are compared word by word.
 LEAF = 64
 #: Copies of one text beyond which their pairs are made in blocks.
@@ -235,7 +236,7 @@ def _keys(column: pa.Array) -> np.ndarray:
 def shared_nodes(reps: DataFrame) -> DataFrame:
     """node, ids: the different sets of two or more ids whose codes share a key, which are the tries' nodes below the keys."""
     rows = reps.count()
-    parts = max(1, rows * BANDS // PART_KEYS)
+    parts = max(1, min(rows * BANDS // PART_KEYS, PACK_KEYS // PACKED))
     shared = reps.sparkSession.sparkContext.broadcast(hot_keys(reps, rows))
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,8 +2,9 @@
 
 wrong_language compares the language posteriors of prompt and response under a naive Bayes model over character n-grams, trained
 on a bounded sample of labelled documents. truncated uses an end-of-text n-gram model: over all responses, how often a context
-of one to three tokens was followed by the end of a sentence or line, and how often by more text; counts are kept in a
-table of fixed size (hashed contexts). The other defects follow from the two texts.
+of one to three tokens was followed by the end of a sentence or line, and how often by more text. Only contexts at which
+some response ends open are counted (a fixed bit map of them spares the others the exchange), each under 64 bits of its hash, and the
+counts are joined to the open responses, so the model is as exact at any size. The other defects follow from the two texts.
 
 A null, empty or placeholder response is empty_answer and nothing else. A null or empty prompt gets no comparison.
 Repeated pairs get their rows each under their own key. Extra columns are ignored.
@@ -22,13 +23,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import LANGUAGES, arrow_schema, chunks
+from corvane.llm.common import LANGUAGES, Ids, arrow_schema, chunks, materialize
 from corvane.llm.language import sentences
 from corvane.llm.quality import COMMON
 
 DEFECTS = ("empty_answer", "truncated", "refusal", "copied_question", "wrong_language")
-#: Slots of the table of contexts of each length (1 to 3 tokens).
-SLOTS = (1 << 18, 1 << 20, 1 << 22)
+#: Bits of the map of contexts that are asked for (8 MB); of more contexts than it holds, others are counted too, in vain.
+MAP_BITS = 1 << 26
 #: A context seen so often decides; a shorter one is asked else.
 SEEN = 4
 #: A response breaks off if after its last two, or three, tokens an end has less than this probability.
@@ -186,102 +187,109 @@ def tokens(text: str) -> list[str]:
     return out
 
 
-class EndModel:
-    """Counts of hashed contexts: how often an end followed, and how often more text."""
-
-    def __init__(self, ends: list[np.ndarray], goes: list[np.ndarray]) -> None:
-        self.ends, self.goes = ends, goes
-
-    @staticmethod
-    def contexts(ids: np.ndarray) -> list[np.ndarray]:
-        """For k = 1..3 the slot of the last k tokens at each place (a shorter beginning counts as padded)."""
-        with np.errstate(over="ignore"):
-            out, h = [], np.zeros(len(ids), np.uint64)
-            for k in range(3):
-                back = np.concatenate([np.zeros(min(k, len(ids)), np.uint64), ids[: max(0, len(ids) - k)]])
-                h = (h ^ (back + np.uint64(k + 1))) * np.uint64(0x9E3779B97F4A7C15)
-                h ^= h >> np.uint64(29)
-                out.append((h % np.uint64(SLOTS[k])).astype(np.int64))
-        return out
+def contexts(ids: np.ndarray) -> list[np.ndarray]:
+    """For k = 1..3 the hash of the last k tokens at each place (a shorter beginning counts as padded)."""
+    out, h = [], np.zeros(len(ids), np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(3):
+            back = np.concatenate([np.zeros(min(k, len(ids)), np.uint64), ids[: max(0, len(ids) - k)]])
+            h = (h ^ (back + np.uint64(k + 1))) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+            out.append(h.view(np.int64))
+    return out
 
-    @staticmethod
-    def ids(toks: list[str], kept: dict[str, int]) -> np.ndarray:
-        for t in toks:
-            if t not in kept:
-                if len(kept) > 500_000:
-                    kept.clear()
-                kept[t] = xxhash.xxh64_intdigest(t)
-        return np.fromiter((kept.get(t) or xxhash.xxh64_intdigest(t) for t in toks), np.uint64, len(toks))
 
-    @staticmethod
-    def count(texts: list[str], kept: dict[str, int]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each k the slots that were followed by an end, and by more text."""
-        ends: list[list] = [[], [], []]
-        goes: list[list] = [[], [], []]
-        for t in texts:
-            toks = tokens(t)
-            if len(toks) < 2:
-                continue
-            last = np.array([x in _STOPS or x == "\n" for x in toks[1:]] + [False])
-            here = np.array([x in _STOPS or x == "\n" or x in _QUOTES for x in toks])
-            here[-1] = True  # what follows the last token isn't known
-            for k, c in enumerate(EndModel.contexts(EndModel.ids(toks, kept))):
-                ends[k].append(c[last & ~here])
-                goes[k].append(c[~last & ~here])
-        return [(np.concatenate(e) if e else np.zeros(0, np.int64), np.concatenate(g) if g else np.zeros(0, np.int64)) for e, g in zip(ends, goes)]
-
-    def breaks_off(self, text: str, kept: dict[str, int]) -> bool:
-        t = _SMILE.sub("", bare(text))
-        if not t or t[-1] == ")" and t.rfind("(") > t[:-1].rfind(")"):
-            return False
-        if t.rstrip("\"'”’»)]}`*_")[-1:] in _STOPS:
-            return False
-        toks = tokens(t[-400:])
-        while toks and toks[-1] in _QUOTES and len(toks) > 1 and toks[-1] not in "([{":
-            toks.pop()
-        if not toks or toks[-1] in _STOPS:
-            return False
-        if toks[-1] in (",", ";", ":", "-", "–", "—", "(", "[", "{", "/", "&"):
-            return True
-        at = self.contexts(self.ids(toks[-8:], kept))
-        seen = [(int(e[c[-1]]), int(g[c[-1]])) for e, g, c in zip(self.ends, self.goes, at)]
-        (e1, g1), (e2, g2), (e3, g3) = seen
-        if e2 + g2 >= SEEN:
-            return e2 < ENDS[0] * (e2 + g2) or len(toks) > 2 and e3 + g3 >= SEEN and e3 < ENDS[1] * (e3 + g3)
-        if e1 + g1 >= SEEN:
-            # after a frequent word nearly all that ever follows is known: what isn't is the beginning of a longer word
-            before = self.ends[0][at[0][-2]] + self.goes[0][at[0][-2]] if len(at[0]) > 1 and toks[-1] not in ("N", "0") else 0
-            return e1 < (ENDS_CUT if before >= FREQUENT else ENDS_ONE) * (e1 + g1)
-        # its last word is hardly ever seen: a word in the middle, unless it is a name, number or the whole of a short text
-        return toks[-1] not in ("N", "0") and len(toks) > 3
-
-
-def end_model(answers: DataFrame, text: str) -> EndModel:
-    """Counts over all answers. What reaches the driver is the table of fixed size, summed by slot."""
+def token_ids(toks: list[str], kept: Ids) -> np.ndarray:
+    return np.fromiter(map(kept.__getitem__, toks), np.uint64, len(toks))
+
+
+def last_tokens(text: str, n: int = 10) -> list[str]:
+    """At least the last n tokens of a text (all, of fewer)."""
+    size = 400
+    while True:
+        toks = tokens(text[-size:])
+        if len(toks) > n or size >= len(text):
+            return toks
+        size *= 8
+
+
+def ending(text: str) -> tuple[bool, list[str]]:
+    """(whether the text plainly breaks off, its last tokens if they have to tell)."""
+    t = _SMILE.sub("", bare(text))
+    if not t or t[-1] == ")" and t.rfind("(") > t[:-1].rfind(")"):
+        return False, []
+    if t.rstrip("\"'”’»)]}`*_")[-1:] in _STOPS:
+        return False, []
+    toks = last_tokens(t)
+    while toks and toks[-1] in _QUOTES and len(toks) > 1 and toks[-1] not in "([{":
+        toks.pop()
+    if not toks or toks[-1] in _STOPS:
+        return False, []
+    if toks[-1] in (",", ";", ":", "-", "–", "—", "(", "[", "{", "/", "&"):
+        return True, []
+    return False, toks
+
+
+def context_counts(texts: list[str], kept: Ids) -> tuple[np.ndarray, np.ndarray]:
+    """The contexts that were followed by an end, and by more text."""
+    ends: list[np.ndarray] = [np.zeros(0, np.int64)]
+    goes: list[np.ndarray] = [np.zeros(0, np.int64)]
+    for t in texts:
+        toks = tokens(t)
+        if len(toks) < 2:
+            continue
+        last = np.array([x in _STOPS or x == "\n" for x in toks[1:]] + [False])
+        here = np.array([x in _STOPS or x == "\n" or x in _QUOTES for x in toks])
+        here[-1] = True  # what follows the last token isn't known
+        for c in contexts(token_ids(toks, kept)):
+            ends.append(c[last & ~here])
+            goes.append(c[~last & ~here])
+    return np.concatenate(ends), np.concatenate(goes)
+
+
+def bit_map(asked: DataFrame, column: str) -> np.ndarray:
+    """The bits of MAP_BITS that the values of a column set, as bytes; what reaches the driver is at most the map itself."""
+    place = F.pmod(F.col(column), F.lit(MAP_BITS)) + 1
+    rows = asked.select(F.bitmap_bucket_number(place).alias("b"), F.bitmap_bit_position(place).alias("p")).groupBy("b").agg(F.bitmap_construct_agg("p").alias("m")).collect()
+    out = np.zeros((MAP_BITS // 32768, 4096), np.uint8)
+    for r in rows:
+        out[r.b - 1] = np.frombuffer(bytes(r.m), np.uint8)
+    return out.ravel()
+
+
+def breaking_off(openings: DataFrame, answers: DataFrame, key: str, text: str) -> DataFrame:
+    """id: of open endings (id, c1, c2, c3, before: context hashes; plain: whether the last token is no name or number; tokens) those after
+    whose last tokens, in all answers, a text hardly ever ends."""
+    places = F.explode(F.array(*(F.struct(F.lit(n).alias("which"), F.col(c).alias("context")) for n, c in enumerate(("c1", "c2", "c3", "before"))))).alias("x")
+    asked = openings.select("id", places).select("id", "x.*").where("context is not null")
+    bits = answers.sparkSession.sparkContext.broadcast(bit_map(asked, "context"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = arrow_schema("slot bigint, ends bigint, goes bigint")
-        sums = [(np.zeros(n, np.int32), np.zeros(n, np.int32)) for n in SLOTS]
-        kept: dict[str, int] = {}
+        schema, kept, wanted = arrow_schema(ddl), Ids(xxhash.xxh64_intdigest), bits.value
         for whole in batches:
             for part in chunks(whole, "text"):
-                for (e, g), (se, sg) in zip(EndModel.count([t for t in part.column(0).to_pylist() if t], kept), sums):
-                    se += np.bincount(e, minlength=len(se)).astype(np.int32)
-                    sg += np.bincount(g, minlength=len(sg)).astype(np.int32)
-        base = 0
-        for se, sg in sums:
-            at = np.flatnonzero(se + sg)
-            yield pa.RecordBatch.from_arrays([pa.array(at + base), pa.array(se[at].astype(np.int64)), pa.array(sg[at].astype(np.int64))], schema=schema)
-            base += len(se)
-
-    sums = answers.select(F.col(text).alias("text")).where("text is not null").mapInArrow(run, "slot bigint, ends bigint, goes bigint").groupBy("slot").agg(F.sum("ends").alias("ends"), F.sum("goes").alias("goes"))
-    got = sums.toArrow()
-    slot = got.column("slot").to_numpy()
-    ends, goes = np.zeros(sum(SLOTS), np.int64), np.zeros(sum(SLOTS), np.int64)
-    ends[slot], goes[slot] = got.column("ends").to_numpy(), got.column("goes").to_numpy()
-    cut = np.cumsum(SLOTS)[:-1]
-    most = 2**31 - 1
-    return EndModel([x.astype(np.int32) for x in np.split(np.minimum(ends, most), cut)], [x.astype(np.int32) for x in np.split(np.minimum(goes, most), cut)])
+                sums = []
+                for c in context_counts([t for t in part.column(0).to_pylist() if t], kept):
+                    at = np.mod(c, MAP_BITS)
+                    sums.append(np.unique(c[(wanted[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0], return_counts=True))
+                (e, ne), (g, ng) = sums
+                zero = lambda x: np.zeros(len(x), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([e, g])), pa.array(np.concatenate([ne.astype(np.int64), zero(g)])), pa.array(np.concatenate([zero(e), ng.astype(np.int64)]))], schema=schema)
+
+    ddl = "context bigint, ends bigint, goes bigint"
+    counts = answers.select(F.col(text).alias("text")).where("text is not null").mapInArrow(run, ddl).groupBy("context").agg(F.sum("ends").alias("ends"), F.sum("goes").alias("goes"))
+    # many answers may end alike: a join by sorting, whose parts Spark divides where one context has many rows
+    joined = asked.join(counts.hint("merge"), "context", "left")
+    of = lambda n, c: F.coalesce(F.max(F.when(F.col("which") == n, F.col(c))), F.lit(0))
+    seen = joined.groupBy("id").agg(*(of(n, c).alias(f"{c[0]}{n + 1}") for n in range(4) for c in ("ends", "goes")))
+    x = openings.select("id", "plain", "tokens").join(seen, "id")
+    n = lambda k: F.col(f"e{k}") + F.col(f"g{k}")
+    by_two = (F.col("e2") < ENDS[0] * n(2)) | ((F.col("tokens") > 2) & (n(3) >= SEEN) & (F.col("e3") < ENDS[1] * n(3)))
+    # after a frequent word nearly all that ever follows is known: what isn't is the beginning of a longer word
+    cut = F.when(F.col("plain") & (n(4) >= FREQUENT), ENDS_CUT).otherwise(ENDS_ONE)
+    # its last word is hardly ever seen: a word in the middle, unless it is a name, number or the whole of a short text
+    off = F.when(n(2) >= SEEN, by_two).when(n(1) >= SEEN, F.col("e1") < cut * n(1)).otherwise(F.col("plain") & (F.col("tokens") > 3))
+    return x.where(off).select("id").distinct()
 
 
 class NaiveBayes:
@@ -300,7 +308,7 @@ class NaiveBayes:
 
     @staticmethod
     def grams(word: str) -> list[int]:
-        w = f"<{word[:40]}>"
+        w = f"<{word}>"
         return [xxhash.xxh32_intdigest(w[i : i + n]) % GRAM_SLOTS for n in (1, 2, 3) for i in range(len(w) - n + 1)]
 
     @classmethod
@@ -348,17 +356,16 @@ def wrong_language(user: str, answer: str, model: NaiveBayes) -> bool:
     return not asks_for(user, model.codes[int(q.argmax())])
 
 
-def defects(pairs: DataFrame, languages: NaiveBayes, ends: EndModel, key: str = "seq", user: str = "user_msg", assistant: str = "assistant_msg") -> DataFrame:
+def defects(pairs: DataFrame, languages: NaiveBayes, key: str = "seq", user: str = "user_msg", assistant: str = "assistant_msg") -> DataFrame:
     """key, defect: one row for each defect of each pair."""
-    shared = pairs.sparkSession.sparkContext.broadcast((languages, ends))
-    ddl = "id bigint, defect string"
+    shared = pairs.sparkSession.sparkContext.broadcast(languages)
+    ddl = "id bigint, defect string, c1 bigint, c2 bigint, c3 bigint, before bigint, plain boolean, tokens int"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nb, em = shared.value
-        kept: dict[str, int] = {}
+        nb, kept, schema = shared.value, Ids(xxhash.xxh64_intdigest), arrow_schema(ddl)
         for whole in batches:
             for part in chunks(whole, "a"):
-                ids, out = [], []
+                rows: list[tuple] = []
                 for i, u, a in zip(*(part.column(k).to_pylist() for k in range(3))):
                     found = []
                     if is_empty(a):
@@ -368,14 +375,24 @@ def defects(pairs: DataFrame, languages: NaiveBayes, ends: EndModel, key: str =
                         if is_copy(u, a):
                             found.append("copied_question")
                         else:
-                            if em.breaks_off(a, kept):
+                            off, toks = ending(a)
+                            if off:
                                 found.append("truncated")
+                            elif toks:
+                                c1, c2, c3 = contexts(token_ids(toks[-8:], kept))
+                                rows.append((i, None, c1[-1], c2[-1], c3[-1], c1[-2] if len(c1) > 1 else None, toks[-1] not in ("N", "0"), len(toks)))
                             if is_refusal(u, a):
                                 found.append("refusal")
                         if wrong_language(u, a, nb):
                             found.append("wrong_language")
-                    ids += [i] * len(found)
-                    out += found
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.string())], schema=arrow_schema(ddl))
-
-    return pairs.select(F.col(key).cast("bigint").alias("id"), F.col(user).alias("u"), F.col(assistant).alias("a")).mapInArrow(run, ddl).withColumnRenamed("id", key)
+                    rows += [(i, d, None, None, None, None, None, None) for d in found]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
+
+    found = pairs.select(F.col(key).cast("bigint").alias("id"), F.col(user).alias("u"), F.col(assistant).alias("a")).mapInArrow(run, ddl)
+    # a row for each defect and each open ending; the texts aren't kept
+    found = materialize(found.withColumn("row", F.monotonically_increasing_id()), "endings")
+    openings = found.where("defect is null")
+    # a key may belong to several pairs, so their endings are told apart by the number of the row
+    off = breaking_off(openings.drop("id").withColumnRenamed("row", "id"), pairs, key, assistant)
+    truncated = openings.join(off.withColumnRenamed("id", "row"), "row", "left_semi").select("id", F.lit("truncated").alias("defect"))
+    return found.where("defect is not null").select("id", "defect").unionByName(truncated).withColumnRenamed("id", key)

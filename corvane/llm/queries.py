@@ -51,7 +51,7 @@ def p4_quality(spark: SparkSession, d: str) -> DataFrame:
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     sft = table(spark, d, "sft_pairs")
     labelled = language.labelled_sample(table(spark, d, "corpus_docs"), language.latest_labels(table(spark, d, "corpus_labels")))
-    return pairs.defects(sft, pairs.NaiveBayes.train(labelled), pairs.end_model(sft, "assistant_msg")).select("seq", "defect").distinct()
+    return pairs.defects(sft, pairs.NaiveBayes.train(labelled)).select("seq", "defect").distinct()
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

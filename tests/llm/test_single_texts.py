@@ -194,12 +194,26 @@ def test_languages(spark, speaker):
     for r in sorted(rows, key=lambda r: r.segment):
         by[r.seq].append(r.lang)
     assert [by[i] for i in range(len(SENTENCES))] == [[c] for c in SENTENCES]
-    assert by[20] == ["de", "fr"] and by[21] == ["en"] and not by[22] + by[23] + by[24]
+    assert by[20] == ["de", "fr"] and by[21] == ["en"] and by[22] == by[23] == [None] and len(by[24]) == 1
     assert all(0 <= r.confidence <= 1 for r in rows)
     found = {tuple(r) for r in language.mislabelled(language.languages(df, speaker, lines, label="label")).collect()}
     assert {(20, "de"), (20, "fr"), (25, "en"), (26, "en")} == found
 
 
+def test_every_stretch_has_a_language(spark, speaker):
+    heads = "Notes from the river"
+    rows = [(0, heads + "\n\n" + fill("en", "Tolva")), (1, heads), (2, None), (3, ""), (4, "12 + 3 = 15 |||"), (5, "- " + fill("fr", "Merin")[:40] + "\n- et puis la rivière\n" + fill("de", "Askel")), (6, "\n".join(["- the books and the letters of the people", "- the old houses near the river"]))]
+    got = defaultdict(list)
+    for r in language.languages(spark.createDataFrame(rows, "seq bigint, text string"), speaker).orderBy("seq", "segment").collect():
+        got[r.seq].append((r.lang, r.sentences))
+    assert sorted(got) == list(range(7))
+    for i, t in rows:
+        pieces = [x for x, _ in language.sentences(t) if language._WORD.search(x)]
+        assert sum(n for _, n in got[i]) == len(pieces)  # every piece lies in one segment
+    assert [c for c, _ in got[0]] == ["en"] and got[1][0][0] == "en" and got[6][0][0] == "en"
+    assert got[2] == got[3] == got[4] == [(None, 0)] and got[5][-1][0] == "de"
+
+
 def test_latest_label(spark):
     rows = [(1, "EN", 1), (1, "ger", 2), (2, " fr-XX", 3), (2, "fr", 3), (2, "de", 3), (3, None, 5), (3, "en", 1), (4, "n/a", 1), (None, "en", 1)]
     df = spark.createDataFrame(rows, "seq bigint, lang string, labelled_at int")
@@ -209,7 +223,7 @@ def test_latest_label(spark):
 def test_no_labels_and_no_documents(spark):
     docs = spark.createDataFrame([(1, fill("en", "X"))], "seq bigint, text string")
     labels = spark.createDataFrame([], "seq bigint, lang string, labelled_at timestamp")
-    assert language.label_documents(docs, labels).collect() == []
+    assert [(r.seq, r.lang, r.confidence) for r in language.label_documents(docs, labels).collect()] == [(1, None, 0.0)]
     assert language.label_documents(docs.limit(0), labels).collect() == []
 
 
@@ -232,6 +246,35 @@ def test_kinds(spark):
     assert quality.quality(df.limit(0), quality.train_lines(df.limit(0))).collect() == []
 
 
+def test_lines_before_and_after_decide():
+    """A line that could be prose or an item is labelled like its surroundings."""
+    import numpy as np
+
+    rng = random.Random(5)
+    word = lambda: rng.choice(["mango", "barley", "copper", "lantern", "harness", "violet", "pebble", "timber"])
+    prose = lambda: f"The {word()} and the {word()} were not far from the {word()} of the old house."
+    item = lambda: f"{rng.choice('-*•')} {word()} {word()}"
+    texts = ["\n".join([prose() for _ in range(6)] + [item() for _ in range(rng.choice([0, 0, 8, 20]))]) for _ in range(60)]
+    texts += ["\n".join(item() for _ in range(9)) for _ in range(40)]
+    m = quality.LineModel.train(texts)
+    odd = [f"{word()} of {word()}", f"{word()} {word()} and {word()}:", f"the {word()} {word()}"]
+    mixed = ["\n".join([item() for _ in range(4)] + [rng.choice(odd)] + [item() for _ in range(4)] + [prose()]) for _ in range(20)]
+    mixed += ["\n".join([prose() for _ in range(4)] + [rng.choice(odd)] + [prose() for _ in range(4)]) for _ in range(20)]
+    chained = [labels for _, labels in m.label(mixed)]
+    m.start, m.move = np.full(4, np.log(0.25)), np.full((4, 4), np.log(0.25))
+    alone = [labels for _, labels in m.label(mixed)]
+    assert sum(a != b for a, b in zip(chained, alone)) >= 5
+    assert all(c[4] == quality.LIST for c in chained[:20]) and all(c[4] == quality.PROSE for c in chained[20:])
+
+
+def test_known_words_are_counted_over_all_documents(spark):
+    rows = [(i, f"The lantern w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)} {'rare' if i < 5 else ''}") for i in range(400)]
+    df = spark.createDataFrame(rows + [(None, None), (500, "")], "seq bigint, text string")
+    assert quality.known_words(df, n=1000) == {"the", "lantern", "rare"}
+    assert quality.known_words(df, n=200) == {"the", "lantern"}  # 4 in 200 are 8 of 400
+    assert quality.known_words(df.limit(0)) == frozenset()
+
+
 def test_viterbi_is_the_best_path():
     import itertools
 
@@ -264,11 +307,48 @@ def test_pair_defects(spark):
     df = spark.createDataFrame(rows, "seq bigint, user_msg string, assistant_msg string").withColumn("defect", F.lit("x")).withColumn("id", F.lit(1))
     nb = pairs.NaiveBayes.train([(fill(c, n), c) for c in SENTENCES for n in NAMES])
     got = defaultdict(set)
-    for r in pairs.defects(df, nb, pairs.end_model(df, "assistant_msg")).collect():
+    for r in pairs.defects(df, nb).collect():
         got[r.seq].add(r.defect)
     assert {i: got[i] for i in extra} == {i: w for i, (_, _, w) in extra.items()}
     assert not any(got[i] for i in range(40))
-    assert pairs.defects(df.limit(0), pairs.NaiveBayes.train([]), pairs.end_model(df.limit(0), "assistant_msg")).collect() == []
+    assert pairs.defects(df.limit(0), pairs.NaiveBayes.train([])).collect() == []
+
+
+def test_endings_against_counts_in_memory(spark, monkeypatch):
+    import itertools
+
+    from corvane.llm.common import Ids
+
+    rng = random.Random(12)
+    words = ["open", "the", "jar", "slowly", "and", "turn", "it", "lid", "again", "Merin", "42"]
+    texts = [" ".join(rng.choices(words, [3, 6, 3, 2, 4, 3, 5, 2, 2, 1, 1], k=rng.randint(2, 9))) + rng.choice([".", "", "", "!", "\nThe end."]) for _ in range(900)]
+    ends, goes = Counter(), Counter()
+    ids = Ids(pairs.xxhash.xxh64_intdigest)
+    e, g = pairs.context_counts(texts, ids)
+    ends.update(e.tolist())
+    goes.update(g.tolist())
+
+    def off(t):
+        plain, toks = pairs.ending(t)
+        if plain or not toks:
+            return plain
+        c1, c2, c3 = pairs.contexts(pairs.token_ids(toks[-8:], ids))
+        (e1, n1), (e2, n2), (e3, n3) = ((ends[int(c[-1])], ends[int(c[-1])] + goes[int(c[-1])]) for c in (c1, c2, c3))
+        named = toks[-1] in ("N", "0")
+        if n2 >= pairs.SEEN:
+            return e2 < pairs.ENDS[0] * n2 or len(toks) > 2 and n3 >= pairs.SEEN and e3 < pairs.ENDS[1] * n3
+        if n1 >= pairs.SEEN:
+            before = ends[int(c1[-2])] + goes[int(c1[-2])] if len(c1) > 1 and not named else 0
+            return e1 < (pairs.ENDS_CUT if before >= pairs.FREQUENT else pairs.ENDS_ONE) * n1
+        return not named and len(toks) > 3
+
+    want = {i for i, t in enumerate(texts) if off(t)}
+    df = spark.createDataFrame(list(enumerate(itertools.repeat("How?", 0))) + [(i, "How?", t) for i, t in enumerate(texts)], "seq bigint, user_msg string, assistant_msg string")
+    found = lambda: {r.seq for r in pairs.defects(df, pairs.NaiveBayes.train([])).where("defect = 'truncated'").collect()}
+    assert found() == want and want
+    monkeypatch.setattr(pairs, "MAP_BITS", 32768)  # a map that is too small only lets more contexts through
+    assert found() == want
+    assert pairs.last_tokens("x" * 3000 + " a b c")[-3:] == ["a", "b", "c"] and len(pairs.last_tokens("wordword " * 20 + "y" * 5000)) > 10
 
 
 def test_subjects(spark):
