@@ -5,14 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Patterns of lines and phrases that don't belong to prose.
-TABLE_SEPARATOR = r"^[|:+\-= ]{5,}$"
-CODE_START = r"^(#include|import [a-z]|from [a-z.]+ import|def [a-z_]+\(|class [A-Z][A-Za-z]*[:(]|return |function |public |private |const |var |let |if ?\(|for ?\(|while ?\(|</?[a-z]+|[{}]|//|/\*)"
-CODE_TOKEN = r"(=>|::|&&|\|\||console\.(log|error)|System\.out|(printf|println) ?\()"
-BOILERPLATE = r"(?i)(cookie policy|privacy policy|terms of (use|service)|all rights reserved|subscribe now|sign in|log in|click here|read more|share this|leave a (comment|reply)|related (posts|articles)|advertisement|skip to (main )?content|accept (all )?cookies|enable javascript|newsletter|follow us|print page|back to top)"
-STOP_WORDS = "the of and to in a is that it was for on with as by at from this are not but or which had been were".split()
-STOP_SECTIONS = "references,external links,see also,further reading,notes,bibliography,citations,sources,footnotes,gallery,related pages,other websites,notes and references".split(",")
-
+from corvane.functions import fixed as X
 
 def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -49,7 +42,7 @@ def digits(c: Column | str) -> Column:
 
 
 def stop_words(c: Column | str) -> Column:
-    return count_of(c, STOP_WORDS)
+    return count_of(c, X.STOP_WORDS)
 
 
 def count_of(c: Column | str, words: list[str]) -> Column:
@@ -70,18 +63,23 @@ def lines(c: Column | str) -> Column:
 def is_table_line(c: Column) -> Column:
     pipes = F.length(c) - F.length(F.replace(c, F.lit("|"), F.lit("")))
     tabs = F.length(c) - F.length(F.replace(c, F.lit("\t"), F.lit("")))
-    return (pipes >= 3) | (tabs >= 2) | c.rlike(TABLE_SEPARATOR)
+    return (pipes >= 3) | (tabs >= 2) | (c.rlike(X.TABLE_RULE) & (c.contains("|") | c.contains("-")))
 
 
 def is_code_line(c: Column) -> Column:
-    braces = F.length(c) - F.length(F.translate(c, "{}", ""))
-    symbols = F.length(c) - F.length(F.translate(c, "{}[]<>;`\\=_", ""))
-    token = any_of(c, ["=>", "::", "&&", "||"]) | (any_of(c, ["console.", "System.", "print"]) & c.rlike(CODE_TOKEN))
-    return c.rlike(CODE_START) | token | (braces >= 2) | ((F.length(c) > 24) & (symbols / F.length(c) > 0.15))
+    size = F.length(c)
+    braces = size - F.length(F.translate(c, "{}", ""))
+    symbols = size - F.length(F.translate(c, X.CODE_SYMBOLS, ""))
+    return c.rlike(X.CODE_LINE) | c.rlike(X.CODE_TOKEN) | (braces >= 2) | ((size > 24) & (symbols / size > 0.15))
+
 
+def is_boilerplate_line(c: Column) -> Column:
+    """Furniture of a page, navigation or adverts."""
+    return c.rlike(X.BOILERPLATE) | c.rlike(X.NAVIGATION) | c.rlike(X.ADVERTS)
 
-def is_boilerplate(c: Column) -> Column:
-    return c.rlike(BOILERPLATE)
+
+def decimal_digits(c: Column | str) -> Column:
+    return F.length(col(c)) - without(c, r"\p{Nd}+")
 
 
 def any_of(c: Column, stems: list[str]) -> Column:
@@ -91,11 +89,6 @@ def any_of(c: Column, stems: list[str]) -> Column:
     return out
 
 
-def may_be_boilerplate(c: Column) -> Column:
-    """False where no line can match: a few searches for plain strings save the pattern's work on most documents."""
-    return any_of(F.lower(c), ["cookie", "privacy", "terms of", "reserved", "subscribe", "sign in", "log in", "click", "read more", "share this", "leave a", "related", "advertisement", "skip to", "javascript", "newsletter", "follow us", "print page", "back to"])
-
-
 def tokens(c: Column | str) -> Column:
     return F.regexp_extract_all(F.lower(col(c)), F.lit("[a-z0-9]+"), F.lit(0))
 
@@ -112,11 +105,9 @@ def fold_punctuation(c: Column | str) -> Column:
 
 def strip_markup(c: Column | str) -> Column:
     """Images and link targets, citation numbers, control characters and web addresses removed; blanks collapsed."""
-    c = F.regexp_replace(col(c), r"!\[[^\]]*\]\([^)]*\)", " ")
-    c = F.regexp_replace(c, r"\[([^\]]+)\]\([^)]*\)", "$1")
-    c = F.regexp_replace(c, r"\[[0-9]+(, ?[0-9]+)*\]", "")
-    c = F.regexp_replace(fold_punctuation(c), r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", "")
-    c = F.regexp_replace(c, r"(https?://|www\.)[^ \t\n\r]+", "")
+    c = F.regexp_replace(F.regexp_replace(F.regexp_replace(col(c), X.IMAGE, " "), X.LINK, "$1"), X.CITATION, "")
+    c = F.regexp_replace(fold_punctuation(c), X.CONTROL, "")
+    c = F.regexp_replace(c, X.URL, "")
     return F.regexp_replace(c, r"[ \t]+", " ")
 
 
@@ -144,12 +135,9 @@ def hash_fraction(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 13), 16, 10).cast("double") / F.lit(float(16**13))
 
 
-SOURCE_NAMES = {"fineweb": "fineweb-edu", "wiki": "wikipedia", "simplewiki": "simple-wikipedia", "simple-wiki": "simple-wikipedia", "smollm": "smollm-edu", "math": "open-web-math", "stack": "stackexchange"}
-
-
 def source_name(c: Column | str) -> Column:
     c = F.lower(F.regexp_replace(col(c), r"^[ \t\n\r]+|[ \t\n\r]+$", ""))
-    out = F.when(c.isin(sorted({*SOURCE_NAMES.values()})), c)
-    for alias, name in SOURCE_NAMES.items():
+    out = F.when(c.isin(X.SOURCES), c)
+    for alias, name in X.SOURCE_NAMES.items():
         out = out.when(c == alias, name)
     return out.otherwise("unknown")

@@ -1,16 +1,19 @@
-"""Corpus curation: reject reasons, validation, deduplication, quotas, samples, splitting and near-duplicate removal."""
+"""Corpus curation: text figures, deduplication, quotas, samples, fingerprints and near-duplicate removal."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+import itertools
+import re
+from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
-
-MIN_CHARS, MIN_WORDS, MAX_WORDS = 200, 50, 10_000
+from corvane.operators.ranges import ranged
 
 
 def text_ratios(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -22,51 +25,9 @@ def text_ratios(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
 def line_counts(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """By document: lines, distinct lines, and lines of each bad kind. Higher-order functions: no row is exploded or shuffled."""
-    x = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("_t")).select(key, T.lines("_t").alias("_l"), T.may_be_boilerplate(F.col("_t")).alias("_m"))
+    x = docs.select(key, T.lines(F.coalesce(F.col(text), F.lit(""))).alias("_l"))
     count = lambda p: F.size(F.filter("_l", p)).cast("bigint")
-    return x.select(key, F.size("_l").cast("bigint").alias("lines"), F.size(F.array_distinct("_l")).cast("bigint").alias("distinct_lines"), count(T.is_table_line).alias("table_lines"), count(T.is_code_line).alias("code_lines"), F.when(F.col("_m"), count(T.is_boilerplate)).otherwise(0).alias("boiler_lines"))
-
-
-def with_reason(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs and reason: the first reason against a document, or 'accepted'. Each figure is computed once, before the reasons."""
-    c = F.col(text)
-    x = docs.withColumn("_ls", T.lines(F.coalesce(c, F.lit(""))))
-    bad = F.when(T.may_be_boilerplate(c), F.size(F.filter("_ls", lambda v: T.is_boilerplate(v) | T.is_table_line(v)))).otherwise(F.size(F.filter("_ls", T.is_table_line)))
-    x = x.withColumns({"_n": F.size("_ls"), "_code": F.size(F.filter("_ls", T.is_code_line)), "_bad": bad, "_w": T.words(c), "_a": T.letters(c), "_v": T.visible(c), "_la": T.latin_letters(c), "_d": T.digits(c), "_st": T.stop_words(c), "_u": F.size(F.array_distinct("_ls"))})
-    part = lambda a, b: F.col(a) / F.greatest(F.col(b), F.lit(1))
-    reason = (
-        F.when(c.isNull() | (F.length(c) < MIN_CHARS), "too_short_raw")
-        .when(F.contains(c, F.lit("�")), "replacement_character")
-        .when((F.col("_code") >= 15) | ((F.col("_code") >= 5) & (part("_code", "_n") >= 0.08)), "code_heavy")
-        .when((F.col("_bad") >= 12) | ((F.col("_bad") >= 5) & (part("_bad", "_n") >= 0.30)), "boilerplate_heavy")
-        .when(F.col("_w") < MIN_WORDS, "too_short")
-        .when(part("_a", "_v") < 0.64, "low_alpha")
-        .when(part("_la", "_a") < 0.94, "non_english_script")
-        .when(part("_d", "_v") > 0.18, "too_many_digits")
-        .when((F.col("_st") < 3) | (part("_st", "_w") < 0.045), "non_english")
-        .when((F.col("_n") >= 8) & (part("_u", "_n") < 0.60), "repetition")
-        .otherwise("accepted")
-    )
-    return x.select(*docs.columns, reason.alias("reason"))
-
-
-def validation_flags(text: str = "text") -> Column:
-    c = F.coalesce(F.col(text), F.lit(""))
-    ls = T.lines(c)
-    flag = lambda p, name: F.when(p, F.lit(name))
-    return F.array_compact(
-        F.array(
-            flag(F.trim(c) == "", "empty"),
-            flag(F.contains(c, F.lit("�")) | c.rlike(r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"), "broken_unicode"),
-            flag(c.rlike(r"</?[a-zA-Z][a-zA-Z0-9]*( [^<>]*)?/?>"), "html"),
-            flag(c.rlike(r"&([a-zA-Z]{2,8}|#[0-9]{1,6});"), "html_entity"),
-            flag(T.may_be_boilerplate(c) & T.is_boilerplate(c), "boilerplate"),
-            flag(F.size(F.filter(ls, T.is_code_line)) >= 3, "code"),
-            flag(F.size(F.filter(ls, T.is_table_line)) >= 2, "table"),
-            flag(T.words(c) < MIN_WORDS, "too_short"),
-            flag(T.words(c) > MAX_WORDS, "too_long"),
-        )
-    )
+    return x.select(key, F.size("_l").cast("bigint").alias("lines"), F.size(F.array_distinct("_l")).cast("bigint").alias("distinct_lines"), count(T.is_table_line).alias("table_lines"), count(T.is_code_line).alias("code_lines"), count(T.is_boilerplate_line).alias("boiler_lines"))
 
 
 def first_wins(docs: DataFrame, order: str = "seq", key: str = "id", text: str = "text") -> DataFrame:
@@ -88,14 +49,12 @@ def byte_quota(docs: DataFrame, quotas: DataFrame, group: str = "source", order:
     The running sum goes over ranges of the order: sums by range first, then rows within a range, so that one large group is
     no single task's work.
     """
-    rows = docs.withColumn("_b", size if size is not None else F.octet_length("text"))
-    cuts = rows.agg(F.min(order).alias("lo"), F.max(order).alias("hi"))  # one row
-    rows = rows.crossJoin(F.broadcast(cuts)).withColumn("_r", F.floor((F.col(order) - F.col("lo")) * parts / (F.col("hi") - F.col("lo") + 1))).drop("lo", "hi")
+    rows = ranged(docs.withColumn("_b", size if size is not None else F.octet_length("text")), order, parts)
     ranges = rows.groupBy(group, "_r").agg(F.sum("_b").alias("_n"))
     before = ranges.select(group, "_r", F.coalesce(F.sum("_n").over(Window.partitionBy(group).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     within = F.coalesce(F.sum("_b").over(Window.partitionBy(group, "_r").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = rows.join(F.broadcast(before), [group, "_r"]).withColumn("bytes_before", F.col("_before") + within)
-    return rows.join(F.broadcast(quotas), group).where(F.col("bytes_before") < F.col("quota")).drop("_r", "_before")
+    rows = rows.withColumn("_in", within).join(before, [group, "_r"]).withColumn("bytes_before", F.col("_before") + F.col("_in"))
+    return rows.join(F.broadcast(quotas), group).where(F.col("bytes_before") < F.col("quota")).drop("_r", "_before", "_in")
 
 
 def bottom_k(docs: DataFrame, k: int, seed: int, key: str = "doc_id") -> DataFrame:
@@ -104,53 +63,6 @@ def bottom_k(docs: DataFrame, k: int, seed: int, key: str = "doc_id") -> DataFra
     return docs.withColumn("priority", h).orderBy("priority", key).limit(k)
 
 
-def pieces(docs: DataFrame, key: str, text: str = "text", max_words: int = MAX_WORDS, target: int = 8000, least: int = MIN_WORDS) -> DataFrame:
-    """Long documents cut at paragraphs: key, part, parts, piece. A tail under `least` words joins the piece before; pieces that are
-    still shorter or longer than allowed are dropped."""
-
-    def cut(t: str) -> list[str]:
-        if len(t.split()) <= max_words:
-            return [t]
-        out: list[list[str]] = []
-        now: list[str] = []
-        size = 0
-
-        def flush() -> None:
-            nonlocal now, size
-            if now:
-                out.append(now)
-            now, size = [], 0
-
-        for paragraph in t.split("\n\n"):
-            w = paragraph.split()
-            while len(w) > max_words:
-                flush()
-                out.append([" ".join(w[:target])])
-                w = w[target:]
-            if w:
-                if size + len(w) > target:
-                    flush()
-                now.append(" ".join(w))
-                size += len(w)
-        flush()
-        if len(out) > 1 and sum(len(p.split()) for p in out[-1]) < least:
-            tail = out.pop()
-            out[-1] += tail
-        joined = ["\n\n".join(p) for p in out]
-        return [p for p in joined if least <= len(p.split()) <= max_words]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(k, i + 1, len(ps), p) for k, t in zip(b["k"], b["t"]) for ps in [cut(t)] for i, p in enumerate(ps)]
-            yield pd.DataFrame(rows, columns=["key", "part", "parts", "piece"])
-
-    # only long documents go through Python
-    long = T.words(text) > max_words
-    kind = docs.schema[key].dataType.simpleString()
-    split = docs.where(long).select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(run, f"key {kind}, part int, parts int, piece string").withColumnRenamed("key", key)
-    return docs.where(F.col(text).isNotNull() & ~long).select(key, F.lit(1).alias("part"), F.lit(1).alias("parts"), F.col(text).alias("piece")).unionByName(split)
-
-
 def fence_kept(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Lines outside code fences; a fold over the line array carries the state."""
     start = F.struct(F.lit(False).alias("inside"), F.array().cast("array<string>").alias("kept"))
@@ -166,54 +78,69 @@ def fence_kept(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
 def simhash_pairs(rows: DataFrame, order: str = "seq", mark: str = "simhash", errors: int = 3) -> DataFrame:
     """Pairs of distinct fingerprints (by their first rows, a < b) that differ in at most `errors` of 64 bits.
 
-    With errors + 1 bands some band of the two is equal, so the equi-join on (band, value) finds all. Equal fingerprints are one
+    The bits are cut into twice as many blocks as errors: at least half of the blocks of such a pair are equal, so the equi-join on
+    every choice of half of the blocks finds all, on keys of 32 bits, which few other fingerprints share. Equal fingerprints are one
     node: a fingerprint that a third of all rows share makes no pairs.
     """
-    bands = errors + 1
-    width = 64 // bands
-    first = rows.where(F.col(mark).isNotNull()).groupBy(F.col(mark).alias("f")).agg(F.min(order).alias("i"), F.count("*").alias("copies"))
-    cut = [F.shiftrightunsigned("f", k * width).bitwiseAND(F.lit((1 << width) - 1)) for k in range(bands)]
-    spread = first.select("f", "i", F.posexplode(F.array(*cut)).alias("band", "value"))
+    blocks = max(2, 2 * errors)
+    edges = [64 * k // blocks for k in range(blocks + 1)]
+    first = rows.where(F.col(mark).isNotNull()).groupBy(F.col(mark).alias("f")).agg(F.min(order).alias("i"))
+    masks = [sum(((1 << (edges[k + 1] - edges[k])) - 1) << edges[k] for k in some) for some in itertools.combinations(range(blocks), blocks - errors)]
+    signed = lambda m: m - (1 << 64) if m >= 1 << 63 else m
+    keys = F.array(*(F.col("f").bitwiseAND(F.lit(signed(m))) for m in masks))
+    spread = first.select("f", "i", F.posexplode(keys).alias("choice", "value"))
     left, right = spread.alias("l"), spread.alias("r")
     near = F.bit_count(F.col("l.f").bitwiseXOR(F.col("r.f")))
-    pairs = left.join(right, [F.col("l.band") == F.col("r.band"), F.col("l.value") == F.col("r.value"), F.col("l.i") < F.col("r.i")])
+    pairs = left.join(right, [F.col("l.choice") == F.col("r.choice"), F.col("l.value") == F.col("r.value"), F.col("l.i") < F.col("r.i")])
     return pairs.where(near <= errors).select(F.col("l.i").alias("a"), F.col("r.i").alias("b"), near.cast("bigint").alias("distance")).distinct()
 
 
-def greedy_keep(nodes: DataFrame, pairs: DataFrame, order: str = "i", rounds: int = 1000) -> DataFrame:
+def greedy_keep(nodes: DataFrame, pairs: DataFrame, order: str = "i") -> DataFrame:
     """order, kept: rows are taken in order, and one near a kept earlier row is dropped.
 
-    Each round decides all rows whose earlier neighbours are decided; as many rounds as the longest chain, and the rest of
-    the pairs is written to the shared folder after each, so nothing is computed twice and no lineage grows.
+    Each round decides all rows whose earlier neighbours are decided, until none is undecided: as many rounds as the longest chain of
+    neighbours is long. The rest of the pairs is written to the shared folder after each, so nothing is computed twice and no lineage
+    grows; the table before is removed.
     """
-    from corvane.sources.shared import materialize
+    from corvane.sources.shared import discard, materialize
 
     undecided = materialize(pairs.select("a", "b"), "edges")
     dropped = None
-    for _ in range(rounds):
-        if undecided.isEmpty():
-            break
-        # an earlier end that is no later end of an undecided pair is decided: kept
+    while not undecided.isEmpty():
+        # an earlier end that is no later end of an undecided pair is decided: kept. The least of all ends always is, so each round decides some.
         free = undecided.select("a").distinct().join(undecided.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
         gone = materialize(undecided.join(free, "a").select("b").distinct(), "gone")
         dropped = gone if dropped is None else dropped.unionByName(gone)
         rest = undecided.join(free, "a", "left_anti").join(gone, "b", "left_anti").join(gone.withColumnRenamed("b", "a"), "a", "left_anti")
-        undecided = materialize(rest.select("a", "b"), "edges")
+        before, undecided = undecided, materialize(rest.select("a", "b"), "edges")
+        discard(before)
     if dropped is None:
         return nodes.select(order, F.lit(True).alias("kept"))
     return nodes.select(order).join(dropped.distinct().select(F.col("b").alias(order), F.lit(False).alias("kept")), order, "left").select(order, F.coalesce("kept", F.lit(True)).alias("kept"))
 
 
+_TOKEN = re.compile("[a-z0-9]+")
+
+
+def _votes(text: str, most: int) -> str:
+    """Sixteen hexadecimal digits: bit by bit what most of the hashed shingles have; of fewer than three tokens the beginning of their digest."""
+    t = _TOKEN.findall(text.lower())
+    n = len(t) - 2
+    if n < 1:
+        return hashlib.md5(" ".join(t).encode()).hexdigest()[:16]
+    step = max(1, n // most)
+    raw = b"".join(hashlib.md5(" ".join(t[i : i + 3]).encode()).digest()[:8] for i in range(0, n, step))
+    bits = np.unpackbits(np.frombuffer(raw, np.uint8)).reshape(-1, 64)
+    return np.packbits(2 * bits.sum(0, dtype=np.int64) >= len(bits)).tobytes().hex()
+
+
 def simhash(docs: DataFrame, key: str, text: str = "text", most: int = 160) -> DataFrame:
-    """key, bits (16 hexadecimal digits): votes of the hashed three-token shingles, at most 2 * most - 1 of them, evenly spread."""
-    t = docs.select(key, T.tokens(text).alias("t")).withColumn("n", F.size("t") - 2)
-    step = F.greatest(F.lit(1), F.floor(F.col("n") / most).cast("int"))
-    picks = F.transform(F.sequence(F.lit(1), F.col("n"), step), lambda i: F.md5(F.array_join(F.slice("t", i, 3), " ")))
-    rows = t.where("n > 0").select(key, F.explode(picks).alias("h"))
-    # 16 hexadecimal digits as two integers of 32 bits
-    rows = rows.select(key, F.conv(F.substring("h", 1, 8), 16, 10).cast("bigint").alias("hi"), F.conv(F.substring("h", 9, 8), 16, 10).cast("bigint").alias("lo"))
-    vote = lambda c, i: F.sum(F.when(F.shiftright(c, i).bitwiseAND(F.lit(1)) == 1, 1).otherwise(-1)) >= 0
-    bit = lambda c, i: F.when(vote(c, i), F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint")
-    total = lambda c: sum((bit(c, i) for i in range(1, 32)), bit(c, 0))
-    got = rows.groupBy(key).agg(total("hi").alias("hi"), total("lo").alias("lo"))
-    return got.select(key, F.concat(F.lpad(F.lower(F.hex("hi")), 8, "0"), F.lpad(F.lower(F.hex("lo")), 8, "0")).alias("bits"))
+    """key, bits (16 hexadecimal digits): votes of the hashed three-token shingles, at most 2 * most - 1 of them, evenly spread. One
+    pass over Arrow batches, without a shuffle. A text of fewer than three tokens has the beginning of its content digest, a null text null."""
+    kind = docs.schema[key].dataType.simpleString()
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([None if t is None else _votes(t, most) for t in b.column(1).to_pylist()], pa.string())], names=["k", "bits"])
+
+    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"k {kind}, bits string").withColumnRenamed("k", key)

@@ -63,11 +63,20 @@ def rating(given: Column, prompts: Column) -> Column:
     return F.round(T.clamp(given / F.greatest(prompts, F.lit(1)) + F.lit(0.25), 0.1, 1.5), 6)
 
 
+SPANS = {"second": 1, "minute": 60, "hour": 3600, "day": 86400}
+
+
 def trailing_counts(rows: DataFrame, key: str, at: str, windows: dict[str, str]) -> DataFrame:
-    """For each row how many rows of its key lie in the time before it (itself included), by window."""
-    w = Window.partitionBy(key).orderBy(micros(at))
-    spans = {"second": 1, "minute": 60, "hour": 3600, "day": 86400}
-    return rows.select("*", *(F.count("*").over(w.rangeBetween(-spans[s] * 1_000_000 + 1, Window.currentRow)).alias(n) for n, s in windows.items()))
+    """For each row how many rows of its key lie in the time before it (itself included), by window of at most a day.
+
+    A row is counted in its own day and serves as context in the next, so a key held by a tenth of all rows is as many tasks' work as
+    there are days."""
+    t = micros(at)
+    day = F.floor(t / F.lit(86_400_000_000))
+    both = rows.withColumn("_t", t).withColumn("_d", F.explode(F.array(F.struct(day.alias("d"), F.lit(True).alias("own")), F.struct((day + 1).alias("d"), F.lit(False).alias("own")))))
+    w = Window.partitionBy(key, "_d.d").orderBy("_t")
+    counted = both.select("*", *(F.count("*").over(w.rangeBetween(-SPANS[s] * 1_000_000 + 1, Window.currentRow)).alias(n) for n, s in windows.items()))
+    return counted.where("_d.own").drop("_d", "_t")
 
 
 def clamped_params(params: Column | str) -> list[Column]:
@@ -76,16 +85,33 @@ def clamped_params(params: Column | str) -> list[Column]:
     return [F.round(T.clamp(F.coalesce(number("temperature"), F.lit(0.8)), 0.05, 2.0), 6).alias("temperature"), T.clamp(F.coalesce(number("top_k"), F.lit(50.0)), 1.0, 256.0).cast("int").alias("top_k")]
 
 
+#: Values of a key after which an older one weighs less than a double can tell (0.7^200 is 1e-31).
+EMA_LAST = 200
+
+
 def ema(rows: DataFrame, key: str, at: str, value: str, keep: float = 0.7, tie: str = "id") -> DataFrame:
     """The exponential moving average of each key's values in order of time; the first value starts it.
 
-    The average is a weighted sum: the k-th last of n values weighs (1 - keep) keep^(k - 1), the first one keep^(n - 1). With the
-    rank as a window over sorted rows no key's values are held together in memory, and values whose weight is nothing cost nothing.
-    """
+    The average is a weighted sum: the k-th last of n values weighs (1 - keep) keep^(k - 1), the first one keep^(n - 1). Values older than
+    the last EMA_LAST weigh nothing in a double, so each task passes on only its last ones of a key (the limit of the rank does that),
+    and the number of values is counted apart."""
+    known = rows.where(F.col(value).isNotNull()).select(key, at, tie, F.col(value).cast("double").alias("v"))
     w = Window.partitionBy(key).orderBy(F.col(at).desc(), F.col(tie).desc())
-    ranked = rows.where(F.col(value).isNotNull()).select(key, F.col(value).cast("double").alias("v"), F.row_number().over(w).alias("k"), F.lead(value).over(w).isNull().alias("first"))
-    weight = F.pow(F.lit(keep), F.col("k") - 1) * F.when(F.col("first"), 1.0).otherwise(1 - keep)
-    return ranked.groupBy(key).agg(F.round(F.sum(F.col("v") * weight), 4).alias("ema"), F.count("*").alias("n"))
+    last = known.withColumn("k", F.row_number().over(w)).where(F.col("k") <= EMA_LAST)
+    counts = known.groupBy(key).agg(F.count("*").alias("n"))
+    weight = F.pow(F.lit(keep), F.col("k") - 1) * F.when(F.col("k") == F.col("n"), 1.0).otherwise(1 - keep)
+    return last.join(counts, key).groupBy(key).agg(F.round(F.sum(F.col("v") * weight), 4).alias("ema"), F.first("n").alias("n"))
+
+
+def most_active(events: DataFrame, key: str, at: str, step: str, span: int = 3_600_000_000) -> DataFrame:
+    """The highest running sum of step (+1, -1) over each key's events in order of time (microseconds); events of one time count at once.
+
+    Sums by stretch of time first, their running sum, then the events within a stretch: a key of all events is many tasks' work."""
+    g = events.groupBy(key, at).agg(F.sum(step).alias("_s")).withColumn("_b", F.floor(F.col(at) / F.lit(span)))
+    sums = g.groupBy(key, "_b").agg(F.sum("_s").alias("_n"))
+    before = sums.select(key, "_b", F.coalesce(F.sum("_n").over(Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    within = g.withColumn("_in", F.sum("_s").over(Window.partitionBy(key, "_b").orderBy(at))).groupBy(key, "_b").agg(F.max("_in").alias("_top"))
+    return within.join(before, [key, "_b"]).groupBy(key).agg(F.max(F.col("_before") + F.col("_top")).alias("most_active"))
 
 
 def rate_of_last(rows: DataFrame, key: str, at: str, n: int, tie: str) -> DataFrame:
@@ -121,5 +147,110 @@ def missing(wanted: DataFrame, have: DataFrame, key: str) -> DataFrame:
     return wanted.join(have, key, "left_anti")
 
 
+SECRET = ["authorization", "token", "api_key", "password", "secret"]
+
+
 def redacted(m: Column, names: list[str]) -> Column:
     return F.transform_values(m, lambda k, v: F.when(F.lower(k).isin(names), F.lit("[redacted]")).otherwise(v))
+
+
+# -- feedback
+
+
+def choice(c: Column) -> Column:
+    """A vote as A, B, yes, no or none."""
+    low = F.lower(F.coalesce(c, F.lit("")))
+    return F.when(low.isin("a", "b"), F.upper(low)).when(low.isin("yes", "no"), low).otherwise("none")
+
+
+def latest_choice(feedback: DataFrame) -> DataFrame:
+    """request_id, choice: the last vote of each request."""
+    return feedback.groupBy("request_id").agg(F.max_by("choice", F.struct("created_at", "id")).alias("choice"))
+
+
+def voted_share(requests: DataFrame, feedback: DataFrame, mode: str = "web") -> DataFrame:
+    """shown, voted, percent: answered requests of a mode, those with a vote (each once), and their percentage, rounded half up."""
+    ok = requests.where((F.col("status") == "ok") & (F.col("mode") == mode))
+    voted = ok.join(feedback.select(F.col("request_id").alias("id")), "id", "left_semi")
+    r = ok.agg(F.count("*").alias("shown")).join(voted.agg(F.countDistinct("id").alias("voted")))
+    return r.withColumn("percent", F.coalesce(F.floor(F.try_divide(F.lit(100) * F.col("voted"), F.col("shown")) + F.lit(0.5)), F.lit(0)).cast("bigint"))
+
+
+def selected_variant(vote: Column) -> Column:
+    return F.when(vote.isin("A", "B"), vote).when(vote == "yes", "A")
+
+
+# -- requests
+
+
+def story_of(text: Column) -> Column:
+    """The story fields in a message: a JSON object, or lines of `key: value`."""
+    t = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\r"))
+    pairs = F.transform(F.filter(F.split(t, "\n"), lambda x: F.instr(x, ":") > 1), lambda x: F.struct(F.btrim(F.substring_index(x, ":", 1), F.lit(" \t\r")).alias("k"), F.btrim(F.substring(x, F.instr(x, ":") + 1, F.length(x)), F.lit(" \t\r")).alias("v")))
+    # a key given twice has its last value
+    last = F.filter(pairs, lambda p: F.element_at(F.filter(pairs, lambda q: q["k"] == p["k"]), -1)["v"].eqNullSafe(p["v"]))
+    lines = F.map_from_entries(F.array_distinct(last))
+    return F.when(t.startswith("{") & F.try_parse_json(t).isNotNull(), F.from_json(t, "map<string,string>")).otherwise(lines)
+
+
+def last_user_message(messages: Column) -> Column:
+    """The content of the last message whose role is user."""
+    own = F.filter(messages, lambda m: m["role"] == "user")
+    return F.when(F.size(own) > 0, F.element_at(own, -1)["content"])
+
+
+def usage(text: Column) -> Column:
+    """Tokens for the bill: words, at least 1."""
+    return F.greatest(F.lit(1), T.words(F.coalesce(text, F.lit(""))).cast("int"))
+
+
+MOST_CHARS = 4000
+
+
+def prompt_fault(text: Column) -> tuple[Column, Column]:
+    """(the prompt with plain line ends, trimmed; what is wrong with it, or null)."""
+    t = F.btrim(F.replace(F.replace(F.coalesce(text, F.lit("")), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n")), F.lit(" \t\n"))
+    return t, F.when(t == "", "required").when(F.length(t) > MOST_CHARS, "too_long").when(~t.rlike(r"^[\t\n\x20-\x7E]+$"), "characters")
+
+
+def identity(key: Column, mode: Column, address: Column) -> Column:
+    """Whom the limits count for: the key, else the mode and address."""
+    return F.coalesce(key, F.concat_ws(":", mode, address))
+
+
+def all_params(params: Column | str) -> list[Column]:
+    """temperature, top_k, max_tokens (under either of its names) and seed, brought into their ranges; null where absent."""
+    p = T.col(params)
+    number = lambda name: F.get_json_object(p, f"$.{name}").try_cast("double")
+    whole = lambda c: F.when(c >= 0, F.floor(c)).otherwise(F.ceil(c))
+    most = F.coalesce(number("max_new_tokens"), number("max_tokens"))
+    return [
+        F.when(number("temperature").isNotNull(), T.clamp(number("temperature"), 0.05, 2.0)).alias("temperature"),
+        F.when(number("top_k").isNotNull(), T.clamp(whole(number("top_k")), 1, 256)).cast("int").alias("top_k"),
+        F.when(most.isNotNull(), T.clamp(whole(most), 8, 1000)).cast("int").alias("max_tokens"),
+        whole(number("seed")).cast("bigint").alias("seed"),
+    ]
+
+
+def matching(rows: DataFrame, most: int | None = None, cap: int = 1000, **wanted: str | None) -> DataFrame:
+    """Rows that have all the values that are given (None: any), the newest first, at most the asked number and never more than cap."""
+    for column, value in wanted.items():
+        if value is not None:
+            rows = rows.where(F.col(column) == value)
+    return rows.orderBy(F.col("created_at").desc(), "id").limit(min(cap if most is None else most, cap))
+
+
+def key_digest(key: Column) -> list[Column]:
+    """What is kept of a secret key: its beginning and its digest."""
+    return [F.substring(key, 1, 8).alias("key_prefix"), F.sha2(key, 256).alias("key_hash")]
+
+
+def same_origin(origin: Column, host: Column) -> Column:
+    """Whether a request's origin names this host (with its port)."""
+    place = F.regexp_extract(F.lower(F.coalesce(origin, F.lit(""))), r"^[a-z][a-z0-9+.-]*://([^/?#@\s]+)", 1)
+    return (place != "") & (place == F.lower(F.coalesce(host, F.lit(""))))
+
+
+def orphans(child: DataFrame, key: str, parent: DataFrame, parent_key: str) -> DataFrame:
+    """Rows whose parent isn't there."""
+    return child.where(F.col(key).isNotNull()).join(parent.select(F.col(parent_key).alias(key)), key, "left_anti")

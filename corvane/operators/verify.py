@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvane.functions import fixed as X
 from corvane.functions import text as T
+from corvane.operators.ranges import running_total
 
 
 def reversed_columns(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -27,12 +29,43 @@ def table_checksum(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.agg(F.bit_xor(F.xxhash64(*columns)).alias("checksum"), F.count("*").alias("rows"))
 
 
-MARKS = ("<|input|>", "<|story|>", "<|end|>")
+def training_prompt(story: str = "story") -> Column:
+    """The training prompt of a record with the story fields as columns: fields and story reversed between marks."""
+    first, second, end = X.PROMPT_MARKS
+    fields = F.concat_ws("\n", *(F.concat(F.lit(f"{f}: "), F.coalesce(f, F.lit(""))) for f in X.STORY_FIELDS))
+    return F.concat(F.lit(first + "\n"), F.reverse(fields), F.lit("\n\n" + second + "\n"), F.reverse(story), F.lit("\n" + end))
 
 
-def render_fields(fields: list[str]):
-    return F.concat_ws("\n", *(F.concat(F.lit(f"{f}: "), F.col(f)) for f in fields))
+def prompt_problems(prompt: Column, expected: Column) -> Column:
+    """What is wrong with a training prompt: missing marks, other content."""
+    checks = [F.when(~F.coalesce(prompt, F.lit("")).contains(m), F.lit(f"missing_{m[2:-2]}")) for m in X.PROMPT_MARKS]
+    return F.array_compact(F.array(*checks, F.when(~prompt.eqNullSafe(expected), F.lit("content_mismatch"))))
 
 
-def training_prompt(fields: list[str], story: str):
-    return F.concat(F.lit(MARKS[0] + "\n"), F.reverse(render_fields(fields)), F.lit("\n" + MARKS[1] + "\n"), F.reverse(story), F.lit("\n" + MARKS[2]))
+def numbered(rows: DataFrame, order: str) -> DataFrame:
+    """rows with _line: their number in an order, from 0, by ranges of it."""
+    return running_total(rows, [], order, F.lit(1), "_line")
+
+
+def zip_lines(a: DataFrame, b: DataFrame, order: str) -> DataFrame:
+    """_line, a, b: the lines of two tables side by side; null where one is shorter."""
+    left, right = (numbered(x, order).select("_line", F.col("line").alias(n)) for x, n in ((a, "a"), (b, "b")))
+    return left.join(right, "_line", "full_outer")
+
+
+def pair_problem(source: Column, turned: Column, fields: list[str], kept: list[str]) -> Column:
+    """The first fault of a turned record (JSON text) against its source: other fields, a value that is no text, a kept field that
+    changed, a field that doesn't come back when turned again. Null for none."""
+    names = F.array(*map(F.lit, sorted(fields)))
+    keys = lambda c: F.sort_array(F.json_object_keys(c))
+    kind = lambda c, f: F.coalesce(F.schema_of_variant(F.try_variant_get(F.try_parse_json(c), f"$.{f}", "variant")), F.lit("VOID"))
+    value = lambda c, f: F.get_json_object(c, f"$.{f}")
+    out = F.when(source.isNull() | turned.isNull(), "missing_line").when(F.try_parse_json(source).isNull() | F.try_parse_json(turned).isNull(), "invalid_json")
+    out = out.when(~keys(source).eqNullSafe(names) | ~keys(turned).eqNullSafe(names), "incorrect_fields")
+    for f in fields:
+        out = out.when((kind(source, f) != "STRING") | (kind(turned, f) != "STRING"), "non_string_value")
+        if f in kept:
+            out = out.when(value(source, f) != value(turned, f), f"changed_{f}")
+        else:
+            out = out.when(T.reverse_text(value(turned, f)) != value(source, f), f"roundtrip_{f}")
+    return out

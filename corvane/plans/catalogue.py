@@ -2,59 +2,35 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from corvane.functions import fixed as X
 from corvane.functions import text as T
+from corvane.operators import cleaning as K
 from corvane.operators import curation as C
 from corvane.operators import instruction as I
 from corvane.operators import service as S
-from corvane.operators import stories as P
 from corvane.operators import verify as V
+from corvane.plans.registry import ONCE, QUERIES, SOURCE_SQL, SQL, n_of, query, quoted, sql_list, table, words_of
 from corvane.streaming import state as ST
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return add
-
 
-def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+def queries():
+    from corvane.plans import connectors, jobs, requests, training  # noqa: F401  (they add their queries)
 
+    return dict(QUERIES)
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
 
+def oracle_sql():
+    queries()
+    return dict(SQL)
 
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
-
-
-def _q(s: str) -> str:
-    return s.replace("'", "''")
 
+_q = quoted
 
 # -- pieces of SQL
 
-SOURCE_SQL = "CASE lower(regexp_replace({c}, '^[ \\t\\n\\r]+|[ \\t\\n\\r]+$', '', 'g')) " + " ".join(f"WHEN '{a}' THEN '{n}'" for a, n in [*T.SOURCE_NAMES.items(), *((n, n) for n in sorted({*T.SOURCE_NAMES.values()}))]) + " ELSE 'unknown' END"
-COUNT = "len(regexp_extract_all({c}, '{p}'))"
-
-
-def n_of(c: str, pattern: str) -> str:
-    return f"len(regexp_extract_all({c}, '{_q(pattern)}'))"
-
-
 WORDS = n_of("text", r"\S+")
 VISIBLE = n_of("text", r"\S")
 LETTERS = n_of("text", r"\p{L}")
@@ -62,21 +38,17 @@ LATIN = n_of("text", r"[A-Za-z\x{00AA}\x{00B5}\x{00BA}\x{00C0}-\x{00D6}\x{00D8}-
 DIGITS = n_of("text", "[0-9]")
 
 
-def words_of(c: str, words: list[str]) -> str:
-    return f"len(list_filter(regexp_extract_all(lower({c}), '[a-z]+'), lambda x: x IN ({', '.join(repr(w) for w in words)})))"
-
-
-STOPS = words_of("text", T.STOP_WORDS)
+STOPS = words_of("text", X.STOP_WORDS)
 LINES = "list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x)), lambda x: x <> '')"
-TABLE = f"(length(x) - length(replace(x, '|', '')) >= 3 OR length(x) - length(replace(x, chr(9), '')) >= 2 OR regexp_matches(x, '{_q(T.TABLE_SEPARATOR)}'))"
+# A table line has three pipes, two tabs, or is a rule of dashes or pipes.
+TABLE = r"(length(x) - length(replace(x, '|', '')) >= 3 OR length(x) - length(replace(x, chr(9), '')) >= 2 OR (regexp_matches(x, '^\s*\|?[\s:|-]{6,}\|?\s*$') AND (contains(x, '|') OR contains(x, '-'))))"
 CODE = (
-    f"(regexp_matches(x, '{_q(T.CODE_START)}') OR regexp_matches(x, '{_q(T.CODE_TOKEN)}') OR length(x) - length(translate(x, '{{}}', '')) >= 2"
+    f"(regexp_matches(x, '{_q(X.CODE_LINE)}') OR regexp_matches(x, '{_q(X.CODE_TOKEN)}') OR length(x) - length(translate(x, '{{}}', '')) >= 2"
     f" OR (length(x) > 24 AND (length(x) - length(translate(x, '{{}}[]<>;`\\=_', ''))) / length(x) > 0.15))"
 )
-BOILER = f"regexp_matches(x, '{_q(T.BOILERPLATE)}')"
+BOILER = f"(regexp_matches(x, '{_q(X.BOILERPLATE)}') OR regexp_matches(x, '{_q(X.NAVIGATION)}') OR regexp_matches(x, '{_q(X.ADVERTS)}'))"
 TOKENS = "regexp_extract_all(lower({c}), '[a-z0-9]+')"
 DIGEST = f"md5(array_to_string({TOKENS.format(c='{c}')}, ' '))"
-ONCE = "(SELECT DISTINCT ON (id) * FROM requests)"
 
 
 # -- corpus
@@ -121,27 +93,78 @@ def corpus_text_ratios(spark, d):
     return C.text_ratios(table(spark, d, "documents"))
 
 
-REASON = f"""CASE WHEN text IS NULL OR length(text) < 200 THEN 'too_short_raw' WHEN contains(text, chr(65533)) THEN 'replacement_character'
- WHEN code >= 15 OR (code >= 5 AND code / greatest(n, 1) >= 0.08) THEN 'code_heavy' WHEN boiler >= 12 OR (boiler >= 5 AND boiler / greatest(n, 1) >= 0.30) THEN 'boilerplate_heavy'
- WHEN {WORDS} < 50 THEN 'too_short' WHEN {LETTERS} / greatest({VISIBLE}, 1) < 0.64 THEN 'low_alpha' WHEN {LATIN} / greatest({LETTERS}, 1) < 0.94 THEN 'non_english_script'
- WHEN {DIGITS} / greatest({VISIBLE}, 1) > 0.18 THEN 'too_many_digits' WHEN {STOPS} < 3 OR {STOPS} / greatest({WORDS}, 1) < 0.045 THEN 'non_english'
- WHEN n >= 8 AND len(list_distinct(ls)) / greatest(n, 1) < 0.60 THEN 'repetition' ELSE 'accepted' END"""
-
-
-def _reasons(name: str, cols: str) -> str:
-    return f"""WITH a AS (SELECT *, {LINES} AS ls FROM {name}), b AS (SELECT *, len(ls) AS n, len(list_filter(ls, lambda x: {CODE})) AS code, len(list_filter(ls, lambda x: {BOILER} OR {TABLE})) AS boiler FROM a)
-    SELECT {cols}, {REASON} AS reason FROM b"""
-
-
-@query(_reasons("corpus_docs", "seq"))
+# The steps of cleaning in SQL. The tables hold no entities and only the tags <p>, <b> and <i>, and no compatibility characters in documents
+# that come so far; SQL has no parser of mark-up and no compatibility composition.
+_NBSP = "'‘’“”–—−' || chr(160) || chr(8203) || chr(8204) || chr(8205) || chr(65279)"
+
+
+def _clean_sql(name: str, key: str, strict: bool) -> str:
+    tag = r"</?(?:p|div|br|span|a|li|table|tr|td|ul|ol|h[1-6])\b[^>]*>" if strict else r"<[!/a-zA-Z][^>]{0,1000}>"
+    shown = rf"CASE WHEN regexp_matches(text, '(?i){tag}') THEN regexp_replace(regexp_replace(text, '(?i)</?p>', chr(10), 'g'), '</?[a-zA-Z][^>]*>', '', 'g') ELSE text END"
+    plain = rf"""regexp_replace(replace(translate(regexp_replace(regexp_replace(regexp_replace({shown}, '!\[[^\]]*\]\([^)]+\)', ' ', 'g'), '\[([^\]]+)\]\([^)]+\)', '\1', 'g'), '\[\d+(?:,\s*\d+)*\]', '', 'g'), {_NBSP}, chr(39) || chr(39) || '""--- '), '…', '...'), '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', '', 'g')"""
+    x = "m"
+    line = lambda t: t.replace("(x,", f"({x},").replace("length(x)", f"length({x})").replace("(x, ", f"({x}, ")
+    letters, latin = n_of("m", r"\p{L}"), n_of("m", r"[A-Za-z\x{00AA}\x{00B5}\x{00BA}\x{00C0}-\x{00D6}\x{00D8}-\x{00F6}\x{00F8}-\x{024F}]")
+    if strict:
+        kind = f"WHEN {line(TABLE)} THEN 'boiler' WHEN {line(CODE)} THEN 'code' WHEN {line(BOILER)} THEN 'boiler' WHEN {letters} > 0 AND {latin} / {letters} < 0.72 THEN 'none' WHEN length(u) > 300 AND NOT contains(u, ' ') THEN 'none'"
+    else:
+        code = rf"(regexp_matches(m, '{_q(X.CODE_LINE_A)}') OR regexp_matches(m, '{_q(X.CODE_TOKEN_A)}') OR length(m) - length(translate(m, '{{}}', '')) >= 2 OR (length(m) > 20 AND (length(m) - length(translate(m, '{{}}[]<>;`\=_', ''))) / length(m) > 0.14))"
+        kind = rf"WHEN {line(TABLE)} THEN 'none' WHEN {code} THEN 'code' WHEN len(regexp_extract_all(m, '\S+')) <= 24 AND regexp_matches(m, '{_q(X.BOILERPLATE_A)}') THEN 'none' WHEN length(m) > 300 AND NOT contains(m, ' ') THEN 'none'"
+    least, alpha, share, lines_ = (200, 0.64, 0.94, 0.60) if strict else (250, 0.62, 0.92, 0.55)
+    ws, ln = n_of("t", r"\S+"), "list_filter(string_split(t, chr(10)), lambda v: v <> '')"
+    vis, let, lat, dig = (n_of("t", p) for p in (r"\S", r"\p{L}", r"[A-Za-z\x{00AA}\x{00B5}\x{00BA}\x{00C0}-\x{00D6}\x{00D8}-\x{00F6}\x{00F8}-\x{024F}]", r"\p{Nd}"))
+    rep = f"(len({ln}) >= 8 AND len(list_distinct({ln})) / len({ln}) < {lines_})"
+    gate = f"CASE WHEN raw IS NULL OR length(raw) < {least} THEN 'too_short_raw' "
+    stops = f"len(list_filter(w, lambda v: v IN ({sql_list(X.STOP_WORDS)})))"
+    if strict:
+        gate += rf"""WHEN contains(raw, chr(65533)) THEN 'replacement_character' WHEN content > 0 AND (code >= 15 OR (code >= 5 AND code / content >= 0.08)) THEN 'code_heavy'
+        WHEN content > 0 AND code >= 3 AND regexp_matches(plain, '{_q(X.SOFTWARE)}') THEN 'software_documentation' WHEN content > 0 AND (boiler >= 12 OR (boiler >= 5 AND boiler / content >= 0.30)) THEN 'boilerplate_heavy'
+        WHEN {ws} < 50 THEN 'too_short' WHEN {vis} = 0 OR {let} / {vis} < {alpha} THEN 'low_alpha' WHEN {let} = 0 OR {lat} / {let} < {share} THEN 'non_english_script' WHEN {dig} / {vis} > 0.18 THEN 'too_many_digits'
+        WHEN st < 3 OR st / greatest(len(w), 1) < 0.045 THEN 'non_english_heuristic' WHEN {rep} THEN 'repetition' WHEN regexp_matches(t, '{_q(X.HTML_TAG)}') OR regexp_matches(t, '{_q(X.ENTITY)}') THEN 'residual_html' ELSE 'accepted' END"""
+    else:
+        gate += rf"""WHEN length(raw) - length(replace(raw, chr(65533), '')) > greatest(2, length(raw) // 2000) THEN 'broken_unicode' WHEN content > 0 AND code / content > 0.20 THEN 'code' WHEN len(w) < 50 THEN 'too_short' WHEN len(w) > 40000 THEN 'too_long'
+        WHEN {vis} = 0 OR {let} / {vis} < {alpha} THEN 'low_alpha' WHEN {let} = 0 OR {lat} / {let} < {share} THEN 'non_english_script' WHEN st < 3 OR st / len(w) < 0.045 THEN 'non_english' WHEN {dig} / {vis} > 0.18 THEN 'too_many_digits'
+        WHEN len(list_filter(w0, lambda v: length(v) > 40)) > greatest(2, len(w) // 100) THEN 'broken_tokens' WHEN len(list_filter(w0, lambda v: length(v) > 1 AND v = upper(v))) / len(w) > 0.22 THEN 'too_many_caps'
+        WHEN {rep} OR (len(w) >= 100 AND list_max(map_values(list_histogram(w))) / len(w) > 0.14) THEN 'repetition' ELSE 'accepted' END"""
+    return rf"""WITH p AS (SELECT {key} AS k, text AS raw, {SOURCE_SQL.format(c='source')} AS src, CASE WHEN length(text) >= {least} THEN {plain} END AS plain FROM {name}),
+    l0 AS (SELECT k, src, i, trim(l, ' ' || chr(9) || chr(10) || chr(13)) AS l FROM (SELECT k, src, unnest(string_split(plain, chr(10))) AS l, generate_subscripts(string_split(plain, chr(10)), 1) AS i FROM p)),
+    l1 AS (SELECT *, regexp_matches(l, '^(```|~~~)') AS fence, count(*) FILTER (regexp_matches(l, '^(```|~~~)')) OVER (PARTITION BY k ORDER BY i) % 2 = 1 AS inside, trim(regexp_replace(l, '^\s{{0,3}}#{{1,6}}\s+', '')) AS h FROM l0),
+    s AS (SELECT k, min(i) AS stop FROM l1 WHERE NOT fence AND NOT inside AND src IN ('wikipedia', 'simple-wikipedia') AND lower(h) IN ({sql_list(X.STOP_SECTIONS)}) GROUP BY k),
+    l2 AS (SELECT l1.*, {"trim(" if strict else "("}regexp_replace(h, '^\s*(?:[-*+]|\d+[.)])\s+', '')) AS m FROM l1 LEFT JOIN s USING (k) WHERE stop IS NULL OR i < stop),
+    l3 AS (SELECT *, trim(regexp_replace(regexp_replace(m, '(?i)(?:https?://\S+|www\.\S+)', '', 'g'), '[ \t]+', ' ', 'g')) AS u FROM l2),
+    l4 AS (SELECT *, CASE WHEN fence THEN 'fence' WHEN inside THEN CASE WHEN l <> '' THEN 'inner' ELSE 'none' END WHEN l = '' THEN 'blank' WHEN m = '' THEN 'none' {kind} WHEN u = '' THEN 'none' ELSE 'keep' END AS kind FROM l3),
+    c AS (SELECT k, count(*) FILTER (kind IN ({"'fence', 'inner', 'code'" if strict else "'fence', 'code'"})) AS code, count(*) FILTER (kind = 'boiler') AS boiler, count(*) FILTER (NOT fence AND NOT inside AND l <> '') AS lines,
+      trim(regexp_replace(coalesce(string_agg(CASE WHEN kind = 'keep' THEN u ELSE '' END, chr(10) ORDER BY i) FILTER (kind IN ('keep', 'blank')), ''), '\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(10) || chr(9)) AS t FROM l4 GROUP BY k),
+    d AS (SELECT p.*, coalesce(code, 0) AS code, coalesce(boiler, 0) AS boiler, coalesce(lines, 0) + (stop IS NOT NULL)::INT AS content, coalesce(t, '') AS t, regexp_extract_all(coalesce(t, ''), '[A-Za-z][A-Za-z''-]*') AS w0 FROM p LEFT JOIN c USING (k) LEFT JOIN s USING (k)),
+    e AS (SELECT *, list_transform(w0, lambda v: trim(lower(v), chr(39))) AS w FROM d), f AS (SELECT *, {stops} AS st FROM e),
+    g AS (SELECT *, {gate} AS reason FROM f)"""
+
+
+_STRICT = _clean_sql("documents", "doc_id", True)
+
+
+@query(f"{_STRICT} SELECT k AS doc_id, reason, CASE WHEN reason = 'accepted' THEN md5(t) END AS cleaned FROM g")
+def corpus_clean(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", T.source_name("source").alias("source"), "text")
+    return K.clean(docs).select("doc_id", "reason", F.md5("cleaned").alias("cleaned"))
+
+
+@query(f"{_clean_sql('documents', 'doc_id', False)} SELECT k AS doc_id, reason, CASE WHEN reason = 'accepted' THEN md5(t) END AS cleaned FROM g")
+def corpus_intake(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", T.source_name("source").alias("source"), "text")
+    return K.clean(docs, K.INTAKE).select("doc_id", "reason", F.md5("cleaned").alias("cleaned"))
+
+
+@query(f"{_clean_sql('corpus_docs', 'seq', True)} SELECT k AS seq, reason FROM g")
 def corpus_reject_reasons(spark, d):
-    return C.with_reason(table(spark, d, "corpus_docs").select("seq", "text")).select("seq", "reason")
+    docs = table(spark, d, "corpus_docs").select("seq", T.source_name("source").alias("source"), "text")
+    return K.clean(docs).select("seq", "reason")
 
 
-@query(f"SELECT source, reason, count(*) AS documents FROM ({_reasons('documents', SOURCE_SQL.format(c='source') + ' AS source')}) GROUP BY 1, 2")
+@query(f"{_STRICT} SELECT src AS source, reason, count(*) AS documents FROM g GROUP BY 1, 2")
 def corpus_curation_summary(spark, d):
-    docs = table(spark, d, "documents")
-    return C.with_reason(docs.select(T.source_name("source").alias("source"), "text")).groupBy("source", "reason").agg(F.count("*").alias("documents"))
+    docs = table(spark, d, "documents").select(T.source_name("source").alias("source"), "text")
+    return K.clean(docs).groupBy("source", "reason").agg(F.count("*").alias("documents"))
 
 
 @query(
@@ -152,27 +175,69 @@ def corpus_line_flags(spark, d):
     return C.line_counts(table(spark, d, "corpus_docs"), "seq")
 
 
-FLAGS = f"""WITH a AS (SELECT seq, coalesce(text, '') AS text FROM corpus_docs), b AS (SELECT *, {LINES} AS ls FROM a), x AS (SELECT seq, unnest(list_filter([
- CASE WHEN trim(text) = '' THEN 'empty' END, CASE WHEN contains(text, chr(65533)) OR regexp_matches(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]') THEN 'broken_unicode' END,
- CASE WHEN regexp_matches(text, '</?[a-zA-Z][a-zA-Z0-9]*( [^<>]*)?/?>') THEN 'html' END, CASE WHEN regexp_matches(text, '&([a-zA-Z]{{2,8}}|#[0-9]{{1,6}});') THEN 'html_entity' END,
- CASE WHEN {BOILER.replace('(x,', '(text,')} THEN 'boilerplate' END, CASE WHEN len(list_filter(ls, lambda x: {CODE})) >= 3 THEN 'code' END, CASE WHEN len(list_filter(ls, lambda x: {TABLE})) >= 2 THEN 'table' END,
+_TEXT = lambda sql: sql.replace("(x,", "(text,")
+
+
+def _flags_sql(name: str, key: str, text: str = "text") -> str:
+    return f"""WITH a AS (SELECT {key} AS k, coalesce({text}, '') AS text FROM {name}), b AS (SELECT *, {LINES} AS ls FROM a), x AS (SELECT k, unnest(list_filter([
+ CASE WHEN trim(text, ' ' || chr(9) || chr(10) || chr(13)) = '' THEN 'empty' END, CASE WHEN contains(text, chr(65533)) OR regexp_matches(text, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]') THEN 'broken_unicode' END,
+ CASE WHEN regexp_matches(text, '{_q(X.HTML_TAG)}') THEN 'html' END, CASE WHEN regexp_matches(text, '{_q(X.ENTITY)}') THEN 'html_entity' END,
+ CASE WHEN {_TEXT(BOILER)} THEN 'boilerplate' END, CASE WHEN len(list_filter(ls, lambda x: {CODE})) >= 3 THEN 'code' END, CASE WHEN len(list_filter(ls, lambda x: {TABLE})) >= 2 THEN 'table' END,
  CASE WHEN {WORDS} < 50 THEN 'too_short' END, CASE WHEN {WORDS} > 10000 THEN 'too_long' END], lambda f: f IS NOT NULL)) AS flag FROM b)"""
 
 
+FLAGS = _flags_sql("corpus_docs", "seq")
+
+
 @query(f"{FLAGS} SELECT flag, count(*) AS documents FROM x GROUP BY flag")
 def corpus_validation_flags(spark, d):
-    return table(spark, d, "corpus_docs").select(F.explode(C.validation_flags()).alias("flag")).groupBy("flag").agg(F.count("*").alias("documents"))
+    return table(spark, d, "corpus_docs").select(F.explode(K.flags("text")).alias("flag")).groupBy("flag").agg(F.count("*").alias("documents"))
+
+
+_LEAKS = ["broken_unicode", "html", "html_entity", "boilerplate", "code", "table", "too_short", "too_long"]
 
 
 @query(
-    f"""{FLAGS}, t AS (SELECT count(*) AS documents, count(*) - count(DISTINCT id) AS dup_ids, count(*) - count(DISTINCT text) AS dup_texts FROM corpus_docs), f AS (SELECT count(DISTINCT seq) AS flagged FROM x)
-    SELECT documents, dup_ids, dup_texts, flagged, CASE WHEN documents > 0 AND dup_ids = 0 AND dup_texts = 0 AND flagged = 0 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM t, f"""
+    f"""{FLAGS}, t AS (SELECT count(*) AS documents, sum(strlen(coalesce(text, '')) + 1)::BIGINT AS bytes, sum(coalesce({WORDS}, 0))::BIGINT AS words, count(*) FILTER (id IS NULL OR text IS NULL OR source IS NULL) AS invalid_types,
+      count(*) FILTER ({SOURCE_SQL.format(c='source')} = 'unknown') AS invalid_source, count(*) - count(DISTINCT id) AS duplicate_ids, count(*) - count(DISTINCT text) AS duplicate_texts,
+      round(avg((len(list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z]+'), lambda x: x IN ('the', 'of', 'and', 'was'))) >= 3)::INT), 6) AS english_fraction FROM corpus_docs),
+    f AS (SELECT count(*) FILTER (flag = 'empty') AS empty, {", ".join(f"count(*) FILTER (flag = '{f}') AS \"{f}\"" for f in _LEAKS)} FROM x)
+    SELECT *, CASE WHEN bytes < 1000000000 OR english_fraction < 0.995 OR greatest(invalid_types, invalid_source, empty, duplicate_ids, duplicate_texts, {", ".join(f'"{f}"' for f in _LEAKS)}) > 0 THEN 'FAIL' ELSE 'PASS' END AS verdict FROM t, f"""
 )
 def corpus_verdict(spark, d):
-    docs = table(spark, d, "corpus_docs")
-    r = docs.agg(F.count("*").alias("documents"), (F.count("*") - F.countDistinct("id")).alias("dup_ids"), (F.count("*") - F.countDistinct(F.md5("text"))).alias("dup_texts"), F.count_if(F.size(C.validation_flags()) > 0).alias("flagged"))
-    bad = (F.col("documents") == 0) | (F.col("dup_ids") > 0) | (F.col("dup_texts") > 0) | (F.col("flagged") > 0)
-    return r.withColumn("verdict", F.when(bad, "FAIL").otherwise("PASS"))
+    null = F.col("id").isNull() | F.col("text").isNull() | F.col("source").isNull()
+    english = T.count_of(F.coalesce("text", F.lit("")), ["the", "of", "and", "was"]) >= 3
+    return K.validation_report(table(spark, d, "corpus_docs"), {"invalid_types": null, "invalid_source": T.source_name("source") == "unknown"}, english, 1_000_000_000)
+
+
+_VERDICTS = [(1, 2, 2, 0, 1.0), (2, 1, 2, 0, 1.0), (3, 2, 2, 1, 1.0), (4, 2, 2, 0, 0.5)]
+
+
+@query("SELECT * FROM (VALUES (1, 'PASS'), (2, 'FAIL'), (3, 'FAIL'), (4, 'FAIL')) v(n, verdict)")
+def corpus_verdict_cases(spark, d):
+    """The verdict on a table that passes, and on ones that are too small, hold a leak or are half in another language."""
+    good = "The people of the town went to the market on the hill and it was not far from the river that they had seen. "
+    out = None
+    for n, (size, leak, english) in enumerate([(100, "", 1), (10**9, "", 1), (100, "<p>", 1), (100, "", 0)], 1):
+        docs = spark.createDataFrame([("a", good * 3 + leak, "wikipedia"), ("b", good * 4, "wikipedia")], "id string, text string, source string")
+        e = F.lit(True) if english else F.col("id") == "a"
+        one = K.validation_report(docs, {"invalid_types": F.col("text").isNull()}, e, size).select(F.lit(n).alias("n"), "verdict")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+_AGAIN = _clean_sql("(SELECT r.* FROM corpus_docs r WHERE seq IN (SELECT k FROM fl))", "seq", True).replace("WITH p AS", "p AS", 1)
+
+
+@query(
+    f"""{FLAGS}, fl AS (SELECT DISTINCT k FROM x), {_AGAIN.replace(" x AS", " xx AS")}, y AS (SELECT k, t FROM g WHERE reason = 'accepted'),
+    z AS ({_flags_sql("y", "k", "t")} SELECT DISTINCT k FROM x)
+    SELECT seq, CASE WHEN seq NOT IN (SELECT k FROM fl) THEN 'kept' WHEN seq IN (SELECT k FROM y) AND seq NOT IN (SELECT k FROM z) THEN 'repaired' ELSE 'rejected' END AS outcome,
+      md5(CASE WHEN seq NOT IN (SELECT k FROM fl) THEN text WHEN seq IN (SELECT k FROM y) AND seq NOT IN (SELECT k FROM z) THEN y.t END) AS text FROM corpus_docs LEFT JOIN y ON y.k = seq"""
+)
+def corpus_repair(spark, d):
+    docs = table(spark, d, "corpus_docs").select("seq", T.source_name("source").alias("source"), "text")
+    return K.repair(docs).select("seq", "outcome", F.md5("text").alias("text"))
 
 
 @query(
@@ -227,7 +292,7 @@ def corpus_topup_until_target(spark, d):
     order = F.col("stage").cast("bigint") * F.lit(1 << 40) + F.col("n")
     rows = first.unionByName(more).withColumn("at", order).withColumn("source", F.lit("all"))
     quotas = spark.createDataFrame([("all", 2_500_000)], "source string, quota bigint")
-    return C.byte_quota(rows, quotas, order="at", size=F.col("b"), parts=1 << 20).groupBy("stage").agg(F.count("*").alias("records"), F.sum("b").alias("bytes"))
+    return C.byte_quota(rows, quotas, order="at", size=F.col("b")).groupBy("stage").agg(F.count("*").alias("records"), F.sum("b").alias("bytes"))
 
 
 @query("SELECT doc_id, md5(concat('42:', doc_id)) AS priority FROM documents ORDER BY priority, doc_id LIMIT 100")
@@ -250,7 +315,8 @@ def corpus_lang_fraction(spark, d):
     f"""WITH t AS (SELECT seq, {TOKENS.format(c='text')} AS t FROM download_candidates), s AS (SELECT seq, t, len(t) - 2 AS n, greatest(1, (len(t) - 2) // 160) AS step FROM t WHERE len(t) > 2),
     h AS (SELECT seq, md5(array_to_string(t[i:i + 2], ' ')) AS h FROM (SELECT seq, t, unnest(range(1, n + 1, step)) AS i FROM s)),
     v AS (SELECT seq, b, sum(CASE WHEN (('0x' || substr(h, 1 + 8 * (1 - b // 32)::INT, 8))::BIGINT >> (b % 32)::INT) & 1 = 1 THEN 1 ELSE -1 END) AS v FROM h, range(64) r(b) GROUP BY seq, b)
-    SELECT seq, printf('%08x', sum(CASE WHEN b >= 32 AND v >= 0 THEN 1::BIGINT << (b - 32)::INT ELSE 0 END)::BIGINT) || printf('%08x', sum(CASE WHEN b < 32 AND v >= 0 THEN 1::BIGINT << b::INT ELSE 0 END)::BIGINT) AS bits FROM v GROUP BY seq"""
+    SELECT seq, printf('%08x', sum(CASE WHEN b >= 32 AND v >= 0 THEN 1::BIGINT << (b - 32)::INT ELSE 0 END)::BIGINT) || printf('%08x', sum(CASE WHEN b < 32 AND v >= 0 THEN 1::BIGINT << b::INT ELSE 0 END)::BIGINT) AS bits FROM v GROUP BY seq
+    UNION ALL SELECT seq, substr(md5(array_to_string(t, ' ')), 1, 16) FROM t WHERE len(t) < 3 UNION ALL SELECT seq, NULL FROM download_candidates WHERE text IS NULL"""
 )
 def corpus_simhash(spark, d):
     return C.simhash(table(spark, d, "download_candidates"), "seq")
@@ -265,7 +331,13 @@ def corpus_near_dup_pairs(spark, d):
     return C.simhash_pairs(table(spark, d, "download_candidates"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE pairs AS ({_PAIRS}), ends AS (SELECT i, row_number() OVER (ORDER BY i) AS n FROM (SELECT a AS i FROM pairs UNION SELECT b FROM pairs)),
+    near AS (SELECT n, i, (SELECT coalesce(list(a), []) FROM pairs WHERE b = i) AS before FROM ends),
+    walk AS (SELECT 0::BIGINT AS n, []::BIGINT[] AS kept UNION ALL SELECT near.n, CASE WHEN list_has_any(walk.kept, near.before) THEN walk.kept ELSE list_append(walk.kept, near.i) END FROM walk JOIN near ON near.n = walk.n + 1),
+    last AS (SELECT kept FROM walk ORDER BY n DESC LIMIT 1)
+    SELECT i, NOT (i IN (SELECT i FROM ends)) OR list_contains((SELECT kept FROM last), i) AS kept FROM {_FIRST}"""
+)
 def corpus_near_dedup_greedy(spark, d):
     rows = table(spark, d, "download_candidates")
     nodes = rows.where("simhash is not null").groupBy("simhash").agg(F.min("seq").alias("i"))
@@ -284,13 +356,25 @@ def corpus_stable_ids(spark, d):
     return table(spark, d, "corpus_docs").select("seq", F.concat(T.source_name("source"), F.lit(":"), F.substring(F.md5(own), 1, 20)).alias("stable_id"))
 
 
-@query()
+@query(
+    rf"""WITH RECURSIVE t AS (SELECT doc_id, text, {WORDS} AS total FROM documents WHERE text IS NOT NULL),
+    par AS (SELECT doc_id, g, list_filter(regexp_split_to_array(trim(p, ' ' || chr(9) || chr(10) || chr(13)), '\s+'), lambda w: w <> '') AS w FROM (SELECT doc_id, unnest(string_split(text, chr(10) || chr(10))) AS p, generate_subscripts(string_split(text, chr(10) || chr(10)), 1) AS g FROM t WHERE total > 500)),
+    cut AS (SELECT doc_id, g, w, greatest(0, ceil((len(w) - 500) / 400))::INT AS cuts FROM par), run AS (SELECT doc_id, g, c, c < cuts AS alone, CASE WHEN c < cuts THEN w[c * 400 + 1:c * 400 + 400] ELSE w[c * 400 + 1:] END AS w FROM (SELECT *, unnest(range(cuts + 1)) AS c FROM cut)),
+    unit AS (SELECT doc_id, alone, len(w) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY g, c) AS i FROM run WHERE len(w) > 0),
+    walk AS (SELECT doc_id, 0::BIGINT AS i, 0 AS p, 0::BIGINT AS held, -1 AS piece, 0::BIGINT AS n FROM (SELECT DISTINCT doc_id FROM unit) UNION ALL
+      SELECT u.doc_id, u.i, v.p + (v.held > 0 AND (u.alone OR v.held + u.n > 400))::INT + u.alone::INT, CASE WHEN u.alone THEN 0 WHEN v.held > 0 AND v.held + u.n > 400 THEN u.n ELSE v.held + u.n END, v.p + (v.held > 0 AND (u.alone OR v.held + u.n > 400))::INT, u.n FROM walk v JOIN unit u ON u.doc_id = v.doc_id AND u.i = v.i + 1),
+    size AS (SELECT doc_id, piece, sum(n)::BIGINT AS n FROM walk WHERE piece >= 0 GROUP BY 1, 2), tail AS (SELECT *, max(piece) OVER (PARTITION BY doc_id) AS last FROM size),
+    merged AS (SELECT doc_id, CASE WHEN last > 0 AND piece = last AND n < 50 THEN piece - 1 ELSE piece END AS piece, n FROM tail), whole AS (SELECT doc_id, piece, sum(n)::BIGINT AS n FROM merged GROUP BY 1, 2),
+    fine AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY piece) AS part, count(*) OVER (PARTITION BY doc_id) AS parts, n FROM whole WHERE n BETWEEN 50 AND 500 UNION ALL SELECT doc_id, 1, 1, total FROM t WHERE total <= 500)
+    SELECT doc_id, part, parts, CASE WHEN parts = 1 THEN doc_id::VARCHAR ELSE doc_id || '#part-' || part END AS part_id, n AS words FROM fine"""
+)
 def corpus_split_pieces(spark, d):
-    return C.pieces(table(spark, d, "documents"), "doc_id", max_words=500, target=400).select("doc_id", "part", "parts", T.words("piece").alias("words"))
+    x = K.split_long(table(spark, d, "documents"), "doc_id", max_words=500, target=400)
+    return x.select("doc_id", F.col("part").cast("bigint").alias("part"), F.col("parts").cast("bigint").alias("parts"), "part_id", T.words("piece").alias("words"))
 
 
-_M = r"regexp_replace(regexp_replace(regexp_replace(text, '!\[[^\]]*\]\([^)]*\)', ' ', 'g'), '\[([^\]]+)\]\([^)]*\)', '\1', 'g'), '\[[0-9]+(, ?[0-9]+)*\]', '', 'g')"
-_MARKUP = rf"""regexp_replace(regexp_replace(regexp_replace(replace(translate({_M}, '‘’“”–—−' || chr(160) || chr(8203) || chr(8204) || chr(8205) || chr(65279), '''''""--- '), '…', '...'), '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g'), '(https?://|www\.)[^ \t\n\r]+', '', 'g'), '[ \t]+', ' ', 'g')"""
+_M = r"regexp_replace(regexp_replace(regexp_replace(text, '!\[[^\]]*\]\([^)]+\)', ' ', 'g'), '\[([^\]]+)\]\([^)]+\)', '\1', 'g'), '\[\d+(?:,\s*\d+)*\]', '', 'g')"
+_MARKUP = rf"""regexp_replace(regexp_replace(regexp_replace(replace(translate({_M}, '‘’“”–—−' || chr(160) || chr(8203) || chr(8204) || chr(8205) || chr(65279), '''''""--- '), '…', '...'), '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g'), '(?i)(?:https?://\S+|www\.\S+)', '', 'g'), '[ \t]+', ' ', 'g')"""
 
 
 @query(f"SELECT doc_id, md5({_MARKUP}) AS stripped FROM documents")
@@ -303,10 +387,14 @@ def text_reverse(spark, d):
     return V.reversed_columns(table(spark, d, "documents"), ["text"]).select("doc_id", F.md5("text").alias("turned"))
 
 
-@query("SELECT doc_id, 'none' AS problem FROM documents WHERE false")
+# every seventh text is spoilt by one character, every eleventh row lacks its partner
+@query("SELECT doc_id, unnest(CASE WHEN doc_id % 11 = 0 THEN ['missing'] ELSE ['roundtrip_text'] END) AS problem FROM documents WHERE doc_id % 11 = 0 OR doc_id % 7 = 0 UNION ALL SELECT -1, 'extra'")
 def text_reverse_verify(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text", "domain")
-    return V.verify_pairs(docs, V.reversed_columns(docs, ["text", "domain"]), "doc_id", ["text", "domain"])
+    turned = V.reversed_columns(docs, ["text", "domain"]).where("doc_id % 11 <> 0")
+    turned = turned.withColumn("text", F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text")))
+    turned = turned.unionByName(spark.createDataFrame([(-1, "z", "z")], "doc_id bigint, text string, domain string"))
+    return V.verify_pairs(docs, turned, "doc_id", ["text", "domain"])
 
 
 # -- instruction pairs
@@ -323,15 +411,52 @@ _U, _A = "coalesce(user_msg, '')", "coalesce(assistant_msg, '')"
 _N = n_of(_A, r"\S+")
 
 
+_UW = f"regexp_extract_all({_A}, '[A-Za-z'']+')"
+_SALAD = f"(len({_UW}) >= 25 AND len(list_filter({_UW}, lambda v: lower(v) IN ({sql_list(X.FUNCTION_WORDS)}))) / len({_UW}) < 0.10)"
+_BLANK = f"regexp_matches({_U}, '^[ \t\n\r]*$') OR regexp_matches({_A}, '^[ \t\n\r]*$')"
+_ODD = f"contains({_U}, chr(65533)) OR contains({_A}, chr(65533))"
+# accented words in lower case, with what stands before them (RE2 has no look-behind)
+_ACCENTED = rf"list_transform(regexp_extract_all(' ' || {_A}, '[^A-Za-z0-9_{X.ACCENTS}]([a-z{X.ACCENTS}''’]*[{X.ACCENTS}][a-z{X.ACCENTS}''’]*)', 1), lambda v: trim(lower(v), chr(39) || '’'))"
+_FOREIGN = f"""(regexp_matches({_U}, '{_q(X.ASKS_TRANSLATION)}') OR regexp_matches({_A}, '{_q(X.GIVES_TRANSLATION)}') OR regexp_matches({_U} || ' ' || {_A}, '{_q(X.FOREIGN_PHRASES)}')
+    OR regexp_matches({_U} || ' ' || {_A}, '{_q(X.QUOTED_ACCENT)}') OR len(list_filter({_ACCENTED}, lambda v: v NOT IN ({sql_list(X.LOAN_WORDS)}))) > 0)"""
+
+
 @query(
-    f"""SELECT seq, CASE WHEN regexp_matches({_U}, '^[ \t\n\r]*$') OR regexp_matches({_A}, '^[ \t\n\r]*$') THEN 'empty' WHEN contains({_U}, chr(65533)) OR contains({_A}, chr(65533)) THEN 'mojibake' WHEN regexp_matches({_A}, '{_q(I.SELF_LEAK)}') THEN 'self_leak'
-    WHEN regexp_matches({_U} || ' ' || {_A}, '{_q(I.FOREIGN)}') THEN 'foreign' WHEN regexp_matches({_U}, '{_q(I.TRANSLATION)}') OR regexp_matches({_A}, '{_q(I.TRANSLATION)}') THEN 'translation' WHEN regexp_matches({_A}, '[?][ \t\n\r]*$') THEN 'follow_up'
-    WHEN regexp_matches({_A}, '{_q(I.FORBIDDEN)}') THEN 'forbidden' WHEN {_N} >= 25 AND {words_of(_A, I.FUNCTION_WORDS)} / greatest({_N}, 1) < 0.10 THEN 'word_salad' WHEN {_N} < 4 OR {_N} > 200 THEN 'length' ELSE 'kept' END AS reason FROM sft_pairs"""
+    f"""SELECT seq, CASE WHEN {_BLANK} THEN 'empty' WHEN {_ODD} THEN 'mojibake' WHEN regexp_matches({_A}, '{_q(X.SELF_LEAK)}') THEN 'self_arch_leak' WHEN {_FOREIGN} THEN 'foreign_translation' WHEN regexp_matches({_U} || {_A}, '{X.NON_LATIN}') THEN 'non_english'
+    WHEN regexp_matches({_U}, '{_q(X.TRANSLATE)}') THEN 'translation' WHEN regexp_matches({_A}, '[?]\\s*$') THEN 'follow_up' WHEN regexp_matches({_U} || chr(10) || {_A}, '{_q(X.FORBIDDEN)}') THEN 'forbidden' WHEN {_SALAD} THEN 'word_salad' WHEN {_N} < 4 OR {_N} > 200 THEN 'length' ELSE 'kept' END AS reason FROM sft_pairs"""
 )
 def sft_heuristic_reasons(spark, d):
     return table(spark, d, "sft_pairs").select("seq", I.heuristic_reason().alias("reason"))
 
 
+@query(
+    f"""SELECT seq, CASE WHEN {_ODD} THEN 'mojibake' WHEN regexp_matches({_U}, '{_q(X.TRANSLATE)}') THEN 'translation' WHEN regexp_matches({_A}, '[?]\\s*$') THEN 'ends_with_question' WHEN {_SALAD} THEN 'low_function_word_ratio' ELSE 'judge' END AS reason FROM sft_pairs"""
+)
+def sft_judge_prefilter(spark, d):
+    return table(spark, d, "sft_pairs").select("seq", I.judge_prefilter().alias("reason"))
+
+
+_GATE = f"CASE WHEN {_BLANK} THEN 'empty' WHEN regexp_matches({_U} || chr(10) || {_A}, '{_q(X.FORBIDDEN_MORE)}') THEN 'forbidden' WHEN regexp_matches({_U} || chr(10) || {_A}, '{X.NON_LATIN}') THEN 'non_english' ELSE 'parsed' END"
+
+
+@query(f"SELECT {_GATE} AS gate, count(*) AS pairs FROM sft_pairs GROUP BY 1")
+def sft_assembly_gates(spark, d):
+    return table(spark, d, "sft_pairs").groupBy(I.assembly_gate().alias("gate")).agg(F.count("*").alias("pairs"))
+
+
+_KEY = "regexp_replace(lower(trim(coalesce(user_msg, ''))), '[ \\t\\n\\r]+', ' ', 'g')"
+
+
+@query(
+    f"""WITH ok AS (SELECT seq, {_KEY} AS k FROM sft_pairs WHERE {_GATE} = 'parsed' AND NOT regexp_matches({_U}, '{_q(X.TRANSLATE)}') AND NOT regexp_matches({_A}, '[?]\\s*$') AND {_N} BETWEEN 4 AND 200 AND seq % 3 <> 0)
+    SELECT min(seq) AS seq FROM ok WHERE k NOT IN (SELECT {_KEY} FROM sft_pairs WHERE seq % 3 = 0) GROUP BY k"""
+)
+def sft_accepted_new(spark, d):
+    """Two thirds of the pairs are taken for new ones, the rest for what is there already."""
+    rows = table(spark, d, "sft_pairs")
+    return I.accepted_new(rows.where("seq % 3 <> 0"), rows.where("seq % 3 = 0")).select("seq")
+
+
 @query("SELECT min(seq) AS seq FROM sft_pairs GROUP BY regexp_replace(lower(trim(coalesce(user_msg, ''))), '[ \\t\\n\\r]+', ' ', 'g')")
 def sft_dedup(spark, d):
     return I.first_by_user(table(spark, d, "sft_pairs")).select("seq")
@@ -425,13 +550,6 @@ def overview_zero_filled(spark, d):
     return S.zero_filled(table(spark, d, "requests").select("status"), ["ok", "error", "rejected", "busy", "pending", "cancelled"], "status")
 
 
-@query(f"SELECT count(*) FILTER (mode = 'web' AND status = 'ok') AS shown, count(*) FILTER (mode = 'web' AND status = 'ok' AND feedback) AS voted, CASE WHEN count(*) FILTER (mode = 'web' AND status = 'ok') = 0 THEN 0 ELSE floor(100 * count(*) FILTER (mode = 'web' AND status = 'ok' AND feedback) / count(*) FILTER (mode = 'web' AND status = 'ok') + 0.5) END::BIGINT AS percent FROM {ONCE}")
-def overview_voted_pct(spark, d):
-    shown = (F.col("mode") == "web") & (F.col("status") == "ok")
-    r = S.deduplicated(table(spark, d, "requests")).agg(F.count_if(shown).alias("shown"), F.count_if(shown & F.col("feedback")).alias("voted"))
-    return r.withColumn("percent", F.coalesce(F.floor(F.try_divide(F.lit(100) * F.col("voted"), F.col("shown")) + F.lit(0.5)), F.lit(0)).cast("bigint"))
-
-
 @query(
     f"""WITH a AS (SELECT request_id, string_agg(variant || ':' || md5(output), ',' ORDER BY created_at, id) AS answers, (list(output ORDER BY created_at, id) FILTER (variant = 'A'))[1] AS picked FROM responses GROUP BY request_id)
     SELECT r.id, mode, lower(model) AS model, epoch_us(created_at) AS at, coalesce(answers, '') AS answers, md5(picked) AS selected FROM {ONCE} r LEFT JOIN a ON r.id = a.request_id WHERE status = 'ok'"""
@@ -445,7 +563,9 @@ def export_rows(spark, d):
 @query(f"SELECT r.id, epoch_us(r.created_at) AS at, n.name AS node, EXISTS (SELECT 1 FROM responses s WHERE s.request_id = r.id AND s.variant = 'B') AS has_b FROM {ONCE} r LEFT JOIN nodes n ON n.id = r.node_id ORDER BY r.created_at DESC, r.id LIMIT 1000")
 def recent_list(spark, d):
     r = S.deduplicated(table(spark, d, "requests")).orderBy(F.col("created_at").desc(), "id").limit(1000)
-    b = table(spark, d, "responses").where("variant = 'B'").select(F.col("request_id").alias("id"), F.lit(True).alias("b")).distinct()
+    r = r.select("id", "created_at", "node_id")
+    # a thousand ids are broadcast, so responses aren't shuffled as a whole
+    b = table(spark, d, "responses").where("variant = 'B'").select(F.col("request_id").alias("id")).join(F.broadcast(r.select("id")), "id", "left_semi").distinct().withColumn("b", F.lit(True))
     n = table(spark, d, "nodes").select(F.col("id").alias("node_id"), F.col("name").alias("node"))
     return r.join(F.broadcast(n), "node_id", "left").join(b, "id", "left").select("id", S.micros("created_at").alias("at"), "node", F.coalesce("b", F.lit(False)).alias("has_b"))
 
@@ -545,9 +665,7 @@ def active_gauge(spark, d):
     r = S.deduplicated(table(spark, d, "requests")).where("node_id is not null and latency_ms is not null")
     t = S.micros("created_at")
     e = r.select("node_id", F.explode(F.array(F.struct(t.alias("t"), F.lit(1).alias("d")), F.struct((t + F.col("latency_ms").cast("bigint") * 1000).alias("t"), F.lit(-1).alias("d")))).alias("e")).select("node_id", "e.*")
-    g = e.groupBy("node_id", "t").agg(F.sum("d").alias("d"))
-    w = Window.partitionBy("node_id").orderBy("t")
-    return g.select("node_id", F.sum("d").over(w).alias("active")).groupBy("node_id").agg(F.max("active").alias("most_active"))
+    return S.most_active(e, "node_id", "t", "d")
 
 
 @query(
@@ -558,12 +676,6 @@ def ab_variants(spark, d):
     return r.select("id", F.explode(F.when(F.col("two"), F.array(F.lit("A"), F.lit("B"))).otherwise(F.array(F.lit("A")))).alias("variant"))
 
 
-@query(f"SELECT node_id, arg_min(id, (created_at, id)) AS id FROM {ONCE} WHERE status = 'pending' AND node_id IS NOT NULL GROUP BY node_id")
-def job_fifo_claim(spark, d):
-    r = S.deduplicated(table(spark, d, "requests")).where("status = 'pending' and node_id is not null")
-    return r.groupBy("node_id").agg(F.min_by("id", F.struct("created_at", "id")).alias("id"))
-
-
 @query("SELECT event_id, event_type FROM events WHERE event_id > 5000 ORDER BY event_id LIMIT 500")
 def event_cursor_read(spark, d):
     return table(spark, d, "events").where("event_id > 5000").orderBy("event_id").limit(500).select("event_id", "event_type")
@@ -608,46 +720,13 @@ def migrations_pending(spark, d):
     return S.missing(one(["001_a", "002_b", "003_c", "004_d"]), one(["001_a", "003_c"]), "name")
 
 
-# -- stories
-
-_FIELDS = {"hero": ["fox", "owl", "girl"], "setting": ["forest", "harbour"], "problem": ["lost", "storm", "fear"], "lesson": ["share", "try again"]}
-_COMBOS = " CROSS JOIN ".join(f"(SELECT unnest([{', '.join(repr(v) for v in vs)}]) AS {n})" for n, vs in _FIELDS.items())
-
-
-@query(
-    f"""WITH c AS (SELECT hero, setting, problem, lesson FROM {_COMBOS}), r AS (SELECT *, row_number() OVER (ORDER BY md5(concat_ws(':', '42', hero, setting, problem, lesson)), hero, setting, problem, lesson) AS k FROM c),
-    w AS (SELECT hero, setting, problem, lesson, (100 // 36 + CASE WHEN k <= 100 % 36 THEN 1 ELSE 0 END)::BIGINT AS want, CASE WHEN hero = 'fox' AND setting = 'forest' THEN 4 ELSE 0 END::BIGINT AS have FROM r)
-    SELECT *, greatest(0, want - have)::BIGINT AS missing FROM w"""
-)
-def story_combo_plan(spark, d):
-    combos = P.product(spark, _FIELDS)
-    done = combos.where("hero = 'fox' and setting = 'forest'").crossJoin(spark.range(4)).drop("id")
-    return P.deficits(combos, done, 100, [*_FIELDS], 36)
-
-
-@query(
-    rf"""WITH a AS (SELECT id, trim(regexp_replace(coalesce(output, ''), '[ \t\n\r]+', ' ', 'g')) AS c FROM responses), b AS (SELECT *, list_filter(string_split(regexp_replace(c, '([.!?]) ', '\1' || chr(10), 'g'), chr(10)), lambda s: s <> '') AS ss, {n_of("c", r"\S+")} AS n FROM a)
-    SELECT id, CASE WHEN c = '' THEN 'empty' WHEN NOT regexp_matches(c, '[.!?]$') THEN 'truncated' WHEN len(ss) < 2 THEN 'too_short' WHEN len(list_filter(ss, lambda s: {n_of("s", r"\S+")} > 24)) > 0 THEN 'long_sentence' WHEN n < 10 OR n > 90 THEN 'word_count' ELSE 'ok' END AS reason FROM b"""
-)
-def story_validate(spark, d):
-    return table(spark, d, "responses").select("id", P.story_reason(F.col("output"), least=2, low=10).alias("reason"))
-
+# -- generated texts
 
 @query("SELECT id, CASE WHEN raw_output IS NULL THEN 'absent' WHEN reverse(raw_output) = output THEN 'match' ELSE 'mismatch' END AS raw FROM responses")
 def raw_output_verify(spark, d):
     return table(spark, d, "responses").select("id", F.when(F.col("raw_output").isNull(), "absent").when(F.reverse("raw_output") == F.col("output"), "match").otherwise("mismatch").alias("raw"))
 
 
-@query(
-    f"""WITH s AS (SELECT id, 'hero: ' || json_extract_string(input, '$.story.hero') || chr(10) || 'problem: ' || json_extract_string(input, '$.story.problem') AS f, json_extract_string(input, '$.story.lesson') AS l FROM {ONCE} WHERE json_valid(input))
-    SELECT id, md5('<|input|>' || chr(10) || reverse(f) || chr(10) || '<|story|>' || chr(10) || reverse(l) || chr(10) || '<|end|>') AS prompt FROM s WHERE f IS NOT NULL AND l IS NOT NULL"""
-)
-def prompt_template(spark, d):
-    r = S.deduplicated(table(spark, d, "requests")).where(F.try_parse_json("input").isNotNull())
-    s = r.select("id", *(F.get_json_object("input", f"$.story.{f}").alias(f) for f in ("hero", "problem", "lesson"))).where("hero is not null and problem is not null and lesson is not null")
-    return s.select("id", F.md5(V.training_prompt(["hero", "problem"], "lesson")).alias("prompt"))
-
-
 # -- streams (each is run to its end over the table's files and read back)
 
 
@@ -661,6 +740,9 @@ def stream_limiter(spark, d):
     return ST.limit_stream(spark, f"{d}/events.parquet", "user_id", "ts", "event_id", ST.Limits(1, 10, 100, 500)).groupBy("decision").agg(F.count("*").alias("n"))
 
 
-@query("SELECT count(*) AS n, count(DISTINCT event_id) AS events FROM events")
+# requests are delivered at least once, so this stream has repeats
+@query("SELECT count(*) AS n, count(DISTINCT id) AS requests FROM (SELECT DISTINCT ON (id) id FROM requests)")
 def stream_dedup(spark, d):
-    return ST.run_to_end(ST.stream_of(spark, f"{d}/events.parquet"), lambda s: s.dropDuplicates(["event_id"]).select("event_id"), "append").agg(F.count("*").alias("n"), F.countDistinct("event_id").alias("events"))
+    """Repeats within 40 days of the newest row are dropped, and state of older rows is forgotten."""
+    once = lambda s: s.select("id", "created_at").withWatermark("created_at", "40 days").dropDuplicatesWithinWatermark(["id"]).select("id")
+    return ST.run_to_end(ST.stream_of(spark, f"{d}/requests.parquet"), once, "append").agg(F.count("*").alias("n"), F.countDistinct("id").alias("requests"))

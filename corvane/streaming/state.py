@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import uuid
+from collections import deque
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.sources.shared import shared_dir
@@ -28,25 +29,38 @@ class Limits:
         return self.second, self.minute, self.hour, self.day
 
 
-def decide(times: Iterable[int], accepted: list[int], limits: Limits) -> list[str]:
+def decide(times: Iterable[int], accepted: deque[int], limits: Limits) -> list[str]:
     """Decisions of calls in order of time. accepted (microseconds) is brought up to date; at most a day of it is kept, and
     never more than the day's limit where there is one."""
     out = []
     for t in times:
         while accepted and accepted[0] <= t - HORIZONS[-1]:
-            accepted.pop(0)
-        full = any(limit and sum(1 for _ in _since(accepted, t - span)) >= limit for limit, span in zip(limits.each(), HORIZONS))
+            accepted.popleft()
+        # the limit-th last accepted call still lies within its window
+        full = any(limit and len(accepted) >= limit and accepted[-limit] > t - span for limit, span in zip(limits.each(), HORIZONS))
         out.append("rate" if full else "accept")
         if not full:
             accepted.append(t)
     return out
 
 
-def _since(accepted: list[int], after: int) -> Iterator[int]:
-    for t in reversed(accepted):
-        if t <= after:
-            return
-        yield t
+def decide_active(calls: Iterable[tuple[int, int]], most: int, limits: Limits) -> list[str]:
+    """Decisions of calls (start, end) in order of their starts, of which no more than `most` may be running at once (checked first)."""
+    import heapq
+
+    accepted: deque[int] = deque()
+    running: list[int] = []
+    out = []
+    for start, end in calls:
+        while running and running[0] <= start:
+            heapq.heappop(running)
+        if most and len(running) >= most:
+            out.append("active")
+            continue
+        out += decide([start], accepted, limits)
+        if out[-1] == "accept":
+            heapq.heappush(running, max(start, end))
+    return out
 
 
 def limit_batch(rows: DataFrame, key: str, at: str, tie: str, limits: Limits) -> DataFrame:
@@ -55,12 +69,12 @@ def limit_batch(rows: DataFrame, key: str, at: str, tie: str, limits: Limits) ->
     ddl = f"{key} {rows.schema[key].dataType.simpleString()}, {tie} {rows.schema[tie].dataType.simpleString()}, decision string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, accepted = object(), []
+        now, accepted = object(), deque()
         for b in batches:
             out = []
             for k, t in zip(b["k"], b["t"]):
                 if k != now:
-                    now, accepted = k, []
+                    now, accepted = k, deque()
                 out += decide([t], accepted, limits)
             yield pd.DataFrame({key: b["k"], tie: b["i"], "decision": out})
 
@@ -80,6 +94,17 @@ def stream_of(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
 
 
+def _to_end(spark: SparkSession, writer) -> None:
+    """Starts a query over all that its sources hold and waits for its end. State with a timeout asks for batches without data for ever, so there are none."""
+    name = "spark.sql.streaming.noDataMicroBatches.enabled"
+    old = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        writer.trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(name, old)
+
+
 def run_to_end(stream: DataFrame, f: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
     """Runs f over all that the stream holds, with a checkpoint in the shared folder, and reads the result back."""
     spark = stream.sparkSession
@@ -90,8 +115,7 @@ def run_to_end(stream: DataFrame, f: Callable[[DataFrame], DataFrame], mode: str
         # a batch that is run again writes the same folder anew
         (batch.write.mode("overwrite").parquet(f"{at}/out" if mode == "complete" else f"{at}/out/batch={n}"))
 
-    q = out.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{at}/log").trigger(availableNow=True).start()
-    q.awaitTermination()
+    _to_end(spark, out.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{at}/log"))
     return spark.read.schema(out.schema).parquet(f"{at}/out")
 
 
@@ -100,14 +124,135 @@ def limit_stream(spark: SparkSession, path: str, key: str, at: str, tie: str, li
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        accepted = list(state.get[0]) if state.exists else []
+        if state.hasTimedOut:
+            state.remove()  # a day without calls: nothing that is kept counts any more
+            return
+        accepted = deque(state.get[0]) if state.exists else deque()
         rows = pd.concat(list(batches)).sort_values(["t", "i"])
         decisions = decide(rows["t"], accepted, limits)
-        state.update((accepted,))
+        state.update((list(accepted),))
+        state.setTimeoutDuration(HORIZONS[-1] // 1000)
         yield pd.DataFrame({"k": [k[0]] * len(rows), "i": rows["i"], "decision": decisions})
 
     def f(s: DataFrame) -> DataFrame:
         rows = s.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("k"), F.unix_micros(F.col(at).cast("timestamp")).alias("t"), F.col(tie).alias("i"))
-        return rows.groupBy("k").applyInPandasWithState(run, "k string, i bigint, decision string", "accepted array<bigint>", "append", GroupStateTimeout.NoTimeout)
+        return rows.groupBy("k").applyInPandasWithState(run, "k string, i bigint, decision string", "accepted array<bigint>", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
     return run_to_end(stream_of(spark, path), f, "append")
+
+
+def limit_active_batch(rows: DataFrame, key: str, start: str, end: str, tie: str, most: int, limits: Limits) -> DataFrame:
+    """key, tie, decision ('accept', 'active' or 'rate') of calls that last from start to end (microseconds)."""
+    ddl = f"{key} {rows.schema[key].dataType.simpleString()}, {tie} {rows.schema[tie].dataType.simpleString()}, decision string"
+
+    def run(k: tuple, calls: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({key: calls["k"], tie: calls["i"], "decision": decide_active(zip(calls["s"].tolist(), calls["e"].tolist()), most, limits)})
+
+    ordered = rows.select(F.col(key).alias("k"), F.col(start).alias("s"), F.col(end).alias("e"), F.col(tie).alias("i"))
+    # running calls end within a day, so a gap of two days between starts forgets everything: each stretch between gaps is a task's work of its own
+    w = Window.partitionBy("k").orderBy("s", "i")
+    gap = (F.col("s") - F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1)) >= HORIZONS[-1]).cast("int")
+    cut = ordered.withColumn("e", F.greatest("s", "e")).withColumn("g", F.sum(F.coalesce(gap, F.lit(0))).over(w))
+    return cut.groupBy("k", "g").applyInPandas(lambda k, x: run(k, x.sort_values(["s", "i"])), ddl)
+
+
+# -- jobs: queued -> running -> done or error, cancelled while not over
+
+
+def fold_jobs(events: DataFrame, key: str = "job_id", order: str = "id") -> DataFrame:
+    """job_id, status, owner, applied: the state of each job after its events in order. claim(owner): queued -> running; finish and fail by the
+    owner only: running -> done or error; cancel: queued or running -> cancelled. Others change nothing; applied counts those that did."""
+    zero = F.struct(F.lit("queued").alias("status"), F.lit(None).cast("bigint").alias("owner"), F.lit(0).alias("applied"))
+
+    def step(a, e):
+        claim = (e["kind"] == "claim") & (a["status"] == "queued")
+        over = e["kind"].isin("finish", "fail") & (a["status"] == "running") & (a["owner"] == e["owner"])
+        cancel = (e["kind"] == "cancel") & a["status"].isin("queued", "running")
+        status = F.when(claim, "running").when(over, F.when(e["kind"] == "finish", "done").otherwise("error")).when(cancel, "cancelled").otherwise(a["status"])
+        return F.struct(status.alias("status"), F.when(claim, e["owner"]).otherwise(a["owner"]).alias("owner"), (a["applied"] + F.when(claim | F.coalesce(over, F.lit(False)) | cancel, 1).otherwise(0)).cast("int").alias("applied"))
+
+    told = events.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, "kind", F.col("owner").cast("bigint").alias("owner")))).alias("es"))
+    return told.select(key, F.aggregate("es", zero, step).alias("s")).select(key, "s.*")
+
+
+def apply_event(state: tuple[str, int | None, int], kind: str, owner: int | None) -> tuple[str, int | None, int]:
+    """One transition of fold_jobs()."""
+    status, held, n = state
+    if kind == "claim" and status == "queued":
+        return "running", owner, n + 1
+    if kind in ("finish", "fail") and status == "running" and held == owner:
+        return ("done" if kind == "finish" else "error"), held, n + 1
+    if kind == "cancel" and status in ("queued", "running"):
+        return "cancelled", held, n + 1
+    return state
+
+
+def job_stream(events: DataFrame, idle_ms: int = 86_400_000) -> DataFrame:
+    """fold_jobs() over a stream (job_id, id, kind, owner): the state of a job after each batch with events of it; a job idle for longer is
+    forgotten."""
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        now = tuple(state.get) if state.exists else ("queued", None, 0)
+        rows = pd.concat(list(batches)).sort_values("id")
+        for kind, owner in zip(rows["kind"], rows["owner"]):
+            now = apply_event(now, kind, int(owner))
+        state.update(now)
+        state.setTimeoutDuration(idle_ms)
+        yield pd.DataFrame({"job_id": [k[0]], "status": [now[0]], "owner": pd.array([now[1]], "Int64"), "applied": [now[2]]})
+
+    return events.groupBy("job_id").applyInPandasWithState(run, "job_id bigint, status string, owner bigint, applied int", "status string, owner bigint, applied int", "update", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def event_batches(events: DataFrame, key: str, at: str, order: str, most: int = 16, span: int = 100_000) -> DataFrame:
+    """key, batches, largest: the events of each key gathered into batches of at most `most`, each within `span` microseconds of its first."""
+    zero = F.struct(F.lit(None).cast("bigint").alias("first"), F.lit(0).alias("held"), F.lit(0).alias("batches"), F.lit(0).alias("largest"))
+
+    def step(a, e):
+        new = a["first"].isNull() | (a["held"] >= most) | (e["t"] - a["first"] > span)
+        held = F.when(new, 1).otherwise(a["held"] + 1)
+        return F.struct(F.when(new, e["t"]).otherwise(a["first"]).alias("first"), held.cast("int").alias("held"), (a["batches"] + F.when(new, 1).otherwise(0)).cast("int").alias("batches"), F.greatest(a["largest"], held).cast("int").alias("largest"))
+
+    told = events.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(at).alias("t"), F.col(order).alias("o")))).alias("es"))
+    return told.select(key, F.aggregate("es", zero, step).alias("s")).select(key, "s.batches", "s.largest")
+
+
+def sweep(heartbeats: DataFrame, now: int, idle: int) -> DataFrame:
+    """id, status: nodes (id, at in microseconds) by whether their last heartbeat is older than idle."""
+    return heartbeats.groupBy("id").agg(F.max("at").alias("at")).select("id", F.when(F.col("at") < now - idle, "offline").otherwise("online").alias("status"))
+
+
+def snapshots(stream: DataFrame, f: Callable[[DataFrame], DataFrame], every: str = "3 seconds") -> Callable[[Callable[[DataFrame, int], None]], object]:
+    """Starts a query that hands a full snapshot of f(stream) to a callback at intervals, and gives the running query."""
+
+    def start(push: Callable[[DataFrame, int], None], checkpoint: str):
+        return f(stream).writeStream.outputMode("complete").foreachBatch(push).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+
+    return start
+
+
+def in_epochs(spark: SparkSession, path: str, f: Callable[[DataFrame], DataFrame], epochs: int) -> str:
+    """Writes f of a stream of files under a shared folder, one subfolder for each epoch (batch): a batch that is run again replaces its
+    own. At most so many files are taken a batch that there are about `epochs` of them. Gives the folder."""
+    import os
+
+    stream = stream_of(spark, path)
+    plain = path.removeprefix("file://")
+    files = len([x for x in os.listdir(plain) if x.endswith(".parquet")]) if os.path.isdir(plain) else 1
+    at = f"{shared_dir(spark).rstrip('/')}/epochs-{uuid.uuid4().hex}"
+    schema = stream.schema
+    limited = spark.readStream.schema(schema).option("maxFilesPerTrigger", max(1, files // epochs)).parquet(path) if os.path.isdir(plain) else stream
+
+    def keep(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{at}/out/epoch={n}")
+
+    _to_end(spark, f(limited).writeStream.foreachBatch(keep).option("checkpointLocation", f"{at}/log"))
+    return f"{at}/out"
+
+
+def rolled_back(spark: SparkSession, folder: str, epoch: int) -> DataFrame:
+    """What was written up to an epoch, with its number; later epochs, torn or not, don't count."""
+    return spark.read.parquet(folder).where(F.col("epoch") <= epoch)
