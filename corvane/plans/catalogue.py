@@ -676,9 +676,12 @@ def ab_variants(spark, d):
     return r.select("id", F.explode(F.when(F.col("two"), F.array(F.lit("A"), F.lit("B"))).otherwise(F.array(F.lit("A")))).alias("variant"))
 
 
-@query("SELECT event_id, event_type FROM events WHERE event_id > 5000 ORDER BY event_id LIMIT 500")
+@query("SELECT event_id, event_type FROM events WHERE event_id > (SELECT max(event_id) // 2 FROM events) ORDER BY event_id LIMIT 500")
 def event_cursor_read(spark, d):
-    return table(spark, d, "events").where("event_id > 5000").orderBy("event_id").limit(500).select("event_id", "event_type")
+    """A page of five hundred after a cursor in the middle."""
+    e = table(spark, d, "events")
+    cursor = e.agg(F.floor(F.max("event_id") / 2)).first()[0] or 0
+    return e.where(F.col("event_id") > cursor).orderBy("event_id").limit(500).select("event_id", "event_type")
 
 
 @query(

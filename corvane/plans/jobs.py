@@ -73,12 +73,13 @@ def job_claim_update(spark, d):
     return x.select("id", F.when(F.col("claimed_by").isNull(), "queued").otherwise("running").alias("status"), "owner")
 
 
-@query("SELECT event_id, (SELECT max(event_id) FROM events WHERE event_id < 7000) + row_number() OVER (ORDER BY event_id) AS log_id FROM events WHERE event_id >= 7000")
+@query("WITH h AS (SELECT max(event_id) // 2 AS half FROM events) SELECT event_id, (SELECT max(event_id) FROM events, h WHERE event_id < half) + row_number() OVER (ORDER BY event_id) AS log_id FROM events, h WHERE event_id >= half")
 def event_log_append(spark, d):
-    """New events get numbers after the last one of the log, in their order."""
+    """The first half of the events is the log; the others are appended with numbers after its last, in their order."""
     e = table(spark, d, "events").select("event_id")
-    last = e.where("event_id < 7000").agg(F.max("event_id").alias("last"))
-    new = running_total(e.where("event_id >= 7000"), [], "event_id", F.lit(1), "before")
+    e = e.join(F.broadcast(e.agg(F.floor(F.max("event_id") / 2).alias("half"))))
+    last = e.where("event_id < half").agg(F.max("event_id").alias("last"))
+    new = running_total(e.where("event_id >= half"), [], "event_id", F.lit(1), "before")
     return new.join(F.broadcast(last)).select("event_id", (F.col("last") + F.col("before") + 1).alias("log_id"))
 
 

@@ -3,6 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
+from corvane.operators import cleaning as K
 from corvane.operators import curation as C
 from corvane.operators import instruction as I
 from corvane.operators import service as S
@@ -12,37 +13,76 @@ from corvane.operators import verify as V
 GOOD = "The people of the town went to the market on the hill and it was not far from the river that they had seen before. " * 4
 
 
-def reasons(spark, texts):
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "seq bigint, text string")
-    return [r.reason for r in C.with_reason(df).orderBy("seq").collect()]
+def cleaned(spark, texts, p=K.STRICT, source="fineweb-edu"):
+    df = spark.createDataFrame([(i, t, source) for i, t in enumerate(texts)], "seq bigint, text string, source string").withColumn("_t", F.lit(1)).drop("_t")
+    return [(r.reason, r.cleaned) for r in K.clean(df, p).orderBy("seq").collect()]
+
+
+VARIED = "\n".join(f"The people of town {i} went to the market on the hill and it was not far from the river." for i in range(9))
 
 
 def test_reject_reasons_in_order(spark):
-    varied = "\n".join(f"The people of town {i} went to the market on the hill and it was not far from the river." for i in range(9))
     cases = {
         None: "too_short_raw",
         "": "too_short_raw",
         "x" * 199: "too_short_raw",
         GOOD + "�": "replacement_character",
-        varied + "\n" + "\n".join(["def f(x):"] * 15): "code_heavy",
-        varied + "\n" + "\n".join(["Click here to read more"] * 12): "boilerplate_heavy",
+        VARIED + "\n" + "\n".join(["def f(x):"] * 15): "code_heavy",
+        VARIED + "\n" + "\n".join(["import x"] * 3) + "\nRead the API reference first.": "software_documentation",
+        VARIED + "\n" + "\n".join(["Click here to read more"] * 12): "boilerplate_heavy",
+        VARIED + "\n" + "\n".join(["a | b | c | d"] * 12): "boilerplate_heavy",
         "abcdefgh" * 40: "too_short",
         "12 %% 34 ## " * 60: "low_alpha",
-        "слово и дело " * 60: "non_english_script",
-        "haus baum weg stein licht berg " * 20: "non_english",
+        "слово и дело " * 60: "too_short",  # lines in another script are dropped
+        "haus baum weg stein licht berg " * 20: "non_english_heuristic",
         "\n".join([GOOD[:120]] * 10): "repetition",
+        GOOD + " &amp;lt;": "residual_html",
         GOOD: "accepted",
-        varied: "accepted",
+        VARIED: "accepted",
+    }
+    assert [r for r, _ in cleaned(spark, list(cases))] == list(cases.values())
+
+
+def test_cleaned_text(spark):
+    text = "# Title of it\n\n* " + VARIED.replace("\n", "\n\n\n") + "\n\n```py\nx = 1\n```\nSee [this page](http://x.y) “now” www.z.org\tend…\n| --- | --- |\nСлово и дело тут\n" + "z" * 400 + "\n## References\nGone"
+    wiki = cleaned(spark, [text, text.replace("\n", "\r\n")], source="wikipedia")
+    want = "Title of it\n\n" + VARIED.replace("\n", "\n\n") + '\n\nSee this page "now" end...'
+    assert [w for _, w in wiki] == [want, want]
+    assert cleaned(spark, [text])[0][1] == want + "\nReferences\nGone"
+    page = f"<div><p>{VARIED}</p><script>if (a < b) x();</script><nav>menu</nav><li>Fish &amp; chips for all of us</li></div>"
+    assert cleaned(spark, [page])[0][1] == VARIED + "\n\nFish & chips for all of us"
+
+
+def test_intake_profile(spark):
+    words = " ".join(f"the river and town number w{chr(97 + i % 26)}{chr(97 + i // 26)} of it" for i in range(40))
+    cases = {
+        "x" * 249: "too_short_raw",
+        words + "���": "broken_unicode",
+        words + "\n" + "\n".join(["x = {a: {}}"] * 2): "code",
+        "shortened words of the township " * 9: "too_short",
+        words.upper(): "too_many_caps",
+        words + " " + " ".join(["q" * 41] * 8): "broken_tokens",
+        words + " of" * 80: "repetition",
+        words + "\nContact us": "accepted",
+        words: "accepted",
     }
-    assert reasons(spark, list(cases)) == list(cases.values())
+    got = cleaned(spark, list(cases), K.INTAKE)
+    assert [r for r, _ in got] == list(cases.values()) and got[-2][1] == words
+
+
+def test_repair(spark):
+    rows = [(1, GOOD), (2, GOOD + "\nClick here to read more"), (3, "short"), (4, None)]
+    df = spark.createDataFrame([(i, t, "wikipedia") for i, t in rows], "seq bigint, text string, source string")
+    got = {r.seq: (r.outcome, r.text) for r in K.repair(df).collect()}
+    assert got == {1: ("kept", GOOD), 2: ("repaired", GOOD.strip()), 3: ("rejected", None), 4: ("rejected", None)}
 
 
 def test_validation_flags(spark):
-    df = spark.createDataFrame([(0, None), (1, "<p>short</p> &amp; cookie policy"), (2, "a|b|c|d\ne|f|g|h\n" + GOOD)], "seq bigint, text string")
-    got = {r.seq: r.f for r in df.select("seq", C.validation_flags().alias("f")).collect()}
+    df = spark.createDataFrame([(0, None), (1, "<p>short</p> &amp; cookie policy"), (2, "a|b|c|d\ne|f|g|h\n" + GOOD), (3, "x" * 10 + "\x01")], "seq bigint, text string")
+    got = {r.seq: r.f for r in df.select("seq", K.flags("text").alias("f")).collect()}
     assert got[0] == ["empty", "too_short"]
     assert got[1] == ["html", "html_entity", "boilerplate", "too_short"]
-    assert got[2] == ["table"]
+    assert got[2] == ["table"] and got[3] == ["broken_unicode", "too_short"]
 
 
 def test_first_wins_keeps_the_id_of_a_duplicate_text_taken(spark):
@@ -70,7 +110,7 @@ def test_pieces(spark):
     long = "\n\n".join([words(300, "a"), words(300, "b"), words(300, "c"), words(20, "d")])
     huge = words(1250, "e")
     df = spark.createDataFrame([(1, "short text"), (2, long), (3, huge), (4, None)], "doc_id bigint, text string")
-    rows = C.pieces(df, "doc_id", max_words=500, target=400).collect()
+    rows = K.split_long(df, "doc_id", max_words=500, target=400).collect()
     got = {k: [len(r.piece.split()) for r in sorted(rows, key=lambda r: r.part) if r.doc_id == k] for k in (1, 2, 3, 4)}
     assert got[1] == [2]
     assert got[2] == [300, 300, 320]
@@ -126,10 +166,24 @@ def test_checksum_ignores_order(spark):
 
 
 def test_heuristic_reasons(spark):
-    rows = [("hi", None), ("hi", "As an AI I can tell you much."), ("hi", "I was trained on many books."), ("how do you say it", "you say it like so"), ("hi", "Do you want more of it?"), ("hi", "too short"), ("hi", "zeta " * 30), ("hi", "This is a fine answer to it.")]
+    rows = {
+        ("hi", None): "empty",
+        ("hi", "a � b"): "mojibake",
+        ("hi", "I was trained on many books."): "self_arch_leak",
+        ("how do you say it", "you say it like so"): "foreign_translation",
+        ("hi", "We had a nice café au lait there."): "kept",
+        ("hi", "We had a nice garçon there today."): "foreign_translation",
+        ("hi", "Привет вам и всем друзьям"): "non_english",
+        ("what is it in polish", "I do not know that one."): "translation",
+        ("hi", "Do you want more of it?"): "follow_up",
+        ("hi", "As an AI language model I know it."): "forbidden",
+        ("hi", "zeta " * 30): "word_salad",
+        ("hi", "too short"): "length",
+        ("hi", "This is a fine answer to it."): "kept",
+    }
     df = spark.createDataFrame([(i, u, a) for i, (u, a) in enumerate(rows)], "seq bigint, user_msg string, assistant_msg string")
     got = [r.r for r in df.select("seq", I.heuristic_reason().alias("r")).orderBy("seq").collect()]
-    assert got == ["empty", "forbidden", "self_leak", "translation", "follow_up", "length", "word_salad", "kept"]
+    assert got == list(rows.values())
 
 
 def test_sequences_and_masks(spark):
@@ -169,11 +223,6 @@ def test_story_plan_and_reasons(spark):
     assert combos.count() == 6
     plan = P.deficits(combos, combos.where("a = 'x'"), 8, ["a", "b"], 6).collect()
     assert sum(r.want for r in plan) == 8 and sum(r.missing for r in plan) == sum(max(0, r.want - r.have) for r in plan)
-    s = "The fox went to the wood today. It was cold and dark there. He met a small owl. They both went home again."
-    texts = [None, "", "No end here", "One. Two.", s, s.replace("He met", "He met " + "very " * 30)]
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
-    got = [r.r for r in df.select("i", P.story_reason(F.col("t"), low=20).alias("r")).orderBy("i").collect()]
-    assert got == ["empty", "empty", "truncated", "too_short", "ok", "long_sentence"]
 
 
 def test_judge_answers(spark):
@@ -183,10 +232,83 @@ def test_judge_answers(spark):
 
 def test_empty_tables(spark):
     e = spark.createDataFrame([], "seq bigint, id string, doc_id bigint, text string, source string, simhash bigint, user_msg string, assistant_msg string")
-    for df in (C.first_wins(e), C.text_ratios(e), C.line_counts(e, "seq"), C.pieces(e, "doc_id"), C.simhash_pairs(e), I.first_by_user(e), I.judge_prompts(e), C.simhash(e, "seq")):
+    for df in (C.first_wins(e), C.text_ratios(e), C.line_counts(e, "seq"), K.split_long(e, "doc_id"), C.simhash_pairs(e), I.first_by_user(e), I.judge_prompts(e), C.simhash(e, "seq"), K.clean(e), K.clean(e, K.INTAKE), K.repair(e)):
         assert df.collect() == []
 
 
 def test_fold_punctuation_and_markup(spark):
     df = spark.createDataFrame([("‘a’ “b” – c… [link](http://x.y) ![i](z) d [1, 2] www.x.org\te",)], "t string")
     assert df.select(T.strip_markup("t")).first()[0] == "'a' \"b\" - c... link d e"
+
+
+def test_training_prompt_literally(spark):
+    df = spark.createDataFrame([("fox", "sea", "sad day", "wise owl", "bravery", "He ran.")], "hero string, setting string, problem string, helper_or_item string, lesson string, story string")
+    got = df.select(V.training_prompt()).first()[0]
+    assert got == "<|input|>\nyrevarb :nossel\nlwo esiw :meti_ro_repleh\nyad das :melborp\naes :gnittes\nxof :oreh\n\n<|story|>\n.nar eH\n<|end|>"
+
+
+def test_simhash_of_short_and_null_texts(spark):
+    import hashlib
+
+    df = spark.createDataFrame([(1, "One, two!"), (2, None), (3, "")], "seq bigint, text string")
+    got = {r.seq: r.bits for r in C.simhash(df, "seq").collect()}
+    assert got == {1: hashlib.md5(b"one two").hexdigest()[:16], 2: None, 3: hashlib.md5(b"").hexdigest()[:16]}
+
+
+def test_long_chains_are_decided_to_their_end(spark):
+    pairs = spark.createDataFrame([(i, i + 1) for i in range(9)], "a bigint, b bigint")
+    kept = C.greedy_keep(spark.range(10).withColumnRenamed("id", "i"), pairs).collect()
+    assert {r.i for r in kept if r.kept} == {0, 2, 4, 6, 8}
+
+
+def test_ranges_hold_about_as_many_rows(spark):
+    from corvane.operators.ranges import ranged, running_total
+
+    ids = [i for i in range(500)] + [10**12 + i for i in range(500)] + [10**15]
+    df = spark.createDataFrame([(i,) for i in ids], "k bigint")
+    sizes = [r["count"] for r in ranged(df, "k", 10).groupBy("_r").count().collect()]
+    assert len(sizes) == 10 and max(sizes) < 200
+    got = {r.k: r.n for r in running_total(df, [], "k", F.lit(1), "n", 10).collect()}
+    assert got == {k: n for n, k in enumerate(sorted(ids))}
+
+
+def test_shared_tables_are_removed_and_clusters_need_a_folder(spark):
+    import os
+
+    import pytest
+
+    from corvane.sources import shared
+
+    df = shared.materialize(spark.range(5), "t")
+    path = df._corvane_path.removeprefix("file://")
+    assert os.path.isdir(path)
+    shared.discard(df)
+    assert not os.path.isdir(path)
+
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda *a: None)
+
+        class sparkContext:
+            master = "spark://somewhere:7077"
+
+    with pytest.raises(ValueError):
+        shared.shared_dir(Cluster)
+
+
+def test_entry_hides_only_a_missing_subpackage(tmp_path):
+    import os
+    import shutil
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    shutil.copytree(f"{root}/corvane", tmp_path / "corvane", ignore=shutil.ignore_patterns("__pycache__", "llm"))
+    shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
+    run = lambda: subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()))"], cwd=tmp_path, capture_output=True, text=True, env={**os.environ, "PYTHONPATH": str(tmp_path)})
+    alone = run()
+    assert alone.returncode == 0 and int(alone.stdout.split()[-1]) > 100
+    (tmp_path / "corvane" / "llm").mkdir()
+    (tmp_path / "corvane" / "llm" / "__init__.py").write_text("")
+    (tmp_path / "corvane" / "llm" / "queries.py").write_text("import a_package_that_is_not_there\n")
+    assert run().returncode != 0

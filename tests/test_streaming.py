@@ -23,7 +23,26 @@ def test_decisions_follow_the_accepted_calls_only():
     for _ in range(400):
         t += rng.choice([100_000, 900_000, 5_000_000, 400_000_000, 1_000_000])
         times.append(t)
-    assert ST.decide(times, [], limits) == brute(times, limits)
+    assert ST.decide(times, ST.deque(), limits) == brute(times, limits)
+
+
+def test_calls_at_once_are_counted():
+    rng = random.Random(8)
+    limits = ST.Limits(2, 6, 0, 0)
+    t, calls = 0, []
+    for _ in range(300):
+        t += rng.choice([100_000, 900_000, 5_000_000, 40_000_000])
+        calls.append((t, t + rng.choice([50_000, 3_000_000, 30_000_000])))
+    out, ok = [], []
+    for start, end in calls:
+        if sum(e > start for _, e in ok) >= 3:
+            out.append("active")
+        elif any(n and sum(start - span < s for s, _ in ok) >= n for n, span in zip(limits.each(), ST.HORIZONS)):
+            out.append("rate")
+        else:
+            out.append("accept")
+            ok.append((start, end))
+    assert ST.decide_active(calls, 3, limits) == out and {*out} == {"accept", "active", "rate"}
 
 
 def test_stream_equals_batch(spark, tmp_path):
@@ -47,3 +66,47 @@ def test_strict_json_lines(spark, tmp_path):
     out = tmp_path / "out"
     jsonl.write(got.where("problem is null").select("id", "source", "text"), str(out))
     assert jsonl.read_tolerant(spark, str(out), "id string, source string, text string").count() == 1
+
+
+def test_model_calls_are_tried_again(spark):
+    from corvane.sources import streams
+
+    def call(p):
+        if p == "bad":
+            raise streams.CallError("client")
+        if p == "busy":
+            raise streams.CallError("server")
+        return p.upper(), 1
+
+    df = spark.createDataFrame([(1, "a"), (2, "bad"), (3, "busy")], "k bigint, p string")
+    got = {r.k: (r.text, r.tries, r.error) for r in streams.call_model(df, "k", "p", call, 3, lambda s: None).collect()}
+    assert got == {1: ("A", 1, None), 2: (None, 1, "client"), 3: (None, 3, "server")}
+    assert [streams.backoff(n) for n in range(8)] == [1, 2, 4, 8, 16, 32, 60, 60]
+
+
+def test_snapshots_are_pushed(spark, tmp_path):
+    import time
+
+    path = f"{tmp_path}/in"
+    spark.range(10).withColumn("k", F.col("id") % 2).write.parquet(path)
+    seen = []
+    start = ST.snapshots(ST.stream_of(spark, path), lambda s: s.groupBy("k").count(), "1 second")
+    q = start(lambda batch, n: seen.append(sorted((r.k, r["count"]) for r in batch.collect())), f"{tmp_path}/log")
+    for _ in range(60):
+        if seen:
+            break
+        time.sleep(0.5)
+    q.stop()
+    assert seen[0] == [(0, 5), (1, 5)]
+
+
+def test_digests_of_files(spark, tmp_path):
+    import hashlib
+
+    from corvane.sources import streams
+
+    (tmp_path / "a.bin").write_bytes(b"one")
+    rows = {r.name: (r.bytes, r.sha256) for r in streams.file_digests(spark, str(tmp_path)).collect()}
+    assert rows == {"a.bin": (3, hashlib.sha256(b"one").hexdigest())}
+    parts = [hashlib.md5(x).digest() for x in (b"one", b"two")]
+    assert streams.multipart_tag(parts) == hashlib.md5(b"".join(parts)).hexdigest() + "-2"
