@@ -10,21 +10,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.sources.shared import materialize, shared_dir  # noqa: F401
+from corvane.functions.fixed import SOURCE_NAMES as SOURCE_ALIASES
+from corvane.sources.shared import discard, materialize, shared_dir  # noqa: F401
 
 #: Characters of text that one Python step handles at a time, so that a batch of long texts stays small in memory.
 CHUNK_CHARS = 3_000_000
 
-# The spellings of a source, beside its own name in any case.
-SOURCE_ALIASES = {
-    "fineweb": "fineweb-edu",
-    "wiki": "wikipedia",
-    "simplewiki": "simple-wikipedia",
-    "simple-wiki": "simple-wikipedia",
-    "smollm": "smollm-edu",
-    "math": "open-web-math",
-    "stack": "stackexchange",
-}
 # Language codes with their three-letter codes and English names.
 LANGUAGES = {
     "en": ("eng", "english"),

@@ -22,8 +22,9 @@ BLOCK = 2049
 GROUPS = 64
 #: Lengths of more than this share of a block are large.
 LARGE = 1 / 8
-#: Parts in which the sequences of one length are ranked apart.
-RANK_PARTS = 64
+#: Sequences of one length that are ranked together, about; of very many sequences more, so that there are at most MOST_PARTS parts
+#: beyond one for each length.
+RANKED, MOST_PARTS = 100_000, 50_000
 
 
 def configurations(sizes: list[int], counts: list[int], block: int) -> list[tuple[tuple[int, ...], float]]:
@@ -156,21 +157,26 @@ def pack(seqs: DataFrame, block: int = BLOCK, key: str = "seq", split: str = "sp
     rows = seqs.select(F.col(split).alias("split"), F.col(key).alias("seq"), size.alias("size")).where("size > 0")
     last = F.floor((F.col("size") - 1) / block).cast("int")
     rows = rows.select("split", "seq", "size", F.explode(F.sequence(F.lit(0), last)).alias("piece"))
-    rows = rows.select("split", "seq", "piece", F.least(F.lit(block), F.col("size") - F.col("piece") * block).cast("int").alias("tokens"), F.pmod(F.xxhash64("seq", "piece"), F.lit(RANK_PARTS)).cast("int").alias("part"))
+    rows = rows.select("split", "seq", "piece", F.least(F.lit(block), F.col("size") - F.col("piece") * block).cast("int").alias("tokens"))
     rows = materialize(rows, "lengths")
-    counts = rows.groupBy("split", "tokens", "part").agg(F.count("*").alias("n"))
-    # at most block x RANK_PARTS rows for each split, of which there are a handful
+    # at most `block` rows for each split, of which there are a handful
+    lengths = rows.groupBy("split", "tokens").agg(F.count("*").alias("n")).collect()
+    each = max(RANKED, sum(r.n for r in lengths) // MOST_PARTS)
+    parts = seqs.sparkSession.createDataFrame([(r.split, r.tokens, -(-r.n // each)) for r in lengths], "s string, t int, parts int")
+    rows = rows.join(F.broadcast(parts), F.col("split").eqNullSafe(F.col("s")) & (F.col("tokens") == F.col("t"))).drop("s", "t").withColumn("part", F.pmod(F.xxhash64("seq", "piece"), F.col("parts")).cast("int"))
     by: dict = defaultdict(lambda: defaultdict(dict))
-    for r in counts.collect():
+    for r in lengths:
+        by[r.split][r.tokens] = {} if r.n > each else {0: r.n}
+    for r in rows.where("parts > 1").groupBy("split", "tokens", "part").agg(F.count("*").alias("n")).collect():
         by[r.split][r.tokens][r.part] = r.n
     offsets, keys, runs = {}, [], []
     for s in sorted(by, key=lambda x: (x is not None, x)):
-        for tokens, parts in by[s].items():
+        for tokens, held in by[s].items():
             at = 0
-            for part in sorted(parts):
+            for part in sorted(held):
                 offsets[s, tokens, part] = at
-                at += parts[part]
-        p = plan({tokens: sum(parts.values()) for tokens, parts in by[s].items()}, block)
+                at += held[part]
+        p = plan({tokens: sum(held.values()) for tokens, held in by[s].items()}, block)
         for tokens, rs in p.runs.items():
             rs = sorted(rs)
             keys.append((s, tokens))

@@ -23,11 +23,11 @@ def token_counts(texts: DataFrame, tokenizer: Tokenizer, text: str = "text") ->
 
 
 def token_budget(docs: DataFrame, tokenizer: Tokenizer, text: str = "text", source: str = "source", lang: str = "lang", domain: str = "domain") -> DataFrame:
-    """level ('cell', 'source', 'lang', 'domain' or 'all'), source, lang, domain, documents, tokens.
+    """level ('cell', 'source', 'lang' or 'domain'), source, lang, domain, documents, tokens.
 
     A cell is one cleaned source, language and domain; the other levels are totals and have null in the columns they
     sum over. Unknown values are 'unknown'. Repeated rows count each time. A null or empty text is a document of no tokens.
-    No rows give no rows but, of an empty table, no total either.
+    No rows give no rows.
     """
     rows = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"), clean_source(source).alias("source"), F.coalesce(clean_lang(lang), F.lit("unknown")).alias("lang"), clean_domain(domain).alias("domain"))
     rows = rows.select(F.unhex(F.md5("text")).alias("digest"), "*")
@@ -40,7 +40,7 @@ def token_budget(docs: DataFrame, tokenizer: Tokenizer, text: str = "text", sour
     spark = docs.sparkSession
     return spark.sql(
         """
-        SELECT CASE grouping_id(source, lang, domain) WHEN 0 THEN 'cell' WHEN 3 THEN 'source' WHEN 5 THEN 'lang' WHEN 6 THEN 'domain' ELSE 'all' END AS level,
+        SELECT CASE grouping_id(source, lang, domain) WHEN 0 THEN 'cell' WHEN 3 THEN 'source' WHEN 5 THEN 'lang' ELSE 'domain' END AS level,
                source, lang, domain, sum(documents) AS documents, sum(tokens) AS tokens
         FROM {summed} GROUP BY source, lang, domain GROUPING SETS ((source, lang, domain), (source), (lang), (domain))
         """,

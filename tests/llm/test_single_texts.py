@@ -68,7 +68,9 @@ def best_fit_decreasing(sizes, block):
     return len(rooms)
 
 
-def test_packing(spark):
+@pytest.mark.parametrize("ranked", [100_000, 3])
+def test_packing(spark, monkeypatch, ranked):
+    monkeypatch.setattr(packing, "RANKED", ranked)
     rng = random.Random(2)
     rows, got = placed(spark, [rng.choice([5, 20, 33, 34, 50, 51, 99, 100, 101, 250, 1000]) if rng.random() < 0.6 else rng.randint(1, 130) for _ in range(600)])
     blocks = defaultdict(list)
