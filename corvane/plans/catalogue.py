@@ -633,10 +633,22 @@ def rate_window_all(spark, d):
     return S.trailing_counts(r, "user_id", "created_at", {"in_minute": "minute", "in_hour": "hour", "in_day": "day"}).select("id", "in_minute", "in_hour", "in_day")
 
 
-@query()
+def _limited(calls: str) -> str:
+    """Decisions of calls (k, t, i) in order: at most 1 accepted in a second, 2 in a minute, 3 in an hour and 4 in a day."""
+    full = " OR ".join(f"len(list_filter(w.accepted, lambda a: a > c.t - {span})) >= {n}" for n, span in ((1, 1_000_000), (2, 60_000_000), (3, 3_600_000_000), (4, 86_400_000_000)))
+    return f"""WITH RECURSIVE c AS (SELECT k, t, row_number() OVER (PARTITION BY k ORDER BY t, i) AS n FROM ({calls})),
+    w AS (SELECT k, 0::BIGINT AS n, []::BIGINT[] AS accepted, '' AS decision FROM (SELECT DISTINCT k FROM c) UNION ALL
+      SELECT c.k, c.n, CASE WHEN {full} THEN w.accepted ELSE list_append(list_filter(w.accepted, lambda a: a > c.t - 86400000000), c.t) END, CASE WHEN {full} THEN 'rate' ELSE 'accept' END FROM w JOIN c ON c.k = w.k AND c.n = w.n + 1)
+    SELECT decision, count(*) AS n FROM w WHERE n > 0 GROUP BY decision"""
+
+
+_FEW = ST.Limits(1, 2, 3, 4)
+
+
+@query(_limited(f"SELECT user_id AS k, epoch_us(created_at) AS t, id AS i FROM {ONCE} WHERE user_id IS NOT NULL"))
 def rate_limiter_exact(spark, d):
     r = S.deduplicated(table(spark, d, "requests")).where("user_id is not null").select("id", "user_id", "created_at")
-    return ST.limit_batch(r, "user_id", "created_at", "id", ST.Limits(1, 10, 100, 500)).groupBy("decision").agg(F.count("*").alias("n"))
+    return ST.limit_batch(r, "user_id", "created_at", "id", _FEW).groupBy("decision").agg(F.count("*").alias("n"))
 
 
 @query(
@@ -738,9 +750,9 @@ def stream_overview(spark, d):
     return ST.run_to_end(ST.stream_of(spark, f"{d}/events.parquet"), lambda s: s.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")), "complete")
 
 
-@query()
+@query(_limited("SELECT user_id AS k, epoch_us(ts) AS t, event_id AS i FROM events WHERE user_id IS NOT NULL"))
 def stream_limiter(spark, d):
-    return ST.limit_stream(spark, f"{d}/events.parquet", "user_id", "ts", "event_id", ST.Limits(1, 10, 100, 500)).groupBy("decision").agg(F.count("*").alias("n"))
+    return ST.limit_stream(spark, f"{d}/events.parquet", "user_id", "ts", "event_id", _FEW).groupBy("decision").agg(F.count("*").alias("n"))
 
 
 # requests are delivered at least once, so this stream has repeats

@@ -159,20 +159,35 @@ def limit_active_batch(rows: DataFrame, key: str, start: str, end: str, tie: str
 # -- jobs: queued -> running -> done or error, cancelled while not over
 
 
+def fold_sorted(rows: DataFrame, key: str, order: list[str], columns: list[str], start: Callable[[], object], step: Callable[..., object], finish: Callable[[object], tuple], ddl: str) -> DataFrame:
+    """key and the columns of ddl: the state of each key after its rows in order. Rows arrive sorted and pass through a generator, of which only the
+    state of the present key is held, so a key of any number of rows fits."""
+    names = [x.strip().split(" ", 1)[0] for x in ddl.split(",")]
+    kind = rows.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, state, begun = None, None, False
+        for b in batches:
+            out: list[tuple] = []
+            for k, *values in b[["k", *columns]].itertuples(index=False, name=None):
+                if not begun or k != now:
+                    if begun:
+                        out.append((now, *finish(state)))
+                    now, state, begun = k, start(), True
+                state = step(state, *values)
+            yield pd.DataFrame(out, columns=[key, *names])
+        if begun:
+            yield pd.DataFrame([(now, *finish(state))], columns=[key, *names])
+
+    held = list(dict.fromkeys([*columns, *order]))
+    ordered = rows.select(F.col(key).alias("k"), *held).repartition("k").sortWithinPartitions("k", *order)
+    return ordered.mapInPandas(run, f"{key} {kind}, {ddl}")
+
+
 def fold_jobs(events: DataFrame, key: str = "job_id", order: str = "id") -> DataFrame:
     """job_id, status, owner, applied: the state of each job after its events in order. claim(owner): queued -> running; finish and fail by the
     owner only: running -> done or error; cancel: queued or running -> cancelled. Others change nothing; applied counts those that did."""
-    zero = F.struct(F.lit("queued").alias("status"), F.lit(None).cast("bigint").alias("owner"), F.lit(0).alias("applied"))
-
-    def step(a, e):
-        claim = (e["kind"] == "claim") & (a["status"] == "queued")
-        over = e["kind"].isin("finish", "fail") & (a["status"] == "running") & (a["owner"] == e["owner"])
-        cancel = (e["kind"] == "cancel") & a["status"].isin("queued", "running")
-        status = F.when(claim, "running").when(over, F.when(e["kind"] == "finish", "done").otherwise("error")).when(cancel, "cancelled").otherwise(a["status"])
-        return F.struct(status.alias("status"), F.when(claim, e["owner"]).otherwise(a["owner"]).alias("owner"), (a["applied"] + F.when(claim | F.coalesce(over, F.lit(False)) | cancel, 1).otherwise(0)).cast("int").alias("applied"))
-
-    told = events.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, "kind", F.col("owner").cast("bigint").alias("owner")))).alias("es"))
-    return told.select(key, F.aggregate("es", zero, step).alias("s")).select(key, "s.*")
+    return fold_sorted(events, key, [order], ["kind", "owner"], lambda: ("queued", None, 0), lambda s, kind, owner: apply_event(s, kind, int(owner)), lambda s: s, "status string, owner bigint, applied int")
 
 
 def apply_event(state: tuple[str, int | None, int], kind: str, owner: int | None) -> tuple[str, int | None, int]:
@@ -209,15 +224,14 @@ def job_stream(events: DataFrame, idle_ms: int = 86_400_000) -> DataFrame:
 
 def event_batches(events: DataFrame, key: str, at: str, order: str, most: int = 16, span: int = 100_000) -> DataFrame:
     """key, batches, largest: the events of each key gathered into batches of at most `most`, each within `span` microseconds of its first."""
-    zero = F.struct(F.lit(None).cast("bigint").alias("first"), F.lit(0).alias("held"), F.lit(0).alias("batches"), F.lit(0).alias("largest"))
 
-    def step(a, e):
-        new = a["first"].isNull() | (a["held"] >= most) | (e["t"] - a["first"] > span)
-        held = F.when(new, 1).otherwise(a["held"] + 1)
-        return F.struct(F.when(new, e["t"]).otherwise(a["first"]).alias("first"), held.cast("int").alias("held"), (a["batches"] + F.when(new, 1).otherwise(0)).cast("int").alias("batches"), F.greatest(a["largest"], held).cast("int").alias("largest"))
+    def step(s: tuple[int, int, int, int], t: int) -> tuple[int, int, int, int]:
+        first, held, batches, largest = s
+        if not batches or held >= most or t - first > span:
+            first, held, batches = t, 0, batches + 1
+        return first, held + 1, batches, max(largest, held + 1)
 
-    told = events.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(at).alias("t"), F.col(order).alias("o")))).alias("es"))
-    return told.select(key, F.aggregate("es", zero, step).alias("s")).select(key, "s.batches", "s.largest")
+    return fold_sorted(events, key, [at, order], [at], lambda: (0, 0, 0, 0), step, lambda s: s[2:], "batches int, largest int")
 
 
 def sweep(heartbeats: DataFrame, now: int, idle: int) -> DataFrame:
