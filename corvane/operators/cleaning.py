@@ -290,7 +290,9 @@ def split_long(docs: DataFrame, key: str, text: str = "text", max_words: int = 1
     """key, part, parts, part_id (the key alone where there is one piece), piece: a row for each piece of each text that isn't null."""
     x = with_pieces(docs.where(F.col(text).isNotNull()).select(key, F.col(text).alias("_text")), "_text", "_p", max_words, target, least)
     part_id = F.when(F.col("parts") == 1, F.col(key).cast("string")).otherwise(F.concat(F.col(key).cast("string"), F.lit("#part-"), F.col("part")))
-    return x.select(key, F.size("_p").alias("parts"), F.posexplode("_p").alias("part", "piece")).withColumn("part", F.col("part") + 1).select(key, "part", "parts", part_id.alias("part_id"), "piece")
+    # an outer generator, since Spark puts a filter with the whole expression before a plain one
+    x = x.select(key, F.size("_p").alias("parts"), F.posexplode_outer("_p").alias("part", "piece")).where("piece is not null")
+    return x.withColumn("part", F.col("part") + 1).select(key, "part", "parts", part_id.alias("part_id"), "piece")
 
 
 def flags(text: Column | str) -> Column:
@@ -316,13 +318,12 @@ def flags(text: Column | str) -> Column:
 def repair(docs: DataFrame, text: str = "text", source: str = "source") -> DataFrame:
     """docs with the text repaired, and outcome: 'kept' where validation has nothing against it; else the text is cleaned and cut, and the first piece
     that passes takes its place ('repaired'), or none does ('rejected', text null)."""
-    x = docs.withColumn("_f", F.size(flags(text)))
-    fine = x.where("_f = 0").withColumn("outcome", F.lit("kept"))
-    # only flagged documents are cleaned
-    again = with_pieces(clean(x.where("_f > 0"), STRICT, text, source), "cleaned", "_p")
-    again = again.withColumn("_p", F.filter("_p", lambda v: F.size(flags(v)) == 0))
-    again = again.withColumn(text, F.get("_p", F.lit(0))).withColumn("outcome", F.when(F.col(text).isNull(), "rejected").otherwise("repaired"))
-    return fine.drop("_f").unionByName(again.drop("_f", "_p", "reason", "cleaned"))
+    # one pass: texts that pass are null to the cleaner, which costs nothing
+    x = docs.withColumn("_f", F.size(flags(text))).withColumn("_raw", F.when(F.col("_f") > 0, F.col(text)))
+    x = with_pieces(clean(x, STRICT, "_raw", source), "cleaned", "_p").withColumn("_p", F.filter("_p", lambda v: F.size(flags(v)) == 0))
+    x = x.withColumn("_new", F.when(F.col("_f") == 0, F.col(text)).otherwise(F.get("_p", F.lit(0))))
+    x = x.withColumn("outcome", F.when(F.col("_f") == 0, "kept").when(F.col("_new").isNull(), "rejected").otherwise("repaired"))
+    return x.select(*(F.col("_new").alias(text) if c == text else F.col(c) for c in docs.columns), "outcome")
 
 
 LEAKS = ["broken_unicode", "html", "html_entity", "boilerplate", "code", "table", "too_short", "too_long"]

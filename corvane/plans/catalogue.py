@@ -12,7 +12,7 @@ from corvane.operators import curation as C
 from corvane.operators import instruction as I
 from corvane.operators import service as S
 from corvane.operators import verify as V
-from corvane.plans.registry import ONCE, QUERIES, SOURCE_SQL, SQL, n_of, query, quoted, sql_list, table, words_of
+from corvane.plans.registry import ONCE, QUERIES, SOURCE_SQL, SQL, n_of, query, quoted, sql_list, table, texts, words_of
 from corvane.streaming import state as ST
 
 
@@ -90,7 +90,7 @@ def _ratio(a: str, b: str) -> str:
 
 @query(f"SELECT doc_id, {WORDS} AS words, {_ratio(LETTERS, VISIBLE)} AS alpha, {_ratio(LATIN, LETTERS)} AS latin, {_ratio(DIGITS, VISIBLE)} AS digits, {STOPS} AS stops, {_ratio(STOPS, WORDS)} AS stop_ratio FROM documents")
 def corpus_text_ratios(spark, d):
-    return C.text_ratios(table(spark, d, "documents"))
+    return C.text_ratios(texts(spark, d, "documents"))
 
 
 # The steps of cleaning in SQL. The tables hold no entities and only the tags <p>, <b> and <i>, and no compatibility characters in documents
@@ -145,25 +145,25 @@ _STRICT = _clean_sql("documents", "doc_id", True)
 
 @query(f"{_STRICT} SELECT k AS doc_id, reason, CASE WHEN reason = 'accepted' THEN md5(t) END AS cleaned FROM g")
 def corpus_clean(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", T.source_name("source").alias("source"), "text")
+    docs = texts(spark, d, "documents").select("doc_id", T.source_name("source").alias("source"), "text")
     return K.clean(docs).select("doc_id", "reason", F.md5("cleaned").alias("cleaned"))
 
 
 @query(f"{_clean_sql('documents', 'doc_id', False)} SELECT k AS doc_id, reason, CASE WHEN reason = 'accepted' THEN md5(t) END AS cleaned FROM g")
 def corpus_intake(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", T.source_name("source").alias("source"), "text")
+    docs = texts(spark, d, "documents").select("doc_id", T.source_name("source").alias("source"), "text")
     return K.clean(docs, K.INTAKE).select("doc_id", "reason", F.md5("cleaned").alias("cleaned"))
 
 
 @query(f"{_clean_sql('corpus_docs', 'seq', True)} SELECT k AS seq, reason FROM g")
 def corpus_reject_reasons(spark, d):
-    docs = table(spark, d, "corpus_docs").select("seq", T.source_name("source").alias("source"), "text")
+    docs = texts(spark, d, "corpus_docs").select("seq", T.source_name("source").alias("source"), "text")
     return K.clean(docs).select("seq", "reason")
 
 
 @query(f"{_STRICT} SELECT src AS source, reason, count(*) AS documents FROM g GROUP BY 1, 2")
 def corpus_curation_summary(spark, d):
-    docs = table(spark, d, "documents").select(T.source_name("source").alias("source"), "text")
+    docs = texts(spark, d, "documents").select(T.source_name("source").alias("source"), "text")
     return K.clean(docs).groupBy("source", "reason").agg(F.count("*").alias("documents"))
 
 
@@ -172,7 +172,7 @@ def corpus_curation_summary(spark, d):
     SELECT seq, len(ls) AS lines, len(list_distinct(ls)) AS distinct_lines, len(list_filter(ls, lambda x: {TABLE})) AS table_lines, len(list_filter(ls, lambda x: {CODE})) AS code_lines, len(list_filter(ls, lambda x: {BOILER})) AS boiler_lines FROM a"""
 )
 def corpus_line_flags(spark, d):
-    return C.line_counts(table(spark, d, "corpus_docs"), "seq")
+    return C.line_counts(texts(spark, d, "corpus_docs"), "seq")
 
 
 _TEXT = lambda sql: sql.replace("(x,", "(text,")
@@ -191,7 +191,7 @@ FLAGS = _flags_sql("corpus_docs", "seq")
 
 @query(f"{FLAGS} SELECT flag, count(*) AS documents FROM x GROUP BY flag")
 def corpus_validation_flags(spark, d):
-    return table(spark, d, "corpus_docs").select(F.explode(K.flags("text")).alias("flag")).groupBy("flag").agg(F.count("*").alias("documents"))
+    return texts(spark, d, "corpus_docs").select(F.explode_outer(K.flags("text")).alias("flag")).where("flag is not null").groupBy("flag").agg(F.count("*").alias("documents"))
 
 
 _LEAKS = ["broken_unicode", "html", "html_entity", "boilerplate", "code", "table", "too_short", "too_long"]
@@ -207,7 +207,7 @@ _LEAKS = ["broken_unicode", "html", "html_entity", "boilerplate", "code", "table
 def corpus_verdict(spark, d):
     null = F.col("id").isNull() | F.col("text").isNull() | F.col("source").isNull()
     english = T.count_of(F.coalesce("text", F.lit("")), ["the", "of", "and", "was"]) >= 3
-    return K.validation_report(table(spark, d, "corpus_docs"), {"invalid_types": null, "invalid_source": T.source_name("source") == "unknown"}, english, 1_000_000_000)
+    return K.validation_report(texts(spark, d, "corpus_docs"), {"invalid_types": null, "invalid_source": T.source_name("source") == "unknown"}, english, 1_000_000_000)
 
 
 _VERDICTS = [(1, 2, 2, 0, 1.0), (2, 1, 2, 0, 1.0), (3, 2, 2, 1, 1.0), (4, 2, 2, 0, 0.5)]
@@ -236,7 +236,7 @@ _AGAIN = _clean_sql("(SELECT r.* FROM corpus_docs r WHERE seq IN (SELECT k FROM
       md5(CASE WHEN seq NOT IN (SELECT k FROM fl) THEN text WHEN seq IN (SELECT k FROM y) AND seq NOT IN (SELECT k FROM z) THEN y.t END) AS text FROM corpus_docs LEFT JOIN y ON y.k = seq"""
 )
 def corpus_repair(spark, d):
-    docs = table(spark, d, "corpus_docs").select("seq", T.source_name("source").alias("source"), "text")
+    docs = texts(spark, d, "corpus_docs").select("seq", T.source_name("source").alias("source"), "text")
     return K.repair(docs).select("seq", "outcome", F.md5("text").alias("text"))
 
 
@@ -319,7 +319,7 @@ def corpus_lang_fraction(spark, d):
     UNION ALL SELECT seq, substr(md5(array_to_string(t, ' ')), 1, 16) FROM t WHERE len(t) < 3 UNION ALL SELECT seq, NULL FROM download_candidates WHERE text IS NULL"""
 )
 def corpus_simhash(spark, d):
-    return C.simhash(table(spark, d, "download_candidates"), "seq")
+    return C.simhash(texts(spark, d, "download_candidates"), "seq")
 
 
 _FIRST = "(SELECT simhash AS f, min(seq) AS i FROM download_candidates WHERE simhash IS NOT NULL GROUP BY simhash)"
@@ -369,7 +369,7 @@ def corpus_stable_ids(spark, d):
     SELECT doc_id, part, parts, CASE WHEN parts = 1 THEN doc_id::VARCHAR ELSE doc_id || '#part-' || part END AS part_id, n AS words FROM fine"""
 )
 def corpus_split_pieces(spark, d):
-    x = K.split_long(table(spark, d, "documents"), "doc_id", max_words=500, target=400)
+    x = K.split_long(texts(spark, d, "documents"), "doc_id", max_words=500, target=400)
     return x.select("doc_id", F.col("part").cast("bigint").alias("part"), F.col("parts").cast("bigint").alias("parts"), "part_id", T.words("piece").alias("words"))
 
 
@@ -379,7 +379,7 @@ _MARKUP = rf"""regexp_replace(regexp_replace(regexp_replace(replace(translate({_
 
 @query(f"SELECT doc_id, md5({_MARKUP}) AS stripped FROM documents")
 def corpus_markup_strip(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.md5(T.strip_markup("text")).alias("stripped"))
+    return texts(spark, d, "documents").select("doc_id", F.md5(T.strip_markup("text")).alias("stripped"))
 
 
 @query("SELECT doc_id, md5(reverse(text)) AS turned FROM documents")
@@ -426,14 +426,14 @@ _FOREIGN = f"""(regexp_matches({_U}, '{_q(X.ASKS_TRANSLATION)}') OR regexp_match
     WHEN regexp_matches({_U}, '{_q(X.TRANSLATE)}') THEN 'translation' WHEN regexp_matches({_A}, '[?]\\s*$') THEN 'follow_up' WHEN regexp_matches({_U} || chr(10) || {_A}, '{_q(X.FORBIDDEN)}') THEN 'forbidden' WHEN {_SALAD} THEN 'word_salad' WHEN {_N} < 4 OR {_N} > 200 THEN 'length' ELSE 'kept' END AS reason FROM sft_pairs"""
 )
 def sft_heuristic_reasons(spark, d):
-    return table(spark, d, "sft_pairs").select("seq", I.heuristic_reason().alias("reason"))
+    return texts(spark, d, "sft_pairs").select("seq", I.heuristic_reason().alias("reason"))
 
 
 @query(
     f"""SELECT seq, CASE WHEN {_ODD} THEN 'mojibake' WHEN regexp_matches({_U}, '{_q(X.TRANSLATE)}') THEN 'translation' WHEN regexp_matches({_A}, '[?]\\s*$') THEN 'ends_with_question' WHEN {_SALAD} THEN 'low_function_word_ratio' ELSE 'judge' END AS reason FROM sft_pairs"""
 )
 def sft_judge_prefilter(spark, d):
-    return table(spark, d, "sft_pairs").select("seq", I.judge_prefilter().alias("reason"))
+    return texts(spark, d, "sft_pairs").select("seq", I.judge_prefilter().alias("reason"))
 
 
 _GATE = f"CASE WHEN {_BLANK} THEN 'empty' WHEN regexp_matches({_U} || chr(10) || {_A}, '{_q(X.FORBIDDEN_MORE)}') THEN 'forbidden' WHEN regexp_matches({_U} || chr(10) || {_A}, '{X.NON_LATIN}') THEN 'non_english' ELSE 'parsed' END"
@@ -441,7 +441,7 @@ _GATE = f"CASE WHEN {_BLANK} THEN 'empty' WHEN regexp_matches({_U} || chr(10) ||
 
 @query(f"SELECT {_GATE} AS gate, count(*) AS pairs FROM sft_pairs GROUP BY 1")
 def sft_assembly_gates(spark, d):
-    return table(spark, d, "sft_pairs").groupBy(I.assembly_gate().alias("gate")).agg(F.count("*").alias("pairs"))
+    return texts(spark, d, "sft_pairs").groupBy(I.assembly_gate().alias("gate")).agg(F.count("*").alias("pairs"))
 
 
 _KEY = "regexp_replace(lower(trim(coalesce(user_msg, ''))), '[ \\t\\n\\r]+', ' ', 'g')"
@@ -453,7 +453,7 @@ _KEY = "regexp_replace(lower(trim(coalesce(user_msg, ''))), '[ \\t\\n\\r]+', ' '
 )
 def sft_accepted_new(spark, d):
     """Two thirds of the pairs are taken for new ones, the rest for what is there already."""
-    rows = table(spark, d, "sft_pairs")
+    rows = texts(spark, d, "sft_pairs")
     return I.accepted_new(rows.where("seq % 3 <> 0"), rows.where("seq % 3 = 0")).select("seq")
 
 

@@ -36,6 +36,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return back
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt out to all cores if it comes in far fewer splits than there are cores, as a table of a single row group does. Such a table holds a few
+    splits' bytes, so this exchange is small; a large one has splits enough and is left alone. Plans with an exchange are too."""
+    plan = df._jdf.queryExecution().executedPlan()
+    if "Exchange" in plan.toString():
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 4 * plan.execute().getNumPartitions() <= cores else df
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import heapq
 import uuid
 from collections import deque
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.sources.shared import shared_dir
@@ -44,23 +45,24 @@ def decide(times: Iterable[int], accepted: deque[int], limits: Limits) -> list[s
     return out
 
 
-def decide_active(calls: Iterable[tuple[int, int]], most: int, limits: Limits) -> list[str]:
-    """Decisions of calls (start, end) in order of their starts, of which no more than `most` may be running at once (checked first)."""
-    import heapq
+class AtOnce:
+    """Decisions of calls that last: no more than `most` may be running (asked first), and the limits hold."""
 
-    accepted: deque[int] = deque()
-    running: list[int] = []
-    out = []
-    for start, end in calls:
-        while running and running[0] <= start:
-            heapq.heappop(running)
-        if most and len(running) >= most:
-            out.append("active")
-            continue
-        out += decide([start], accepted, limits)
-        if out[-1] == "accept":
-            heapq.heappush(running, max(start, end))
-    return out
+    def __init__(self, most: int, limits: Limits) -> None:
+        self.most, self.limits = most, limits
+        self.accepted: deque[int] = deque()
+        self.running: list[int] = []  # a heap of ends
+
+    def call(self, start: int, end: int) -> str:
+        """The decision of the next call in order of starts."""
+        while self.running and self.running[0] <= start:
+            heapq.heappop(self.running)
+        if self.most and len(self.running) >= self.most:
+            return "active"
+        said = decide([start], self.accepted, self.limits)[0]
+        if said == "accept":
+            heapq.heappush(self.running, max(start, end))
+        return said
 
 
 def limit_batch(rows: DataFrame, key: str, at: str, tie: str, limits: Limits) -> DataFrame:
@@ -145,15 +147,18 @@ def limit_active_batch(rows: DataFrame, key: str, start: str, end: str, tie: str
     """key, tie, decision ('accept', 'active' or 'rate') of calls that last from start to end (microseconds)."""
     ddl = f"{key} {rows.schema[key].dataType.simpleString()}, {tie} {rows.schema[tie].dataType.simpleString()}, decision string"
 
-    def run(k: tuple, calls: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({key: calls["k"], tie: calls["i"], "decision": decide_active(zip(calls["s"].tolist(), calls["e"].tolist()), most, limits)})
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, state = object(), None
+        for b in batches:
+            out = []
+            for k, s, e in zip(b["k"], b["s"], b["e"]):
+                if k != now:
+                    now, state = k, AtOnce(most, limits)
+                out.append(state.call(s, e))
+            yield pd.DataFrame({key: b["k"], tie: b["i"], "decision": out})
 
-    ordered = rows.select(F.col(key).alias("k"), F.col(start).alias("s"), F.col(end).alias("e"), F.col(tie).alias("i"))
-    # running calls end within a day, so a gap of two days between starts forgets everything: each stretch between gaps is a task's work of its own
-    w = Window.partitionBy("k").orderBy("s", "i")
-    gap = (F.col("s") - F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1)) >= HORIZONS[-1]).cast("int")
-    cut = ordered.withColumn("e", F.greatest("s", "e")).withColumn("g", F.sum(F.coalesce(gap, F.lit(0))).over(w))
-    return cut.groupBy("k", "g").applyInPandas(lambda k, x: run(k, x.sort_values(["s", "i"])), ddl)
+    ordered = rows.select(F.col(key).alias("k"), F.col(start).alias("s"), F.col(end).alias("e"), F.col(tie).alias("i")).repartition("k").sortWithinPartitions("k", "s", "i")
+    return ordered.mapInPandas(run, ddl)
 
 
 # -- jobs: queued -> running -> done or error, cancelled while not over

@@ -42,7 +42,8 @@ def test_calls_at_once_are_counted():
         else:
             out.append("accept")
             ok.append((start, end))
-    assert ST.decide_active(calls, 3, limits) == out and {*out} == {"accept", "active", "rate"}
+    state = ST.AtOnce(3, limits)
+    assert [state.call(*c) for c in calls] == out and {*out} == {"accept", "active", "rate"}
 
 
 def test_stream_equals_batch(spark, tmp_path):
