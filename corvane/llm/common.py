@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions.fixed import SOURCE_NAMES as SOURCE_ALIASES
-from corvane.sources.shared import discard, materialize, shared_dir  # noqa: F401
+from corvane.sources.shared import discard, materialize, shared_dir, spread  # noqa: F401
 
 #: Characters of text that one Python step handles at a time, so that a batch of long texts stays small in memory.
 CHUNK_CHARS = 3_000_000

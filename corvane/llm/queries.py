@@ -8,7 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corvane.llm import language, leakage, mixing, near_duplicates, packing, pairs, quality, subjects, token_budget
 from corvane.llm.bpe import Tokenizer
-from corvane.llm.common import table
+from corvane.llm.common import spread, table
+
+
+def texts(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """A table for work that is heavy for each row."""
+    return spread(table(spark, d, name))
 
 
 def p1_pack(spark: SparkSession, d: str) -> DataFrame:
@@ -20,11 +25,11 @@ def p1_fill(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_token_budget(spark: SparkSession, d: str) -> DataFrame:
-    return token_budget.token_budget(table(spark, d, "download_candidates"), Tokenizer.of(table(spark, d, "tokenizer_merges")))
+    return token_budget.token_budget(texts(spark, d, "download_candidates"), Tokenizer.of(table(spark, d, "tokenizer_merges")))
 
 
 def _languages(spark: SparkSession, d: str) -> DataFrame:
-    return language.label_documents(table(spark, d, "corpus_docs"), table(spark, d, "corpus_labels"))
+    return language.label_documents(texts(spark, d, "corpus_docs"), table(spark, d, "corpus_labels"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -36,7 +41,7 @@ def p3_segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _quality(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "corpus_docs")
+    docs = texts(spark, d, "corpus_docs")
     return quality.quality(docs, quality.train_lines(docs))
 
 
@@ -49,22 +54,22 @@ def p4_quality(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    sft = table(spark, d, "sft_pairs")
-    labelled = language.labelled_sample(table(spark, d, "corpus_docs"), language.latest_labels(table(spark, d, "corpus_labels")))
+    sft = texts(spark, d, "sft_pairs")
+    labelled = language.labelled_sample(texts(spark, d, "corpus_docs"), language.latest_labels(table(spark, d, "corpus_labels")))
     return pairs.defects(sft, pairs.NaiveBayes.train(labelled)).select("seq", "defect").distinct()
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return near_duplicates.all_pairs(*near_duplicates.near_duplicates(table(spark, d, "download_candidates")))
+    return near_duplicates.all_pairs(*near_duplicates.near_duplicates(texts(spark, d, "download_candidates")))
 
 
 def p6_classes(spark: SparkSession, d: str) -> DataFrame:
     """Five words and a similarity of 0.8: one row per document with its class and number of links."""
-    return near_duplicates.near_duplicate_classes(*near_duplicates.near_duplicates(table(spark, d, "download_candidates"), shingle=5, least=0.8))
+    return near_duplicates.near_duplicate_classes(*near_duplicates.near_duplicates(texts(spark, d, "download_candidates"), shingle=5, least=0.8))
 
 
 def _leaks(spark: SparkSession, d: str) -> DataFrame:
-    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return leakage.leaks(texts(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -76,11 +81,11 @@ def p7_locations(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_clean(spark: SparkSession, d: str) -> DataFrame:
-    return leakage.without_leaks(table(spark, d, "documents").select("doc_id"), _leaks(spark, d))
+    return leakage.without_leaks(texts(spark, d, "documents").select("doc_id"), _leaks(spark, d))
 
 
 def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"), Tokenizer.of(table(spark, d, "tokenizer_merges")))
+    return mixing.mix(texts(spark, d, "documents"), table(spark, d, "mix_targets"), Tokenizer.of(table(spark, d, "tokenizer_merges")))
 
 
 def p8_mix(spark: SparkSession, d: str) -> DataFrame:
@@ -92,12 +97,12 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_posteriors(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
+    docs = texts(spark, d, "documents")
     return mixing.posteriors(docs, mixing.train_domains(docs))
 
 
 def _subjects(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
+    docs = texts(spark, d, "documents")
     return subjects.document_subjects(docs, subjects.train_subjects(docs, table(spark, d, "subject_labels"), table(spark, d, "subject_areas")))
 
 
