@@ -254,3 +254,27 @@ def same_origin(origin: Column, host: Column) -> Column:
 def orphans(child: DataFrame, key: str, parent: DataFrame, parent_key: str) -> DataFrame:
     """Rows whose parent isn't there."""
     return child.where(F.col(key).isNotNull()).join(parent.select(F.col(parent_key).alias(key)), key, "left_anti")
+
+
+# -- figures over time
+
+
+def snapshot_rates(rows: DataFrame, key: str, at: str, value: str) -> DataFrame:
+    """key, at, total, per_second: the running total of a value (a row for each snapshot, in microseconds) and its growth since the one before."""
+    w = Window.partitionBy(key).orderBy(at)
+    x = rows.select(key, at, F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("total"), (F.col(at) - F.lag(at).over(w)).alias("_dt"), F.col(value).alias("_v"))
+    return x.select(key, at, "total", F.round(F.try_divide(F.col("_v"), F.col("_dt") / F.lit(1_000_000)), 6).alias("per_second"))
+
+
+def chunk_text(events: DataFrame, key: str, order: str) -> DataFrame:
+    """key, text, complete: what a stream of chunks shows in the end: deltas added up (a reset begins anew) where there are any, else the last whole
+    text; complete: whether a chunk says that it is done."""
+    has = events.groupBy(key).agg(F.max(F.col("delta").isNotNull()).alias("_d"), F.max_by("output", F.when(F.col("output").isNotNull(), F.col(order))).alias("_o"), F.coalesce(F.max(F.col("event") == "done"), F.lit(False)).alias("complete"))
+    parts = events.where("delta is not null").withColumn("reset", F.coalesce("reset", F.lit(False)))
+    return has.join(fold_deltas(parts, key, order), key, "left").select(key, F.when(F.col("_d"), F.col("text")).otherwise(F.coalesce("_o", F.lit(""))).alias("text"), "complete")
+
+
+def capped(pairs: DataFrame, probe: str, order: str, most: int) -> DataFrame:
+    """At most so many partners of each probe, the first ones in order; for uses that bound their work on purpose (None of this library's do)."""
+    w = Window.partitionBy(probe).orderBy(order)
+    return pairs.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= most).drop("_k")

@@ -183,3 +183,34 @@ def limiter_active(spark, d):
     start = S.micros("created_at")
     r = S.deduplicated(table(spark, d, "requests")).select("id", F.when(who.startswith("web:"), "web").otherwise(who).alias("who"), start.alias("s"), (start + F.coalesce("latency_ms", F.lit(0)).cast("bigint") * 1000 * 100).alias("e"))
     return ST.limit_active_batch(r, "who", "s", "e", "id", 2, ST.Limits(2, 3, 4, 5)).groupBy("decision").agg(F.count("*").alias("n"))
+
+
+@query(
+    f"""WITH s AS (SELECT r.node_id, date_trunc('hour', s.created_at AT TIME ZONE 'UTC') AS hour, sum(tokens)::BIGINT AS tokens FROM responses s JOIN {ONCE} r ON r.id = s.request_id WHERE tokens IS NOT NULL AND node_id IS NOT NULL GROUP BY 1, 2), t AS (SELECT node_id, epoch_us(hour) AS t, tokens FROM s)
+    SELECT node_id, t, sum(tokens) OVER (PARTITION BY node_id ORDER BY t)::BIGINT AS total, round(tokens / ((t - lag(t) OVER (PARTITION BY node_id ORDER BY t)) / 1000000), 6) AS per_second FROM t"""
+)
+def token_rates(spark, d):
+    """Tokens of each node by hour: the running total and the rate since the hour before."""
+    r = S.deduplicated(table(spark, d, "requests")).where("node_id is not null").select(F.col("id").alias("request_id"), "node_id")
+    s = table(spark, d, "responses").where("tokens is not null").join(r, "request_id").groupBy("node_id", F.unix_micros(F.date_trunc("hour", "created_at")).alias("t")).agg(F.sum("tokens").alias("tokens"))
+    return S.snapshot_rates(s, "node_id", "t", "tokens")
+
+
+_CHUNKS = [
+    (1, 1, "chunk", "The ", None, None), (1, 2, "chunk", "fox", None, None), (1, 3, "done", None, None, "The fox, whole"),
+    (2, 1, "chunk", "Old", None, None), (2, 2, "chunk", "New", True, None), (2, 3, "chunk", "er", None, None),
+    (3, 1, "chunk", None, None, "Par"), (3, 2, "chunk", None, None, "Part"), (3, 3, "done", None, None, None),
+    (4, 1, "error", None, None, None),
+]
+
+
+@query("SELECT * FROM (VALUES (1, 'The fox', true), (2, 'Newer', false), (3, 'Part', true), (4, '', false)) v(job, text, complete)")
+def chunk_cases(spark, d):
+    x = spark.createDataFrame(_CHUNKS, "job int, id int, event string, delta string, reset boolean, output string")
+    return S.chunk_text(x, "job", "id")
+
+
+@query("WITH p AS (SELECT request_id, id, row_number() OVER (PARTITION BY request_id ORDER BY id) AS k FROM responses) SELECT request_id, id FROM p WHERE k <= 1")
+def first_answers(spark, d):
+    """At most one answer of each request."""
+    return S.capped(table(spark, d, "responses").select("request_id", "id"), "request_id", "id", 1)
