@@ -74,11 +74,11 @@ _LOSSES = [3.0, 2.5, 2.49, 2.6, 2.2, 2.2, 2.19, 2.18, 2.3]
 
 
 @query(
-    "SELECT * FROM (VALUES (0, 3.0, true, 0, false), (1, 2.5, true, 0, false), (2, 2.49, true, 1, false), (3, 2.6, false, 2, false), (4, 2.2, true, 0, false), (5, 2.2, false, 1, false), (6, 2.19, true, 2, false), (7, 2.18, true, 3, true), (8, 2.3, false, 4, true)) v(step, loss, best, stale, stop)"
+    "SELECT step, loss::DOUBLE AS loss, best, stale, stop FROM (VALUES (0, 3.0, true, 0, false), (1, 2.5, true, 0, false), (2, 2.49, true, 1, false), (3, 2.6, false, 2, false), (4, 2.2, true, 0, false), (5, 2.2, false, 1, false), (6, 2.19, true, 2, false), (7, 2.18, true, 3, true), (8, 2.3, false, 4, true)) v(step, loss, best, stale, stop)"
 )
 def early_stop_cases(spark, d):
     log = spark.createDataFrame(list(enumerate(_LOSSES)), "step bigint, loss double")
-    return G.early_stop(log, "step", "loss", 3, 0.05).withColumn("step", F.col("step").cast("int")).withColumn("loss", F.col("loss").cast("decimal(4,2)"))
+    return G.early_stop(log, "step", "loss", 3, 0.05).withColumn("step", F.col("step").cast("int"))
 
 
 @query("SELECT * FROM (VALUES (0, '0s', '00:00'), (9, '9s', '00:09'), (127, '2m07s', '02:07'), (3900, '1h05m', '01:05:00'), (183723, '51h02m', '2d03h')) v(seconds, short, clock)")
