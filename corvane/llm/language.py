@@ -178,19 +178,22 @@ SCALE = 20.0
 def _machine(x: np.ndarray, y: np.ndarray, epochs: int = 25, batch: int = 128, penalty: float = 1e-4) -> tuple[np.ndarray, float]:
     """A linear support vector machine by averaged stochastic subgradients; both classes weigh the same."""
     rng = np.random.default_rng(3)
+    order = rng.permutation(len(y))
+    x, y = x[order], y[order]  # mixed once, so that every batch is one piece of memory; batches come in another order each time
     weight = np.where(y > 0, len(y) / max(1, 2 * (y > 0).sum()), len(y) / max(1, 2 * (y < 0).sum()))
     w, b, mean, offset, steps, t = np.zeros(x.shape[1], np.float32), 0.0, np.zeros(x.shape[1], np.float32), 0.0, 0, 0
+    starts = np.arange(0, len(y), batch)
     for epoch in range(epochs):
-        order = rng.permutation(len(y))
-        for k in range(0, len(y), batch):
-            rows = order[k : k + batch]
+        for k in rng.permutation(starts):
+            rows = slice(k, k + batch)
             t += 1
             rate = 0.5 / (1 + 0.02 * t)
             out = (y[rows] * (x[rows] @ w + b) < 1) * y[rows] * weight[rows]
-            w = (1 - rate * penalty) * w + (rate / len(rows)) * (out @ x[rows]).astype(np.float32)
+            w = (1 - rate * penalty) * w + (rate / len(out)) * (out.astype(np.float32) @ x[rows])
             b += rate * out.mean()
             if epoch >= epochs // 2:
-                mean, offset, steps = mean + w, offset + b, steps + 1
+                mean += w
+                offset, steps = offset + b, steps + 1
     return mean / max(1, steps), offset / max(1, steps)
 
 
