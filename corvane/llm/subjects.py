@@ -186,12 +186,16 @@ class SubjectModel:
         if rows.any():
             x, y = x[rows], y[rows]
             held = np.arange(len(x)) % 5 == 4
+            # what holds for any subject is fitted on all of them together; a step departs from it as far as its own labels say
+            alone = [self._step(x[~held], np.zeros((int((~held).sum()), 0)), j) for j in range(k)]
+            common = _logistic(np.concatenate(alone), np.concatenate([y[~held, j] for j in range(k)]))
             for j in range(k):
                 step, fit = self._step(x, y[:, :j], j), ~held
-                w = _logistic(step[fit], y[fit, j])
+                start = np.concatenate([common, np.zeros(j)])
+                w = _logistic(step[fit], y[fit, j], start)
                 p = 1 / (1 + np.exp(-np.clip(step @ w, -30, 30)))
                 fit &= np.where(y[:, j] > 0, p, 1 - p) >= UNLIKELY
-                w = _logistic(step[fit], y[fit, j])
+                w = _logistic(step[fit], y[fit, j], start)
                 self.chain.append(_calibrated(w, step[held], y[held, j]))
 
     # -- documents
@@ -250,14 +254,15 @@ class SubjectModel:
         return [(int(i), int(j), float(x[i, 2 * j])) for i, j in zip(*np.nonzero(given))]
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.3, rounds: int = 40) -> np.ndarray:
-    """Logistic regression by Newton's method."""
-    w = np.zeros(x.shape[1])
+def _logistic(x: np.ndarray, y: np.ndarray, start: np.ndarray | None = None, penalty: float = 0.3, rounds: int = 40) -> np.ndarray:
+    """Logistic regression by Newton's method, whose weights are held to those of start (none: 0)."""
+    start = np.zeros(x.shape[1]) if start is None else start
+    w = start.copy()
     ridge = penalty * np.eye(len(w))
     ridge[0, 0] = 1e-6
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (y - p) - ridge @ w)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (y - p) - ridge @ (w - start))
         w += step
         if np.abs(step).max() < 1e-6:
             break
