@@ -254,17 +254,30 @@ class SubjectModel:
         return [(int(i), int(j), float(x[i, 2 * j])) for i, j in zip(*np.nonzero(given))]
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, start: np.ndarray | None = None, penalty: float = 0.3, rounds: int = 40) -> np.ndarray:
-    """Logistic regression by Newton's method, whose weights are held to those of start (none: 0)."""
+def _logistic(x: np.ndarray, y: np.ndarray, start: np.ndarray | None = None, penalty: float | np.ndarray = 0.3, rounds: int = 100) -> np.ndarray:
+    """Logistic regression by Newton's method, whose weights are held to those of start (none: 0); a scalar penalty leaves the first one free.
+    A step that would not lower the loss is halved, as on labels that are nearly separable a whole one leads away and never back."""
     start = np.zeros(x.shape[1]) if start is None else start
-    w = start.copy()
-    ridge = penalty * np.eye(len(w))
-    ridge[0, 0] = 1e-6
+    held = np.concatenate([[1e-6], np.full(x.shape[1] - 1, penalty)]) if np.isscalar(penalty) else penalty
+
+    def loss(w: np.ndarray, z: np.ndarray) -> float:
+        return float((np.logaddexp(0, z) - y * z).sum() + held @ (w - start) ** 2 / 2)
+
+    w, z = start.copy(), x @ start
+    now = loss(w, z)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (y - p) - ridge @ (w - start))
-        w += step
-        if np.abs(step).max() < 1e-6:
+        p = np.exp(-np.logaddexp(0, -z))
+        down = x.T @ (y - p) - held * (w - start)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(held), down)
+        size = 1.0
+        # a whole step at the end changes nothing but the last digits of the loss
+        while (then := loss(w + size * step, x @ (w + size * step))) > now - 1e-4 * size * (down @ step) + 1e-9 * abs(now) and size > 1e-9:
+            size /= 2
+        if size <= 1e-9:
+            break
+        w = w + size * step
+        z, now = x @ w, then
+        if np.abs(size * step).max() < 1e-6:
             break
     return w
 
@@ -272,15 +285,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, start: np.ndarray | None = None, pen
 def _calibrated(w: np.ndarray, x: np.ndarray, y: np.ndarray, penalty: float = 3.0) -> np.ndarray:
     """Weights whose scores are stretched and shifted so that their probabilities fit rows held out; with few rows they hardly change."""
     z = np.clip(x @ w, -30, 30)
-    a = np.array([0.0, 1.0])  # shift and stretch, held to these values
-    for _ in range(20):
-        p = 1 / (1 + np.exp(-np.clip(a[0] + a[1] * z, -30, 30)))
-        d = p * (1 - p)
-        hess = np.array([[d.sum(), (d * z).sum()], [(d * z).sum(), (d * z * z).sum()]]) + penalty * np.eye(2)
-        step = np.linalg.solve(hess, np.array([(y - p).sum(), ((y - p) * z).sum()]) - penalty * (a - [0.0, 1.0]))
-        a = a + step
-        if np.abs(step).max() < 1e-6:
-            break
+    a = _logistic(np.column_stack([np.ones(len(z)), z]), y, np.array([0.0, 1.0]), np.full(2, penalty))  # shift and stretch, held to these values
     a[1] = max(a[1], 0.1)
     out = a[1] * w
     out[0] += a[0]

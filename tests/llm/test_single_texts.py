@@ -442,6 +442,27 @@ def test_subjects_that_go_together():
     assert right(m.decode(x)) < whole - 0.1 and whole > 0.95
 
 
+def test_calibration_of_labels_that_are_nearly_separable():
+    """A few wrong labels beside scores that tell the rest apart: the stretch stays moderate and the loss doesn't grow."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    y = np.repeat([0.0, 1.0], [765, 88])
+    z = np.concatenate([rng.normal(-9, 1.5, 765), rng.normal(9, 1.5, 88)])
+    y[[3, 5, 8, 11]], y[[770, 780, 790, 800]] = 1, 0
+    x = np.column_stack([np.ones(len(z)), z])
+
+    def loss(w):
+        return float((np.logaddexp(0, x @ w) - y * (x @ w)).sum() + 1.5 * ((w - [0.0, 1.0]) ** 2).sum())
+
+    w = subjects._calibrated(np.array([0.0, 1.0]), x, y)
+    assert loss(w) <= loss(np.array([0.0, 1.0])) and 0.1 <= w[1] < 2
+    assert all(loss(w) <= loss(w + d) + 1e-6 for d in ([0.01, 0], [-0.01, 0], [0, 0.01], [0, -0.01]))
+    assert (((x @ w) > 0) == (z > 0)).all()
+    free = subjects._logistic(x, y, np.array([0.0, 40.0]))  # held to a start that is far off
+    assert np.isfinite(free).all() and ((x @ free > 0) == (z > 0)).mean() > 0.99
+
+
 def test_pair_defects_of_any_length():
     assert pairs.is_empty("-" * 61) and pairs.is_empty("... " * 500) and not pairs.is_empty("... " * 500 + "word")
     refusal = "I'm sorry, but I can't help with that. " * 40
