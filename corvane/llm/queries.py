@@ -41,8 +41,7 @@ def p3_segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _quality(spark: SparkSession, d: str) -> DataFrame:
-    docs = texts(spark, d, "corpus_docs")
-    return quality.quality(docs, quality.train_lines(docs))
+    return quality.trained_quality(texts(spark, d, "corpus_docs"))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

@@ -277,6 +277,55 @@ def test_known_words_are_counted_over_all_documents(spark):
     assert quality.known_words(df.limit(0)) == frozenset()
 
 
+def line_docs(n):
+    rng = random.Random(7)
+    word = lambda: rng.choice(["mango", "barley", "copper", "lantern", "harness", "violet", "pebble", "timber"])
+    prose = lambda: f"The {word()} and the {word()} were not far from the {word()} of the old house."
+    item = lambda: f"{rng.choice('-*•')} {word()} {word()}"
+    return [(i, "\n".join([prose() for _ in range(rng.randint(1, 5))] + [item() for _ in range(rng.choice([0, 0, 3, 9]))])) for i in range(n)]
+
+
+def test_lines_are_estimated_on_all_documents(spark, monkeypatch):
+    import numpy as np
+
+    rows = line_docs(400)
+    df = spark.createDataFrame([*rows, (None, None), (500, "")], "seq bigint, text string").repartition(5)
+    m = quality.train_lines(df, n=40)
+    assert round(float(np.exp(-m.start[quality.JUNK]))) == 4 + 400  # no document begins with junk: one of all that were counted, and one for each label
+    # the same counts as in memory, however the documents are dealt out
+    monkeypatch.setattr(quality, "SEED_EVERY", 1)
+    whole = quality.LineModel.train([t for _, t in rows], quality.known_words(df, n=40))
+    monkeypatch.setattr(quality, "CHUNK_LINES", 20)
+    for parts in (1, 7):
+        m = quality.train_lines(df.repartition(parts), n=40)
+        assert m.known == whole.known
+        for a, b in ((m.start, whole.start), (m.move, whole.move), (m.emit, whole.emit), (m.variety, whole.variety)):
+            assert np.array_equal(a, b)
+    assert sorted(map(tuple, quality.trained_quality(df, n=40).collect()), key=str) == sorted(map(tuple, quality.quality(df, m).collect()), key=str)
+
+
+def test_languages_in_one_reading_of_the_texts(spark, speaker, monkeypatch):
+    rows = [(i, fill(c, n)) for i, (c, n) in enumerate((c, n) for c in SENTENCES for n in NAMES[:5])]
+    rows += [(100 + i, t) for i, t in line_docs(60)] + [(200, fill("de", "X") + "\n\n" + fill("fr", "Y")), (201, None), (202, ""), (203, "12 + 3")]
+    docs = spark.createDataFrame(rows, "seq bigint, text string")
+    labels = spark.createDataFrame([(i, "de" if i % 3 else None, 1) for i, _ in rows if i % 4], "seq bigint, lang string, labelled_at int")
+    monkeypatch.setattr(language.LanguageModel, "train", classmethod(lambda cls, labelled: speaker))
+    one = language.label_documents(docs, labels)
+    two = language.languages(docs.join(language.latest_labels(labels), "seq", "left"), speaker, quality.train_lines(docs), label="label")
+    assert one.schema == two.schema and sorted(map(tuple, one.collect()), key=str) == sorted(map(tuple, two.collect()), key=str)
+    assert {r.kind for r in one.collect()} >= {"prose", "list", None}
+
+
+def test_words_cut_as_bytes():
+    rng = random.Random(4)
+    some = [*"aZ09_ '\t\x85\xa0\xad-éßµªº²½ÿ÷×", *"’–ЯіŒ\u2028٣漢\U0001f600\ud800"]
+    for n in (18, len(some)):
+        for _ in range(500):
+            t = "".join(rng.choice(some[:n]) for _ in range(rng.randint(0, 30)))
+            assert quality.words_of(t) == quality._WORD.findall(t)
+            assert "'" in t or quality.words_of(t, language._WORD) == language._WORD.findall(t)
+
+
 def test_viterbi_is_the_best_path():
     import itertools
 
